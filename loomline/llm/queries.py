@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import oracle
 from loomline.llm.bpe import encode_corpus
+from loomline.llm.leaks import leaked_passages, paraphrased_items
 from loomline.llm.pieces import split_oversized
+from loomline.llm.truncation import truncated_texts, truncation_rates
 from loomline.sources.tables import table
 
 
@@ -25,5 +27,33 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_cohesion": p5_cohesion, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of an evaluation item."""
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_paraphrased(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a reworded sentence of an evaluation item, and whether its answer is kept."""
+    return paraphrased_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text was cut within a word or a sentence."""
+    return truncated_texts(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_cohesion": p5_cohesion,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_paraphrased": p8_paraphrased,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
+}
 SQL = oracle.SQL
