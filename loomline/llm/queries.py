@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import oracle
 from loomline.llm.bpe import encode_corpus
+from loomline.llm.functions import documented_functions, function_pairs
+from loomline.llm.handwritten import not_handwritten
 from loomline.llm.leaks import leaked_passages, paraphrased_items
 from loomline.llm.pieces import split_oversized
 from loomline.llm.truncation import truncated_texts, truncation_rates
 from loomline.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that were not written by hand for their repository."""
+    return not_handwritten(table(spark, d, "source_files")).select("relative_path")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each kind of evidence sets apart."""
+    return not_handwritten(table(spark, d, "source_files")).groupBy("reason").count().withColumnRenamed("count", "n_files")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each component whose source code has more than 1,500 characters, cut at blank lines."""
     return split_oversized(table(spark, d, "components"))
@@ -22,6 +34,16 @@ def p5_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "components"), boundary="cohesion")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose documentation says more than their name and signature."""
+    return documented_functions(table(spark, d, "components")).select("id")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description of each documented function of the source files."""
+    return function_pairs(table(spark, d, "source_files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Each document's token ids by byte_bpe_50k."""
     return encode_corpus(table(spark, d, "documents"))
@@ -48,8 +70,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
     "p5_found": p5_found,
     "p5_cohesion": p5_cohesion,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_paraphrased": p8_paraphrased,
