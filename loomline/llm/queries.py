@@ -9,6 +9,7 @@ from loomline.llm.bpe import encode_corpus
 from loomline.llm.functions import documented_functions, function_pairs
 from loomline.llm.handwritten import not_handwritten
 from loomline.llm.leaks import leaked_passages, paraphrased_items
+from loomline.llm.parsing import broken_files, broken_rates
 from loomline.llm.pieces import split_oversized
 from loomline.llm.truncation import truncated_texts, truncation_rates
 from loomline.sources.tables import table
@@ -24,6 +25,21 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "source_files")).groupBy("reason").count().withColumnRenamed("count", "n_files")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose text is not valid syntax of the language of their extension."""
+    return broken_files(table(spark, d, "source_files")).select("relative_path")
+
+
+def p4_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The same files with the line, the kind and the token of the first error."""
+    return broken_files(table(spark, d, "source_files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of broken files per repository and language."""
+    return broken_rates(table(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of each component whose source code has more than 1,500 characters, cut at blank lines."""
     return split_oversized(table(spark, d, "components"))
@@ -72,6 +88,9 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
+    "p4_found": p4_found,
+    "p4_failures": p4_failures,
+    "p4_rates": p4_rates,
     "p5_found": p5_found,
     "p5_cohesion": p5_cohesion,
     "p6_found": p6_found,
