@@ -20,14 +20,15 @@ def col(c: Column | str) -> Column:
 def canonicalize_path(path: Column | str) -> Column:
     """A URL path with each parameter placeholder as `{}`, without query, fragment, leading placeholder segment and
     trailing slash. Null and empty give `/`."""
-    p = F.regexp_replace(col(path), r"[?#](?s).*$", "")
+    p = F.regexp_replace(col(path), r"(?s)[?#].*$", "")
     p = F.regexp_replace(p, r"\$\{[^}]+\}", "{}")
     p = F.regexp_replace(p, r":[a-zA-Z_]\w*", "{}")
     p = F.regexp_replace(p, r"\{[^}]+\}", "{}")
     p = F.regexp_replace(p, r"<[^>]+>", "{}")
-    rest = F.when(p.startswith("/{}"), F.regexp_replace(F.concat(F.lit("/"), F.substring(p, 4, 1_000_000)), r"^//", "/")).otherwise(p)
-    trimmed = F.regexp_replace(rest, r"(?<=.)/+$", "")
-    return F.when(col(path).isNull() | (col(path) == ""), "/").when(F.length(rest) > 1, trimmed).otherwise(rest)
+    # each step uses the one before once, so the expression stays small when it is nested
+    p = F.regexp_replace(p, r"^/\{\}/?", "/")
+    p = F.regexp_replace(p, r"(?<=.)/+$", "")
+    return F.when(F.coalesce(col(path), F.lit("")) == "", "/").otherwise(p)
 
 
 def route_key(method: Column | str, path: Column | str) -> Column:

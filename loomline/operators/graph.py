@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.skew import salted_join
+from loomline.operators.skew import Probe, salted_join
 from loomline.session import ensure_checkpoint_dir
 
 
@@ -78,14 +78,14 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction:
         return one.unionByName(two).groupBy("id").agg(best).select("id", "b.*")
     ensure_checkpoint_dir(edges.sparkSession)
     e = clean(edges, loops=False)
-    e = (e if direction == "depends_on" else reverse(e)).checkpoint()
+    e = Probe((e if direction == "depends_on" else reverse(e)).checkpoint(), "src")
     first = starts.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0))
     if paths:
         first = first.withColumn("path", F.array("id"))
     reached = frontier = first.checkpoint()
     for depth in range(1, max_depth + 1):
         step = frontier.select(F.col("id").alias("src"), *(["path"] if paths else []))
-        near = salted_join(e, step, ["src"], "inner")
+        near = e.join(step)
         if paths:
             near = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
             near = near.select("id", F.lit(depth).alias("depth"), "path")
@@ -113,10 +113,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
         return ids.withColumn("score", F.lit(0.0))
     by = "dst" if compat else "src"
     share = e.groupBy(F.col(by).alias("src")).agg(F.count(F.lit(1)).alias("share"))
-    e = salted_join(e, share, ["src"], "inner").checkpoint()
+    e = Probe(salted_join(e, share, ["src"], "inner").checkpoint(), "src")
     scores = ids.withColumn("score", F.lit(1.0 / n)).checkpoint()
     for _ in range(rounds):
-        sent = salted_join(e, scores.withColumnRenamed("id", "src"), ["src"], "inner").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("share")).alias("got"))
+        sent = e.join(scores.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("share")).alias("got"))
         fresh = scores.join(sent, "id", "left").select(
             "id", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("next"), "score"
         ).checkpoint()
@@ -137,15 +137,15 @@ def components_scc(edges: DataFrame, rounds: int = 200) -> DataFrame:
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     left = clean(edges, loops=False).checkpoint()
+    n_left = left.count()
     done = None
     for _ in range(rounds):
-        while True:  # trimming
+        while n_left:  # trimming
             ins, outs = left.select(F.col("dst").alias("id")).distinct(), left.select(F.col("src").alias("id")).distinct()
             core = ins.join(outs, "id", "left_semi")
-            kept = left.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
-            n_kept, n_left = kept.count(), left.count()
-            left = kept
-            if n_kept == n_left:
+            left = left.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
+            before, n_left = n_left, left.count()
+            if before == n_left:
                 break
         if not n_left:
             break
@@ -154,14 +154,16 @@ def components_scc(edges: DataFrame, rounds: int = 200) -> DataFrame:
         same = (
             left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
             .join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
-            .where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")).checkpoint()
+            .where("cs = cd").select("src", "dst")
         )
-        found = impact(reverse(same), colour.where("id = c").select("id"), 1_000_000, "depended_by").select("id").join(colour, "id").checkpoint()
+        # backwards from each root within its colour: reaching is "depended_by" along src -> dst
+        found = impact(same, colour.where("id = c").select("id"), 1_000_000, "depended_by").select("id").join(colour, "id").checkpoint()
         named = found.groupBy("c").agg(F.min("id").alias("scc"), F.count(F.lit(1)).alias("n"))
-        group = found.join(named, "c").where("n > 1").select("id", "scc")
-        done = (group if done is None else done.unionByName(group)).checkpoint()
+        group = found.join(named, "c").where("n > 1").select("id", "scc").checkpoint()
+        done = group if done is None else done.unionByName(group)
         gone = found.select("id")
         left = left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst").checkpoint()
+        n_left = left.count()
     if done is None:
         kind = edges.schema["src"].dataType.simpleString()
         return spark.createDataFrame([], f"id {kind}, scc {kind}")
@@ -170,8 +172,9 @@ def components_scc(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 def _settle(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """The greatest colour that reaches each node."""
+    e = Probe(edges, "src")
     while True:
-        sent = salted_join(edges, colour.select(F.col("id").alias("src"), "c"), ["src"], "inner").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("got"))
+        sent = e.join(colour.select(F.col("id").alias("src"), "c")).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("got"))
         fresh = colour.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("got", "c")).alias("c"), (F.col("got") > F.col("c")).alias("moved")).checkpoint()
         moved = not fresh.where("moved").isEmpty()
         colour = fresh.select("id", "c")
@@ -179,9 +182,9 @@ def _settle(edges: DataFrame, colour: DataFrame) -> DataFrame:
             return colour
 
 
-def condensation(edges: DataFrame) -> DataFrame:
+def condensation(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
     """The acyclic graph of the components: edges between different (component or single) nodes, named by their least id."""
-    scc = components_scc(edges)
+    scc = components_scc(edges) if scc is None else scc
     e = clean(edges, loops=False)
     a = salted_join(e, scc.select(F.col("id").alias("src"), F.col("scc").alias("ca")), ["src"], "left")
     b = salted_join(a, scc.select(F.col("id").alias("dst"), F.col("scc").alias("cb")), ["dst"], "left")
@@ -191,26 +194,26 @@ def condensation(edges: DataFrame) -> DataFrame:
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Dependencies first: (id, level) over the condensation; level 0 depends on nothing, others on lower levels only.
 
-    The nodes of one cycle share the level of their component.
+    The nodes of one cycle share the level of their component. Each round peels the nodes whose dependencies are all
+    peeled; a node's level is the number of rounds it stayed.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     scc = components_scc(edges).checkpoint()
-    left = condensation(edges).checkpoint()
+    left = condensation(edges, scc).checkpoint()
     e = clean(edges)
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
-    ids = (ids if nodes is None else ids.unionByName(nodes.select("id"))).distinct().join(scc, "id", "left").select("id", F.coalesce("scc", "id").alias("g")).checkpoint()
-    todo = ids.select(F.col("g").alias("id")).distinct().checkpoint()
-    out, level = None, 0
-    while not todo.isEmpty():
-        ready = todo.join(left.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        out = ready if out is None else out.unionByName(ready)
-        gone = ready.select("id")
-        todo = todo.join(gone, "id", "left_anti").checkpoint()
-        left = left.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst").checkpoint()
-        level += 1
-    if out is None:
-        return ids.select("id", F.lit(0).alias("level"))
-    return ids.join(out.withColumnRenamed("id", "g"), "g").select("id", "level")
+    ids = (ids if nodes is None else ids.unionByName(nodes.select("id").where("id is not null"))).distinct().join(scc, "id", "left").select("id", F.coalesce("scc", "id").alias("g")).checkpoint()
+    stays = [ids.select(F.col("g").alias("id")).distinct()]
+    while True:
+        todo = left.select(F.col("src").alias("id")).distinct().checkpoint()
+        if todo.isEmpty():
+            break
+        stays.append(todo)
+        left = left.join(todo.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").checkpoint()
+    every = stays[0].withColumn("level", F.lit(0))
+    for k, rows in enumerate(stays[1:], 1):
+        every = every.unionByName(rows.withColumn("level", F.lit(k)))
+    return ids.join(every.groupBy(F.col("id").alias("g")).agg(F.max("level").alias("level")), "g").select("id", "level")
 
 
 def doc_candidates(components: DataFrame, edges: DataFrame, floor: int = 400, share: float = 0.05) -> DataFrame:

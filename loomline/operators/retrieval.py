@@ -70,7 +70,8 @@ def bm25(posts: DataFrame, lengths: DataFrame, terms: DataFrame, least: float =
     `keep` restricts the pages scored (frequencies still count all). The query's terms are a few rows; postings are
     filtered by them first, so only matching postings are shuffled.
     """
-    hits = posts.join(F.broadcast(terms), "token")
+    # the semi join moves below the aggregation that makes the postings, an inner join would not
+    hits = posts.join(F.broadcast(terms.select("token")), "token", "left_semi").join(F.broadcast(terms), "token")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(lengths).first()
     n, average = int(stats["total_docs"] or 0), float(stats["avg_doc_len"] or 0.0) or 1.0

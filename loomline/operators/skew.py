@@ -57,3 +57,25 @@ def salted_join(
         SALT, F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
     )
     return left.drop("__hot").join(right.drop("__hot"), [*keys, SALT], how).drop(SALT)
+
+
+class Probe:
+    """The probe side of a join that is repeated with changing build sides, as iterative operators do.
+
+    Its hot keys are looked up once; they are at most `HOT_KEYS` values, so the driver may hold them.
+    """
+
+    def __init__(self, df: DataFrame, key: str, least: int = 1000):
+        self.key = key
+        self.hot = [r[0] for r in hot_keys(df.select(key), [key], least=least).select(key).collect()]
+        others = [F.col(c) for c in df.columns if c != key] or [F.col(key)]
+        salt = F.when(F.col(key).isin(self.hot), F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        self.df = df.withColumn(SALT, salt) if self.hot else df
+
+    def join(self, build: DataFrame) -> DataFrame:
+        """The inner join with `build` on the key."""
+        if not self.hot:
+            return self.df.join(build, self.key)
+        every = F.array(*(F.lit(i) for i in range(SALTS)))
+        wide = build.withColumn(SALT, F.explode(F.when(F.col(self.key).isin(self.hot), every).otherwise(F.array(F.lit(0)))))
+        return self.df.join(wide, [self.key, SALT]).drop(SALT)
