@@ -9,10 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from loomline.plans import crossservice, graphs, problems, retrieval
+from loomline.plans import crossservice, graphs, problems, retrieval, upkeep
 
-QUERIES = {**graphs.QUERIES, **crossservice.QUERIES, **retrieval.QUERIES, **problems.QUERIES}
-SQL = {**graphs.SQL, **crossservice.SQL, **retrieval.SQL, **problems.SQL}
+QUERIES = {**upkeep.QUERIES, **graphs.QUERIES, **crossservice.QUERIES, **retrieval.QUERIES, **problems.QUERIES}
+SQL = {**upkeep.SQL, **graphs.SQL, **crossservice.SQL, **retrieval.SQL, **problems.SQL}
 
 _shipped: set[str] = set()
 

@@ -62,7 +62,7 @@ def lines(x: str) -> str:
 
 def title(x: str) -> str:
     """The first level-one heading of a page, links unwrapped."""
-    t = f"trim(substr(list_filter(list_slice({lines(x)}, 1, 30), lambda y: starts_with(y, '# '))[1], 3))"
+    t = f"trim(substr(list_filter(list_slice({lines(x)}, 1, 30), lambda y: starts_with(y, '# '))[1], 3), ' ')"
     t = f"regexp_replace({t}, '\\[\\[(?:[^\\]|]*\\|)?([^\\]|]+)\\]\\]', '\\1', 'g')"
     return f"regexp_replace({t}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
 
