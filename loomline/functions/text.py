@@ -31,8 +31,7 @@ def tokens(text: Column | str) -> Column:
     t = F.regexp_replace(F.coalesce(col(text), F.lit("")), COMMENT, "")
     t = F.regexp_replace(without_front_matter(t), MARKUP, " ")
     words = F.split(F.lower(t), SEPARATORS)
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\p{Nd}+$") & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS) & ~w.rlike(r"^\p{Nd}+$"))
 
 
 def indexable_text(text: Column | str) -> Column:

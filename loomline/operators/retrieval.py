@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions.scalar import col, extract_title, norm_status, summary, trust_tier
 from loomline.functions.text import indexable_text, snippet, tokens
+from loomline.operators.skew import spread
 
 K1, B = 1.5, 0.75
 
@@ -23,7 +24,7 @@ def postings(pages: DataFrame, key: str = "doc_key", text: str = "text", boosted
     """(token, doc_key, tf): how often each term stands in each page. Empty pages give no rows."""
     body = indexable_text(text) if boosted else col(text)
     return (
-        pages.select(F.col(key).alias("doc_key"), F.explode(tokens(body)).alias("token"))
+        spread(pages).select(F.col(key).alias("doc_key"), F.explode(tokens(body)).alias("token"))
         .groupBy("token", "doc_key")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
@@ -32,7 +33,7 @@ def postings(pages: DataFrame, key: str = "doc_key", text: str = "text", boosted
 def doc_lengths(pages: DataFrame, key: str = "doc_key", text: str = "text", boosted: bool = True) -> DataFrame:
     """(doc_key, doc_len): the number of terms of each page, 0 for empty ones; computed without a shuffle."""
     body = indexable_text(text) if boosted else col(text)
-    return pages.select(F.col(key).alias("doc_key"), F.size(tokens(body)).alias("doc_len"))
+    return spread(pages).select(F.col(key).alias("doc_key"), F.size(tokens(body)).alias("doc_len"))
 
 
 def doc_frequencies(posts: DataFrame) -> DataFrame:
@@ -84,6 +85,28 @@ def bm25(posts: DataFrame, lengths: DataFrame, terms: DataFrame, least: float =
     return scored.where(F.col("score") >= least)
 
 
+def scan_search(pages: DataFrame, terms: DataFrame, least: float = 0.1, keep: Column | None = None, key: str = "doc_key", text: str = "text", boosted: bool = False) -> DataFrame:
+    """The same scores as `bm25` for pages that have no index: (doc_key, score).
+
+    The query's terms, a few words, are literals. One pass over the pages counts documents, lengths and the pages of
+    each term, a second one scores; nothing but the counts is exchanged. Use `bm25` where postings are stored.
+    """
+    asked = [(r["token"], int(r["times"])) for r in terms.orderBy("token").collect()]
+    body = indexable_text(text) if boosted else col(text)
+    rows = spread(pages.withColumn("__kept", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).select(F.col(key).alias("doc_key"), "__kept", F.col(text)))
+    rows = rows.select("doc_key", "__kept", tokens(body).alias("t"))
+    tf = lambda w: F.size(F.filter("t", lambda x: x == w))
+    counts = rows.select("doc_key", "__kept", F.size("t").alias("n"), *(tf(w).alias(f"f{i}") for i, (w, _) in enumerate(asked)))
+    got = counts.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("average"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(asked)))).first()
+    n, average = got["docs"], float(got["average"] or 0.0) or 1.0
+    length = K1 * (1 - B + B * F.col("n") / average)
+    score = F.lit(0.0)
+    for i, (_, times) in enumerate(asked):
+        f = F.col(f"f{i}").cast("double")
+        score = score + F.lit(idf(got[f"d{i}"], n) * times) * f * (K1 + 1) / (f + length)
+    return counts.where("__kept").select("doc_key", score.alias("score")).where(F.col("score") >= least)
+
+
 def top(scored: DataFrame, k: int = 10) -> DataFrame:
     """The k (1 to 20) best pages; ties by key."""
     return scored.orderBy(F.col("score").desc(), "doc_key").limit(max(1, min(20, k)))

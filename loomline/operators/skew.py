@@ -79,3 +79,12 @@ class Probe:
         every = F.array(*(F.lit(i) for i in range(SALTS)))
         wide = build.withColumn(SALT, F.explode(F.when(F.col(self.key).isin(self.hot), every).otherwise(F.array(F.lit(0)))))
         return self.df.join(wide, [self.key, SALT]).drop(SALT)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many partitions as the session has cores, if its scan gives fewer; else `df` itself.
+
+    For work that costs much more than moving the rows, on tables in a few files. Large tables are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -26,9 +26,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 20 best documents of a query."""
-    docs = _docs(spark, d)
-    posts, lengths = retrieval.postings(docs, boosted=False), retrieval.doc_lengths(docs, boosted=False)
-    best = retrieval.top(retrieval.bm25(posts, lengths, retrieval.query_terms(QUERY, spark=spark)), 20)
+    best = retrieval.top(retrieval.scan_search(_docs(spark, d), retrieval.query_terms(QUERY, spark=spark)), 20)
     return best.select("doc_key", F.round("score", 4).alias("score"))
 
 
