@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomline.operators.skew import spread
+
 TOKENIZERS = os.environ.get("LOOMLINE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how the tokenizer byte_bpe_50k splits a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -236,4 +238,4 @@ def encode_corpus(
                     begin, flat, ends = k + 1, [], [0]
 
     out = T.StructType([T.StructField(id_col, key), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, out)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.descriptions import description
+from loomline.operators.skew import spread
 
 #: How many lines may lie between a comment's last line and the signature (decorators aside).
 LINE_DISTANCE = 0
@@ -241,7 +242,7 @@ def documented_functions(components: DataFrame) -> DataFrame:
                 {n: pa.array([x[i] for x in out], pa.string()) for i, n in enumerate(["id", "code", "description", "found_in"])}
             )
 
-    return rows.mapInArrow(run, "id string, code string, description string, found_in string").dropDuplicates(["id"])
+    return spread(rows).mapInArrow(run, "id string, code string, description string, found_in string").dropDuplicates(["id"])
 
 
 def function_pairs(files: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.skew import spread
 from loomline.session import ensure_checkpoint_dir
 
 #: The forest is fitted on at most so many labelled files, taken in the order of a hash of their path.
@@ -218,7 +219,7 @@ def file_features(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     schema = "relative_path string, said boolean, vendored boolean, shaped boolean, " + ", ".join(f"{x} double" for x in FEATURES)
-    return files.select("relative_path", "file_text").mapInArrow(run, schema)
+    return spread(files.select("relative_path", "file_text")).mapInArrow(run, schema)
 
 
 def not_handwritten(files: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:

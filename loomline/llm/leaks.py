@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.words import words
+from loomline.operators.skew import spread
 
 MIN_RUN, WIDTH, STRIDE = 12, 7, 6
 RANK, EXTRA = 48, 16
@@ -126,7 +127,7 @@ def fit_space(docs: DataFrame, text_col: str, items: Items, width: int = WIDTH,
                 df[v + 1] += len(starts)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["x"])
 
-    text = docs.select(text_col)
+    text = spread(docs.select(text_col))
     df = _reduced(text.mapInArrow(count, "x binary"), "x")
     df = df if len(df) == v + 2 else np.zeros(v + 2)
     n = df[v + 1]
@@ -282,7 +283,7 @@ def leaked_passages(
 
     out_item = to_arrow_type(items.schema[item_id].dataType)
     assert doc_type is not None
-    return docs.select(doc_id, text_col).mapInArrow(run, f"`{doc_id}` {kind}, `{item_id}` {item_kind}").distinct()
+    return spread(docs.select(doc_id, text_col)).mapInArrow(run, f"`{doc_id}` {kind}, `{item_id}` {item_kind}").distinct()
 
 
 SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
@@ -363,7 +364,7 @@ def paraphrased_items(
                 [doc_id, item_id, "share", "answer_kept"],
             )
 
-    found = docs.select(doc_id, text_col).mapInArrow(
+    found = spread(docs.select(doc_id, text_col)).mapInArrow(
         run, f"`{doc_id}` {kind}, `{item_id}` {item_kind}, share double, answer_kept boolean"
     )
     best = F.max(F.struct("share", "answer_kept")).alias("b")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.syntax import EXTENSIONS, first_error
+from loomline.operators.skew import spread
 
 
 def syntax_errors(files: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def syntax_errors(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     schema = "relative_path string, repo_name string, language string, broken boolean, kind string, line int, found string"
-    return rows.mapInArrow(run, schema).dropDuplicates(["relative_path"])
+    return spread(rows).mapInArrow(run, schema).dropDuplicates(["relative_path"])
 
 
 def broken_files(files: DataFrame) -> DataFrame:

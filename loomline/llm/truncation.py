@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.llm.endings import CLOSED, OPEN, classify_ending, strip_marks
-from loomline.operators.skew import salted_join
+from loomline.operators.skew import salted_join, spread
 
 
 def strict_prefixes(values: DataFrame, col: str = "body") -> DataFrame:
@@ -91,7 +91,7 @@ def text_endings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.where(F.col(text_col).rlike(r"\S")).select(id_col, F.col(source_col).cast("string").alias("source"), text_col)
-    return rows.mapInArrow(run, f"id {kind}, source string, ending string, body string")
+    return spread(rows).mapInArrow(run, f"id {kind}, source string, ending string, body string")
 
 
 def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
