@@ -104,7 +104,9 @@ def scan_search(pages: DataFrame, terms: DataFrame, least: float = 0.1, keep: Co
     for i, (_, times) in enumerate(asked):
         f = F.col(f"f{i}").cast("double")
         score = score + F.lit(idf(got[f"d{i}"], n) * times) * f * (K1 + 1) / (f + length)
-    return counts.where("__kept").select("doc_key", score.alias("score")).where(F.col("score") >= least)
+    # a filter on the score would be pushed below the counts, which then run once per mention; a generator is not
+    best = F.filter(F.array(score), lambda s: s >= least)
+    return counts.where("__kept").select("doc_key", F.explode(best).alias("score"))
 
 
 def top(scored: DataFrame, k: int = 10) -> DataFrame:
