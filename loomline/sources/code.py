@@ -151,7 +151,12 @@ DECLARATIONS: dict[str, tuple[str, str]] = {
     "kotlin": (rf"{_MODS}(?:enum\s+|annotation\s+)?(?P<kind>class|interface|object)\s+(?P<name>\w+)", rf"{_MODS}fun\s+(?:<[^>]+>\s*)?(?:[\w.]+\.)?(?P<name>\w+)\s*\((?P<params>[^()]*)\)[^{{=\n]*[{{=]"),
     "php": (r"(?:abstract\s+|final\s+|readonly\s+)*(?P<kind>class|interface|trait|enum)\s+(?P<name>\w+)", r"(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(?P<name>\w+)\s*\((?P<params>[^()]*)\)[^{;]*\{"),
 }
-NOT_FUNCTIONS = frozenset("if for while switch catch return else do try new throw synchronized using lock foreach elseif match function sizeof defer go select case when with super this constructor typeof await yield not in".split())
+NOT_FUNCTIONS = frozenset("if for while switch catch return else do try new throw function super this".split())
+OWN_WORDS = {
+    "java": frozenset("synchronized assert".split()), "csharp": frozenset("using lock foreach fixed nameof typeof".split()), "go": frozenset("go defer select case range".split()),
+    "javascript": frozenset("with typeof await yield constructor in".split()), "typescript": frozenset("with typeof await yield constructor in".split()), "c": frozenset(["sizeof"]),
+    "cpp": frozenset("sizeof alignof decltype".split()), "kotlin": frozenset("when init constructor".split()), "php": frozenset("foreach elseif match isset empty array list echo".split()),
+}
 EXTENDS = re.compile(r"\b(?:extends|implements|permits)\s+([\w.,<>\s]+?)(?=\bextends\b|\bimplements\b|\bpermits\b|\{|$)|:\s*((?:public\s+|private\s+|protected\s+|virtual\s+)*[\w.<>]+(?:\([^)]*\))?(?:\s*,\s*[\w.<>\s]+)*)\s*\{")
 CALL = re.compile(r"\b(new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*(?:<[\w,\s]*>)?\(")
 
@@ -191,7 +196,7 @@ def _scan_braces(path: str, text: str, repo: str, language: str) -> tuple[list[t
     for m in functions.finditer(plain):
         g = m.groupdict()
         name = g.get("name") or g.get("name2") or g.get("name3") or ""
-        if not name or name in NOT_FUNCTIONS:
+        if not name or name in NOT_FUNCTIONS or name in OWN_WORDS[language]:
             continue
         params = g.get("params") or g.get("params2") or g.get("params3") or ""
         cut = r"[:=]" if language in ("typescript", "javascript", "kotlin") else r"="
@@ -232,7 +237,8 @@ def _scan_braces(path: str, text: str, repo: str, language: str) -> tuple[list[t
         body = plain.find("{", begin)
         for m in CALL.finditer(plain, max(body, begin), end):
             name = re.sub(r"->", ".", m[2])
-            if name.split(".")[0] not in NOT_FUNCTIONS or name.startswith(("this.", "super.")):
+            head = name.split(".")[0]
+            if (head not in NOT_FUNCTIONS and name not in OWN_WORDS[language]) or name.startswith(("this.", "super.")):
                 calls.append((cid, re.sub(r"^this\.", "", name), line(m.start()), "creates" if m[1] else "calls", len(calls)))
     return components, calls
 

@@ -41,7 +41,7 @@ def _compose(path: str, text: str) -> Iterator[tuple]:
         ports = []
         for p in s.get("ports") or []:
             p = p.get("published") or p.get("target") if isinstance(p, dict) else p
-            m = re.match(r"^(?:[\d.]+:)?(\d+)(?::\d+)?", str(p))
+            m = re.match(r"^(?:\d+(?:\.\d+)+:)?(\d+)", str(p))
             if m:
                 ports.append(int(m[1]))
         deps = s.get("depends_on") or []

@@ -42,26 +42,25 @@ def decode(files: DataFrame) -> DataFrame:
 
 def glob_regex(pattern: str) -> str:
     """A file glob as a regular expression for the JVM."""
-    return fnmatch.translate(pattern).replace(r"\Z", "$").replace("(?s:", "(?s:").replace(r"\z", "$")
+    return re.sub(r"\\[zZ]$", "$", fnmatch.translate(pattern))
 
 
 def matches_any(path: Column | str, patterns: Sequence[str]) -> Column:
     """Whether a path, its name, a folder it lies under or any segment fits one of the patterns."""
     p = clean_path(path)
-    name = F.regexp_extract(p, r"([^/]*)$", 1)
-    parts = F.split(p, "/")
-    test = F.lit(False)
-    plain = [x.rstrip("/") for x in patterns if not re.search(r"[*?\[]", x) and "/" not in x.rstrip("/")]
-    if plain:
-        test = test | F.arrays_overlap(parts, F.array(*(F.lit(x) for x in plain)))
-    for x in patterns:
-        if x.rstrip("/") in plain:
-            continue
-        r = glob_regex(x.rstrip("/"))
-        test = test | p.rlike(f"^{r}") | name.rlike(f"^{r}")
-        if "/" in x.rstrip("/") and not re.search(r"[*?\[]", x):
-            test = test | p.startswith(x.rstrip("/") + "/")
-    return test
+    plain, globs, folders = [], [], []
+    for x in (y.rstrip("/") for y in patterns):
+        if re.search(r"[*?\[]", x):
+            globs.append(glob_regex(x))
+        elif "/" in x:
+            folders.append(re.escape(x))
+        else:
+            plain.append(re.escape(x))
+    # one expression for all patterns: a segment, a folder above, or a glob over the path or its name
+    tests = [f"(?:^|/)(?:{'|'.join(plain)})(?:/|$)"] if plain else []
+    tests += [f"^(?:{'|'.join(folders)})(?:/|$)"] if folders else []
+    tests += [f"(?:^|^.*/)(?:{'|'.join(g.removesuffix('$') for g in globs)})$"] if globs else []
+    return p.rlike("|".join(f"(?:{t})" for t in tests)) if tests else F.lit(False)
 
 
 def select_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), column: str = "relative_path") -> DataFrame:
