@@ -114,9 +114,10 @@ def documented(components: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def without_nested(services: DataFrame) -> DataFrame:
-    """Services that lie in no other service's folder: (name, relative_path)."""
-    s = services.select("name", clean_path("relative_path").alias("p")).distinct()
-    parts = F.split("p", "/")
+    """The rows of services whose folder lies in no other service's folder; `relative_path` in clean notation."""
+    s = services.withColumn("relative_path", clean_path("relative_path")).distinct()
+    parts = F.split("relative_path", "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    inner = s.select("p", F.explode(above).alias("q")).where("p <> q").join(s.select(F.col("p").alias("q")).distinct(), "q").select("p").distinct()
-    return s.join(inner, "p", "left_anti").select("name", F.col("p").alias("relative_path"))
+    inner = s.select("relative_path", F.explode(above).alias("q")).where("relative_path <> q")
+    inner = inner.join(s.select(F.col("relative_path").alias("q")), "q", "left_semi").select("relative_path")
+    return s.join(inner, "relative_path", "left_anti").select(*services.columns)

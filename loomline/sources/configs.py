@@ -112,19 +112,21 @@ def detect_services(files: DataFrame) -> DataFrame:
     listed = files.select(clean_path("relative_path").alias("p")).distinct()
     folder = F.regexp_extract("p", r"^(.*)/[^/]*$", 1)
     base = F.regexp_extract("p", r"([^/]*)$", 1)
-    composed = compose_services(files).where("build_path is not null").select(clean_path(F.concat(F.regexp_extract("source_file", r"^(.*/)?[^/]*$", 1), "build_path")).alias("f"), F.lit(0).alias("r"), F.lit("docker-compose").alias("source"))
-    docker = listed.where(base.rlike(r"^Dockerfile")).select(folder.alias("f"), F.lit(1).alias("r"), F.lit("dockerfile").alias("source"))
-    manifest = listed.where(base.isin(*MANIFESTS)).select(folder.alias("f"), F.lit(2).alias("r"), F.lit("manifest").alias("source"))
     parts = F.split("p", "/")
-    child = listed.where(F.size(parts) >= 3).select(F.when(F.get(parts, 0).isin(*CONVENTIONS), F.array_join(F.slice(parts, 1, 2), "/")).alias("f"), F.lit(3).alias("r"), F.lit("convention").alias("source")).where("f is not null")
-    spring = listed.where(F.col("p").rlike(r"src/main/resources/application\.(?:ya?ml|properties)$")).select(F.regexp_replace("p", r"/?src/main/resources/[^/]*$", "").alias("f"), F.lit(4).alias("r"), F.lit("spring").alias("source"))
-    every = composed.unionByName(docker).unionByName(manifest).unionByName(child).unionByName(spring)
-    segs = F.split("f", "/")
-    kept = every.select(F.regexp_replace("f", r"/$", "").alias("f"), "r", "source").where((F.col("f") != "") & (F.size(segs) <= DEPTH) & ~F.arrays_overlap(segs, F.array(*(F.lit(x) for x in NO_SERVICES))))
-    best = kept.groupBy("f").agg(F.min_by("source", F.struct("r", "source")).alias("source"))
-    named = best.select(F.element_at(F.split("f", "/"), -1).alias("name"), F.col("f").alias("relative_path"), "source")
-    top = without_nested(named)
-    return named.join(top.select("relative_path"), "relative_path", "left_semi").select("name", "relative_path", "source")
+    sign = lambda r, source, f: F.struct(F.lit(r).alias("r"), F.lit(source).alias("source"), f.alias("f"))
+    signs = F.array(
+        F.when(base.rlike(r"^Dockerfile"), sign(1, "dockerfile", folder)),
+        F.when(base.isin(*MANIFESTS), sign(2, "manifest", folder)),
+        F.when((F.size(parts) >= 3) & F.get(parts, 0).isin(*CONVENTIONS), sign(3, "convention", F.array_join(F.slice(parts, 1, 2), "/"))),
+        F.when(F.col("p").rlike(r"src/main/resources/application\.(?:ya?ml|properties)$"), sign(4, "spring", F.regexp_replace("p", r"/?src/main/resources/[^/]*$", ""))),
+    )
+    held = listed.select(F.explode(F.filter(signs, lambda x: x.isNotNull())).alias("x")).select("x.*")
+    where = F.concat(F.regexp_extract("source_file", r"^(.*/)?[^/]*$", 1), "build_path")
+    composed = compose_services(files).where("build_path is not null").select(F.lit(0).alias("r"), F.lit("docker-compose").alias("source"), clean_path(where).alias("f"))
+    best = held.unionByName(composed).groupBy(F.regexp_replace("f", r"/$", "").alias("f")).agg(F.min_by("source", F.struct("r", "source")).alias("source"))
+    out = "|".join(re.escape(x) for x in NO_SERVICES)
+    kept = best.where((F.col("f") != "") & ~F.col("f").rlike(rf"(?:^|/)(?:{out})(?:/|$)") & (F.size(F.split("f", "/")) <= DEPTH))
+    return without_nested(kept.select(F.regexp_extract("f", r"([^/]*)$", 1).alias("name"), F.col("f").alias("relative_path"), "source"))
 
 
 def language_summary(rows: DataFrame) -> str:
