@@ -21,14 +21,15 @@ def strict_prefixes(values: DataFrame, col: str = "body") -> DataFrame:
     partitioned and sorted (a prefix shared by a third of all rows spreads over as many partitions as it
     needs), neighbours are compared within a partition, and of each partition only the first and the last
     value go on to be compared with the next partition's. `same_line`: the longer value goes on within the
-    line; `glued`: its next character is a letter or digit. Null values are left out.
+    line; `glued`: it goes on with a letter or digit right after a letter, a digit or a full stop, which may stand within
+    a number or a name. Null and empty values are left out.
     """
-    ordered = values.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    ordered = values.select(col).where(F.col(col) != "").distinct().repartitionByRange(col).sortWithinPartitions(col)
 
     def judge(short: str, long: str) -> tuple[bool, bool]:
         nxt = long[len(short)]
         line = long[len(short) :].split("\n", 1)[0].strip()
-        return bool(line), nxt.isalnum()
+        return bool(line), nxt.isalnum() and (short[-1].isalnum() or short[-1] in "._")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: str | None = None
@@ -66,7 +67,7 @@ def strict_prefixes(values: DataFrame, col: str = "body") -> DataFrame:
         .select(
             F.md5("short").alias("h"),
             F.when(F.col("edge"), F.trim(F.substring_index(rest, "\n", 1)) != "").otherwise(F.col("same_line")).alias("same_line"),
-            F.when(F.col("edge"), rest.rlike(r"^[\p{L}\p{N}]")).otherwise(F.col("glued")).alias("glued"),
+            F.when(F.col("edge"), rest.rlike(r"^[\p{L}\p{N}]") & F.col("short").rlike(r"[\p{L}\p{N}._]$")).otherwise(F.col("glued")).alias("glued"),
         )
         .groupBy("h")
         .agg(F.max("same_line").alias("same_line"), F.max("glued").alias("glued"))
