@@ -195,7 +195,7 @@ def shape(text: str | None) -> list[float]:
 def looks_minified(f: list[float]) -> bool:
     """Lines of code, strings left out, that nobody would write, and hardly any white space."""
     v = dict(zip(FEATURES, f, strict=True))
-    return v["line_max"] > 250 and v["line_mean"] > 100 and v["space_share"] < 0.12
+    return v["line_max"] > 160 and v["line_mean"] > 90 and v["space_share"] < 0.12
 
 
 def looks_like_data(f: list[float]) -> bool:
