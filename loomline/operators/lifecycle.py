@@ -39,10 +39,10 @@ def rank_stats(stats: DataFrame, by: str = "hit_count", ascending: bool = False,
 
 def hit_summary(hits: DataFrame, files: DataFrame) -> DataFrame:
     """One row: distinct queries, files hit, all files, and the share hit."""
-    n = files.select("file_path").distinct().join(hits.select("file_path").distinct().withColumn("h", F.lit(1)), "file_path", "left")
-    q = hits.agg(F.count_distinct("query").alias("n_queries"))
-    share = n.agg(F.count(F.lit(1)).alias("n_files"), F.count("h").alias("n_hit"), F.round(F.avg(F.coalesce("h", F.lit(0)).cast("double")), 6).alias("hit_rate"))
-    return q.withColumn("k", F.lit(1)).join(share.withColumn("k", F.lit(1)), "k").drop("k")
+    hit = hits.select("file_path").distinct().withColumn("h", F.lit(1.0))
+    n = files.select("file_path").distinct().join(hit, "file_path", "left").select(F.lit(None).cast("string").alias("query"), F.coalesce("h", F.lit(0.0)).alias("h"))
+    both = n.unionByName(hits.select(F.col("query").cast("string").alias("query"), F.lit(None).cast("double").alias("h")).distinct())
+    return both.agg(F.count_distinct("query").alias("n_queries"), F.count("h").alias("n_files"), F.count_if(F.col("h") == 1).alias("n_hit"), F.round(F.avg("h"), 6).alias("hit_rate"))
 
 
 def zero_hits(files: DataFrame, stats: DataFrame) -> DataFrame:

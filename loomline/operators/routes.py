@@ -148,11 +148,10 @@ def service_pairs(links: DataFrame, samples: int = 3) -> DataFrame:
     pair = ["client_repo", "server_repo"]
     counted = links.groupBy(*pair, "route_key").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy(*pair).orderBy("route_key"))
-    return (
-        counted.withColumn("r", rank).groupBy(*pair)
-        .agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_keys"),
-             F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("route_key")))).alias("sample_keys"))
-    )
+    # the filter on the rank lets each task drop all but the first keys of a pair before the exchange
+    first = counted.withColumn("r", rank).where(F.col("r") <= samples).groupBy(*pair).agg(F.array_sort(F.collect_list("route_key")).alias("sample_keys"))
+    totals = counted.groupBy(*pair).agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_keys"))
+    return totals.join(first, pair)
 
 
 def edge_labels(links: DataFrame, most: int = 3) -> DataFrame:

@@ -43,15 +43,12 @@ def chart_elements(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def index_page(pages: DataFrame) -> DataFrame:
-    """The lines of the index page in order: overview first, pages by title, notes newest first: (section, n, line)."""
-    from pyspark.sql.window import Window
-
+    """The lines of the index page in order: overview first, pages by title, notes newest first: (section, line)."""
     name = F.coalesce("title", "doc_key")
     line = F.concat(F.lit("- ["), name, F.lit("]("), F.col("doc_key"), F.lit(")"))
     first = F.when(F.lower("doc_key").rlike(r"(^|/)overview\.md$"), 0).otherwise(1)
     newest = F.when(F.col("source") == "note", -F.coalesce(F.unix_timestamp(F.col("updated_at").cast("timestamp")), F.lit(0))).otherwise(F.lit(0))
-    n = F.row_number().over(Window.partitionBy("source").orderBy(first, newest, name, "doc_key"))
-    return pages.select(F.col("source").alias("section"), n.alias("n"), line.alias("line"))
+    return pages.orderBy("source", first, newest, name, "doc_key").select(F.col("source").alias("section"), line.alias("line"))
 
 
 def operation_log(entries: DataFrame) -> DataFrame:

@@ -84,7 +84,10 @@ class Probe:
 def spread(df: DataFrame) -> DataFrame:
     """`df` in as many partitions as the session has cores, if its scan gives fewer; else `df` itself.
 
-    For work that costs much more than moving the rows, on tables in a few files. Large tables are not moved.
+    For work that costs much more than moving the rows, on tables in a few files. Large tables are not moved, nor are
+    results of a shuffle, whose partitions are not known before they run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
