@@ -91,8 +91,18 @@ def _vectors(ids: np.ndarray, starts: np.ndarray, width: int, space_terms: np.nd
     return out
 
 
+#: Partial sums that one task adds up; tasks of a pass for each core, beyond which scan partitions are merged.
+FAN_IN, TASKS_PER_CORE = 64, 4
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """`df` in at most TASKS_PER_CORE tasks a core: each task sends one block of numbers, whatever it has read."""
+    most = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
+
+
 def _reduced(df: DataFrame, column: str) -> np.ndarray:
-    """The sum of one array per partition, added up in two levels; what reaches the driver does not grow with the corpus."""
+    """The sum of one array per partition, added up in levels of FAN_IN; at most 8 sums reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -103,7 +113,11 @@ def _reduced(df: DataFrame, column: str) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], [column])
 
-    parts = df.repartition(8).mapInArrow(add, f"{column} binary").collect()
+    n = df.rdd.getNumPartitions()
+    while n > 8:
+        n = max(8, -(-n // FAN_IN))
+        df = df.repartition(n).mapInArrow(add, f"{column} binary")
+    parts = df.collect()
     return sum((np.frombuffer(r[0], dtype=np.float64) for r in parts), np.zeros(1))
 
 
@@ -127,7 +141,7 @@ def fit_space(docs: DataFrame, text_col: str, items: Items, width: int = WIDTH,
                 df[v + 1] += len(starts)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary())], ["x"])
 
-    text = spread(docs.select(text_col))
+    text = _bounded(spread(docs.select(text_col)))
     df = _reduced(text.mapInArrow(count, "x binary"), "x")
     df = df if len(df) == v + 2 else np.zeros(v + 2)
     n = df[v + 1]
