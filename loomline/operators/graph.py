@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from loomline.operators.skew import Probe, salted_join
 from loomline.session import ensure_checkpoint_dir
 
+#: Rounds after which what was reached is written in one piece.
+COMPACT = 8
+
 
 def edges_of(components: DataFrame, id_col: str = "id", deps_col: str = "depends_on", known_only: bool = True) -> DataFrame:
     """Distinct edges of the components' dependency lists; edges to unknown ids are dropped unless `known_only` is false."""
@@ -95,6 +98,8 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int = 10, direction:
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % COMPACT == 0:  # many small pieces make many small tasks
+            reached = reached.repartition("id").checkpoint()
     return reached
 
 
