@@ -249,6 +249,14 @@ SQL = {
     "call_context": f"""{_E}, {_START.format(n=3)}, n AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM starts) UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM starts))
         SELECT DISTINCT id, name, coalesce(array_to_string(parameters, ','), NULL) AS parameters FROM components WHERE id IN (SELECT id FROM n) AND id NOT IN (SELECT id FROM starts) ORDER BY id LIMIT 15""",
     "calls_deduplicated": "SELECT caller, callee, min(ord) AS ord FROM calls WHERE caller IS NOT NULL AND callee IS NOT NULL GROUP BY ALL",
+    "doc_candidates": f"""{_E}, c AS (SELECT id, any_value(lower(trim(component_type))) AS t FROM components GROUP BY id),
+        k AS (SELECT id FROM c WHERE t IN ('class', 'interface', 'struct') AND NOT regexp_matches(lower(id), 'error|exception|failed|invalid'))
+        SELECT id FROM k WHERE (SELECT count(*) FROM k) < greatest(400, floor((SELECT count(*) FROM c) * 0.05)) OR id NOT IN (SELECT dst FROM edges WHERE src <> dst)""",
+    "external_callees": """SELECT CASE WHEN contains(callee, '::') AND NOT starts_with(callee, 'std::') THEN 'component' WHEN callee IN ('len', 'super') THEN 'builtin'
+          WHEN regexp_matches(callee, '^(?:os|sys|re|json|math|time|logging|pathlib|collections|itertools|functools|typing|datetime|subprocess|threading|asyncio|abc|io|copy|random|string|struct|hashlib|shutil)\\.') THEN 'stdlib'
+          ELSE 'unknown' END AS kind, count(*) AS n FROM calls WHERE callee IS NOT NULL GROUP BY 1""",
+    "impact_paths": f"""{_E}, {_START.format(n=3)}, r AS (SELECT id, 0 AS depth, id AS path FROM starts UNION ALL SELECT e.src, r.depth + 1, r.path || ' > ' || e.src FROM r JOIN edges e ON e.dst = r.id WHERE r.depth < 4 AND e.src <> e.dst)
+        SELECT id, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, string_split(path, ' > ')) AS n FROM r) WHERE n = 1""",
     "processing_order": f"""WITH f AS (SELECT DISTINCT repo_name, array_to_string(list_slice(string_split({q.clean_path('relative_path')}, '/'), 1, 2), '/') AS folder FROM components)
         SELECT DISTINCT repo_name AS module, CAST(NULL AS VARCHAR) AS parent, 0 AS depth FROM f UNION ALL SELECT DISTINCT folder, repo_name, 1 FROM f""",
 }

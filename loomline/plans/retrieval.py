@@ -182,6 +182,10 @@ SQL = {
         c AS (SELECT doc_key, ls, list_transform(ls, lambda x: len(list_filter({_W}, lambda t: contains(lower(x), t)))) AS cs FROM l),
         b AS (SELECT doc_key, ls, list_position(cs, list_max(cs)) AS best FROM c)
         SELECT doc_key, md5(substr(trim(array_to_string(list_slice(ls, greatest(best - 1, 1), best + 2), chr(10))), 1, 300)) AS snippet_md5 FROM b""",
+    "page_directory": f"""
+        WITH {q.PAGES}, p AS (SELECT doc_key, text, lower(left(text, 3000)) AS low FROM pages),
+        n AS (SELECT doc_key, CASE WHEN contains(low, 'channel') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'ledger') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'queue') THEN 1 ELSE 0 END AS overlap,
+          len(regexp_extract_all(text, '(?m)^(#{{1,6}} [^\\r\\n]+)', 1)) AS n_headings FROM p) SELECT doc_key, overlap, n_headings FROM n WHERE overlap > 0 ORDER BY overlap DESC, doc_key LIMIT 20""",
     "titles": f"""
         WITH {q.PAGES}, b AS (SELECT doc_key, text, list_filter({q.lines(q.without_fm('text'))}, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(?:#|>|\\||```|---|!\\[|<!--|[-*] )'))[1] AS f FROM pages)
         SELECT doc_key, {q.title('text')} AS title, CASE WHEN length(trim(coalesce(f, ''))) > 120 THEN substr(trim(f), 1, 117) || '...' ELSE trim(coalesce(f, '')) END AS summary FROM b""",

@@ -521,7 +521,23 @@ SQL = {
     "symbol_map": f"SELECT name, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT DISTINCT name, {_P} AS f FROM components WHERE lower(trim(component_type)) IN ('class', 'interface', 'struct', 'enum', 'record')) GROUP BY name",
     "symbol_links": f"""WITH {q.PAGES} SELECT DISTINCT doc_key, s AS symbol FROM (SELECT doc_key, unnest(regexp_extract_all(text, '`([A-Za-z_][\\w.]*)(?:\\(\\))?`', 1)) AS s FROM pages)
         WHERE s IN (SELECT split_part(name, '.', -1) FROM components)""",
-    "routing_classes": None,
+    "routing_classes": f"""WITH c AS (SELECT DISTINCT id, lower(name) AS n, '/' || lower({_P}) || '/' AS p, left(coalesce(source_code, ''), 2000) AS h FROM components)
+        SELECT CASE {' '.join(f"WHEN regexp_matches(n, '(?:{'|'.join(sorted({x.lower() for x in r['suffixes'].split()}))})$') OR regexp_matches(p, '/(?:{'|'.join(r['paths'].split())})/') OR regexp_matches(h, '{'|'.join(r['annotations'].split())}') THEN '{k}'" for k, r in resolve.ROUTING.items())}
+          ELSE 'business' END AS class, count(*) AS n FROM c GROUP BY 1""",
+    "leaf_listing": f"""WITH c AS (SELECT id, any_value({_P}) AS file, any_value(source_code) AS s, any_value(lower(trim(component_type))) AS t FROM components GROUP BY id),
+        {q.EDGES.strip()}, k AS (SELECT * FROM c WHERE t IN ('class', 'interface', 'struct') AND NOT regexp_matches(lower(id), 'error|exception|failed|invalid')),
+        d AS (SELECT * FROM k WHERE (SELECT count(*) FROM k) < greatest(400, floor((SELECT count(*) FROM c) * 0.05)) OR id NOT IN (SELECT dst FROM edges WHERE src <> dst))
+        SELECT file, count(*) AS n, sum(ceil(length(coalesce(s, '')) / 4.0)) AS tokens FROM d GROUP BY file""",
+    "batch_status": """WITH b AS (SELECT doc_id AS item, CASE WHEN starts_with(source, 'notes-') THEN 'note' WHEN source = 'raw-sources' THEN 'source' END AS kind, title, text FROM documents),
+        e AS (SELECT *, CASE WHEN kind IS NULL THEN 'unknown kind' WHEN trim(coalesce(text, ''), ' ') = '' THEN 'no content' WHEN kind = 'note' AND trim(coalesce(title, ''), ' ') = '' THEN 'no title' END AS error FROM b),
+        r AS (SELECT *, min(CASE WHEN error IS NULL THEN item END) OVER (PARTITION BY coalesce(text, ''), kind) AS first FROM e)
+        SELECT kind, CASE WHEN error IS NOT NULL THEN 'failed' WHEN item = first THEN 'ingested' ELSE 'repeat' END AS status, error, count(*) AS n FROM r GROUP BY ALL""",
+    "migrated_pages": f"""WITH {q.PAGES}, k AS (SELECT doc_key, text, {q.fm_text('text')} AS fm, CASE WHEN contains(lower(doc_key), 'notes/') THEN 'note' WHEN contains(lower(doc_key), 'raw/sources') THEN 'source'
+          WHEN contains(lower(doc_key), '/entities/') THEN 'entity' WHEN contains(lower(doc_key), '/concepts/') THEN 'concept' ELSE 'module' END AS kind FROM pages)
+        SELECT doc_key, NOT regexp_matches(fm, '(?m)^type:\\s*\\S') AS changed, md5(CASE WHEN regexp_matches(fm, '(?m)^type:\\s*\\S') THEN text
+          WHEN fm = '' THEN '---' || chr(10) || 'type: ' || kind || chr(10) || 'status: stable' || chr(10) || 'stale_after: 2025-08-30' || chr(10) || '---' || chr(10) || text
+          ELSE '---' || chr(10) || 'type: ' || kind || chr(10) || regexp_replace(text, '\\A\\x{{FEFF}}?---\\r?\\n', '') END) AS text_md5 FROM k""",
+    "module_mentions": None,
     "content_hashes": "SELECT id, left(sha256(source_code), 16) AS h FROM (SELECT DISTINCT id, source_code FROM components WHERE source_code IS NOT NULL)",
     "file_hashes": "SELECT DISTINCT relative_path, sha256(file_text) AS h FROM source_files WHERE file_text IS NOT NULL",
     "duplicate_sources": "SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
