@@ -79,7 +79,7 @@ def test_pieces_cover_every_line_once(lines, limit, overlap):
 
 
 def test_pieces_by_hand():
-    assert [tuple(p) for p in split_text("aaaa\n\nbbbb\ncccc\ndddd", 11)] == [(0, 1, 0), (0, 2, 0), (1, 3, 0), (3, 4, 0)] or True
+    assert [tuple(p) for p in split_text("aaaa\n\nbbbb\ncccc\ndddd", 11)] == [(0, 1, 0), (0, 2, 0), (1, 3, 0), (3, 4, 0)]
     assert [tuple(p) for p in split_text("x" * 25, 10)] == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]
     assert [tuple(p) for p in split_text("a\n" + "x" * 15 + "\nb", 10)] == [(0, 0, 0), (1, 1, 0), (1, 1, 1), (2, 2, 0)]
 
