@@ -16,6 +16,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -300,7 +301,34 @@ def leaked_passages(
     return spread(docs.select(doc_id, text_col)).mapInArrow(run, f"`{doc_id}` {kind}, `{item_id}` {item_kind}").distinct()
 
 
-SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
+#: A sentence ends before white space, at an ideographic full stop or at an empty line; single newlines are white space.
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
+#: What stands between marks or line ends of a document; such a piece is a span of its own, of any length.
+PIECE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
+#: Window starts looked at together.
+PLACES = 8192
+
+
+def item_sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence of an item's text."""
+    return [w for s in SENTENCE_END.split(text or "") if (w := words(s))]
+
+
+def subsequence_counter(s: Sequence[str]):
+    """A function that gives the length of the longest common subsequence of `s` and its argument, by bits."""
+    full, masks = (1 << len(s)) - 1, {}
+    for j, x in enumerate(s):
+        masks[x] = masks.get(x, 0) | 1 << j
+
+    def count(w: Sequence[str]) -> int:
+        row = full
+        for x in w:
+            if m := masks.get(x):
+                u = row & m
+                row = ((row + u) | (row - u)) & full
+        return len(s) - row.bit_count()
+
+    return count
 
 
 def paraphrased_items(
@@ -315,18 +343,21 @@ def paraphrased_items(
 ) -> DataFrame:
     """Sentences of items that a document holds in reworded form: (doc_id, item_id, share, answer_kept).
 
-    Sentences are candidates by their latent cosine; `share` is the longest common subsequence over the item
-    sentence's words, at least `least_share`. `answer_kept` says whether the numbers of the item's sentence,
-    which carry its answer, all stand in the document's. The best pair of sentences counts for each pair of
-    document and item. Nulls, repeats and lengths are handled as by `leaked_passages`.
+    The whole text is searched by overlapping spans that begin at every word, whatever its lines and marks, of
+    1 / `least_share` times the sentence's words; a span is a candidate if the latent cosine of it or of a window
+    in it, as long as the sentence, is high. Sentences of the document, as marks and lines cut them, are candidates
+    too, which may be longer. `share` is the longest common subsequence over the item sentence's words, at least
+    `least_share`. Sentences of under `least_words` words, of which a part says nothing, must stand there word by
+    word. `answer_kept` says whether the numbers of the item's sentence, which carry its answer, all stand in the
+    span. The best sentence and span count for each pair of document and item.
+    Nulls, repeats and lengths are handled as by `leaked_passages`.
     """
     rows = items.select(item_id, text_col).where(F.col(text_col).isNotNull()).distinct().collect()
     ids, texts = [], []
     for r in sorted(rows, key=lambda r: (str(r[0]), r[1])):
-        for s in SENTENCE.findall(r[1]):
-            if len(w := words(s)) >= least_words:
-                ids.append(r[0])
-                texts.append(w)
+        for w in item_sentences(r[1]):
+            ids.append(r[0])
+            texts.append(w)
     vocabulary: dict[str, int] = {}
     for w in texts:
         for x in w:
@@ -342,31 +373,68 @@ def paraphrased_items(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, space = sent.value
-        v, terms = len(held.vocabulary), space.terms
+        v = len(held.vocabulary)
+        # row v is a word that no item has, row v + 1 the end of a text
+        terms = np.vstack([space.terms, np.zeros((1, space.terms.shape[1]), np.float32)])
         mean = [terms[[held.vocabulary[x] for x in w]].sum(0) for w in held.texts]
         known = np.array(mean, np.float32).reshape(len(mean), terms.shape[1])
         known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
         numbers = [{x for x in w if x.isdigit()} for w in held.texts]
+        count = [subsequence_counter(w) for w in held.texts]
+        light = float(space.idf.min()) ** 2 if v else 0.0
+        lengths: dict[int, list[int]] = {}
+        for i, w in enumerate(held.texts):
+            lengths.setdefault(len(w), []).append(i)
+        reach = {n: math.ceil(n / least_share - 1e-9) if n >= least_words else n for n in lengths}
+        classes = [(n, reach[n], np.array(members), known[members]) for n, members in sorted(lengths.items())]
+        beyond = max((span for _, span, _, _ in classes), default=0)
+
+        def places(row: np.ndarray) -> Iterator[tuple[int, int]]:
+            """(sentence, begin of the span) where a window's cosine is high enough."""
+            row = np.concatenate([row, np.full(beyond, v + 1)])
+            for b in range(0, len(row) - beyond, PLACES):
+                ix = row[b : min(b + PLACES, len(row) - beyond) + beyond]
+                size = len(ix) - beyond
+                inside = np.concatenate([[0], np.cumsum(ix < v)])
+                foreign = np.concatenate([[0], np.cumsum(ix == v)])
+                total = np.vstack([np.zeros((1, terms.shape[1])), np.cumsum(terms[ix], axis=0, dtype=np.float64)])
+                for n, span, members, vectors in classes:
+                    least = math.ceil(least_share * n - 1e-9) if n >= least_words else n
+                    # a span with fewer known words cannot hold enough of the sentence
+                    s = np.flatnonzero(inside[span : span + size] - inside[:size] >= least)
+                    for width in sorted({n, span}):
+                        x = (total[s + width] - total[s]).astype(np.float32)
+                        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1) + (foreign[s + width] - foreign[s]) * light)
+                        r, c = np.nonzero((x @ vectors.T) >= cosine * np.maximum(norm, 1e-12)[:, None])
+                        for at, i in zip((s[r] + b).tolist(), members[c].tolist(), strict=True):
+                            for begin in range(max(0, at - span + width), at + 1):
+                                yield i, begin
+
+        def sentences(text: str) -> Iterator[tuple[int, list[str]]]:
+            """(sentence, words of the document's own sentence) where their cosine is high enough."""
+            for s in PIECE.findall(text):
+                w = words(s)
+                ix = np.array([held.vocabulary.get(x, v) for x in w], dtype=np.int64)
+                if (ix < v).sum() < least_share * least_words:
+                    continue
+                x = terms[ix].sum(0)
+                norm = math.sqrt(float(x @ x) + float((ix == v).sum()) * light)
+                for i in np.flatnonzero(known @ x >= cosine * max(norm, 1e-12)).tolist():
+                    if len(held.texts[i]) >= least_words:
+                        yield i, w
+
         for batch in batches:
-            out: dict[tuple[int, int], tuple[float, bool]] = {}
-            for k, text in enumerate(batch.column(1)):
-                for s in SENTENCE.findall(text.as_py() or ""):
-                    w = words(s)
-                    if len(w) < least_words:
-                        continue
-                    ix = np.array([held.vocabulary.get(x, v) for x in w])
-                    if (ix < v).sum() < least_share * least_words:
-                        continue
-                    x = terms[ix].sum(0)
-                    norm = math.sqrt(float(x @ x) + float((ix == v).sum()) * space.idf.min() ** 2)
-                    for i in np.flatnonzero(known @ x >= cosine * max(norm, 1e-12)):
-                        share = common_subsequence(w, held.texts[i]) / len(held.texts[i])
-                        if share >= least_share:
-                            key = (k, int(i))
-                            out[key] = max(out.get(key, (0.0, False)), (share, numbers[i] <= set(w)))
             best: dict[tuple[int, object], tuple[float, bool]] = {}
-            for (k, i), got in out.items():
-                best[k, held.ids[i]] = max(best.get((k, held.ids[i]), (0.0, False)), got)
+            for k, text in enumerate(batch.column(1)):
+                w = words(text.as_py())
+                row = np.fromiter((held.vocabulary.get(x, v) for x in w), dtype=np.int64, count=len(w))
+                spans = ((i, w[begin : begin + reach[len(held.texts[i])]]) for i, begin in set(places(row)))
+                for i, part in chain(spans, sentences(text.as_py() or "")):
+                    n = len(held.texts[i])
+                    share = count[i](part) / n
+                    if share >= (least_share if n >= least_words else 1.0):
+                        key = (k, held.ids[i])
+                        best[key] = max(best.get(key, (0.0, False)), (share, numbers[i] <= set(part)))
             keys = batch.column(0)
             yield pa.RecordBatch.from_arrays(
                 [

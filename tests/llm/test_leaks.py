@@ -84,3 +84,34 @@ def test_paraphrases(spark, rows):
     i = spark.createDataFrame([(7, item), (8, None)], "item_id bigint, text string")
     got = rows(leaks.paraphrased_items(d, i), "doc_id", "item_id", "answer_kept")
     assert got == [(1, 7, True), (2, 7, False)]
+
+
+def test_paraphrases_across_lines_and_marks(spark):
+    said = "The quota daemon forgets a half-written segment only during the 31 second grace period so that a reader cannot observe a torn write"
+    w = said.split()
+    rng = random.Random(5)
+    around = [" ".join(f"f{rng.randrange(500)}" for _ in range(60)) for _ in range(8)]
+    reworded = " ".join(x for k, x in enumerate(w) if k % 6 != 3)
+    wrapped = [" ".join(w[k : k + 5]) for k in range(0, len(w), 5)]
+    docs = [
+        (1, "\n".join(wrapped) + "."),
+        (2, "\n> ".join([around[0], *wrapped, around[1]])),
+        (3, f"{around[2]} {said} {around[3]}"),
+        (4, f"{around[4]} {reworded.replace('31', '32')} {around[5]}"),
+        (5, f"{around[6]} {' '.join(w[:12])} {around[7]}"),
+        (6, "We paid 3.5 percent. What\nhappens next? Nobody knows."),
+        (7, "What really happens then? 3.5 or so."),
+        (8, None),
+    ]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(70, said + "."), (71, "What happens next?"), (72, "We paid 3.5\npercent.")], "item_id bigint, text string")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in leaks.paraphrased_items(d, i).collect()}
+    assert set(got) == {(1, 70), (2, 70), (3, 70), (4, 70), (6, 71), (6, 72)}
+    assert got[2, 70] == got[3, 70] == (1.0, True) and not got[4, 70][1]
+
+
+def test_subsequence_by_bits():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        assert leaks.subsequence_counter(a)(b) == leaks.common_subsequence(a, b)
