@@ -1,8 +1,8 @@
 """Which source files were not written by hand for their repository.
 
 A random forest learns, from the shape of a text alone, what files look like that say of themselves that a
-program wrote them. Notices and path names give the labels and are hidden from the features; they are also
-evidence of their own, as a third party's code looks like any other.
+program wrote them. Notices alone give the labels and are hidden from the features; notices and path names are
+also evidence of their own, as a third party's code looks like any other.
 """
 
 from __future__ import annotations
@@ -205,20 +205,21 @@ def looks_like_data(f: list[float]) -> bool:
 
 
 def file_features(files: DataFrame) -> DataFrame:
-    """(relative_path, said, vendored, shaped, FEATURES...) of each row: what notices and paths say, and the text's shape."""
-    names = ["relative_path", "said", "vendored", "shaped", *FEATURES]
+    """(relative_path, noted, said, vendored, shaped, FEATURES...) of each row: what notices alone say, what notices and
+    paths say, and the text's shape."""
+    names = ["relative_path", "noted", "said", "vendored", "shaped", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (g, v), (pg, pv), f = notices(text, path.split("/")[0]), path_evidence(path), shape(text)
-                rows.append((path, g or pg, v or pv, looks_minified(f) or looks_like_data(f), *f))
+                rows.append((path, g, g or pg, v or pv, looks_minified(f) or looks_like_data(f), *f))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), *[pa.float64()] * len(FEATURES)]
+            kinds = [pa.string(), *[pa.bool_()] * 4, *[pa.float64()] * len(FEATURES)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    schema = "relative_path string, said boolean, vendored boolean, shaped boolean, " + ", ".join(f"{x} double" for x in FEATURES)
+    schema = "relative_path string, noted boolean, said boolean, vendored boolean, shaped boolean, " + ", ".join(f"{x} double" for x in FEATURES)
     return spread(files.select("relative_path", "file_text")).mapInArrow(run, schema)
 
 
@@ -226,18 +227,18 @@ def not_handwritten(files: DataFrame, train_rows: int = TRAIN_ROWS, threshold: f
     """Files that a program wrote or compressed, a third party wrote, or that are data laid out as code:
     (relative_path, reason, probability).
 
-    The forest is fitted on at most `train_rows` files, labelled by their notices, names and unmistakable shapes
-    (third-party files are left out of the fit), and scores every file; reasons are `said`, `vendored`, `forest`
+    The forest is fitted on at most `train_rows` files, labelled by their notices (third-party files and those that only
+    their name or unmistakable shape betrays are left out of the fit), and scores every file; reasons are `said`, `vendored`, `forest`
     (probability at least `threshold` and nothing said) and `shape` (unmistakable, but below the threshold). Null and empty texts are judged by their path
     alone; repeated rows of a path give one row; a file without a path is left out; tables in which all files
     have one label are judged without a forest.
     """
     ensure_checkpoint_dir(files.sparkSession)
     rows = file_features(files.where(F.col("relative_path").isNotNull())).checkpoint()
-    label = F.col("said") | F.col("shaped")
+    labelled = F.col("noted") | ~(F.col("said") | F.col("shaped"))
     train = (
-        rows.where(~F.col("vendored") & (F.col("log_size") > 0))
-        .withColumn("label", label.cast("double"))
+        rows.where(~F.col("vendored") & (F.col("log_size") > 0) & labelled)
+        .withColumn("label", F.col("noted").cast("double"))
         .orderBy(F.xxhash64("relative_path"), "relative_path")
         .limit(train_rows)
     )

@@ -203,3 +203,11 @@ def test_forest(spark, rows):
     assert got["r/vendor/a.py"] == "vendored" and got["r/src/none_pb2.py"] == "said" and sum(v == "said" for v in got.values()) == 41
     assert got.get("r/src/q0.py") == got.get("r/src/q1.py") == "forest"
     assert not_handwritten(df.where("false")).count() == 0
+
+
+def test_forest_is_labelled_by_notices_only(spark):
+    hand = "\n".join(f"def f{i}(a):\n    # adds {i}\n    return a + {i}\n" for i in range(8))
+    mini = "!function(t){t.a=1}(this);var b=function(t){for(var e=0;e<t.length;e++)t[e].x(e,1);return t};" * 12
+    data = [(f"r/src/h{i}.py", hand + f"# {i}\n") for i in range(40)] + [(f"r/src/m{i}.js", mini + str(i)) for i in range(30)] + [(f"r/gen/g{i}.py", hand) for i in range(9)]
+    got = {r["relative_path"]: (r["reason"], r["probability"]) for r in not_handwritten(spark.createDataFrame(data, "relative_path string, file_text string")).collect()}
+    assert got == {f"r/src/m{i}.js": ("shape", 0.0) for i in range(30)} | {f"r/gen/g{i}.py": ("said", 0.0) for i in range(9)}
