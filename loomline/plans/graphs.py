@@ -93,6 +93,32 @@ def impact_by_module(spark: SparkSession, d: str) -> DataFrame:
     return g.impact_by_module(g.impact(_edges(spark, d), _starts(spark, d), 6), _index(spark, d))
 
 
+def impact_reverse_deep(spark: SparkSession, d: str) -> DataFrame:
+    """What depends on the three most used components, to the operator's depth; impact_reverse ends where its SQL does."""
+    return g.impact(_edges(spark, d), _starts(spark, d))
+
+
+def impact_forward_deep(spark: SparkSession, d: str) -> DataFrame:
+    """What the three most used components depend on, to the operator's depth."""
+    return g.impact(_edges(spark, d), _starts(spark, d), direction="depends_on")
+
+
+def impact_both_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Both directions, to the operator's depth."""
+    return g.impact(_edges(spark, d), _starts(spark, d), direction="both")
+
+
+def impact_paths_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Reached components with one shortest path, to the operator's depth."""
+    r = g.impact(_edges(spark, d), _starts(spark, d), paths=True)
+    return r.select("id", "depth", F.array_join("path", " > ").alias("path"))
+
+
+def impact_by_module_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Reached components per repository, to the operator's depth."""
+    return g.impact_by_module(g.impact(_edges(spark, d), _starts(spark, d)), _index(spark, d))
+
+
 def module_graph(spark: SparkSession, d: str) -> DataFrame:
     """Dependencies between repositories."""
     return g.module_graph(_edges(spark, d), _index(spark, d))
@@ -161,7 +187,7 @@ def processing_order(spark: SparkSession, d: str) -> DataFrame:
 
 def affected_modules(spark: SparkSession, d: str) -> DataFrame:
     """Modules that a change of the most used component reaches, and their parents."""
-    return g.affected_modules(_modules(spark, d), _edges(spark, d), g.high_impact(_edges(spark, d), 1, 1).select("id"), 3)
+    return g.affected_modules(_modules(spark, d), _edges(spark, d), g.high_impact(_edges(spark, d), 1, 1).select("id"))
 
 
 def call_context(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +219,8 @@ def external_callees(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__ if f.__name__ not in ("edges",) else "dependency_edges": f for f in (
-    edges, edges_reversed, in_degree, high_impact, isolated_nodes, impact_reverse, impact_forward, impact_both, impact_paths, impact_by_module, module_graph,
+    edges, edges_reversed, in_degree, high_impact, isolated_nodes, impact_reverse, impact_forward, impact_both, impact_paths, impact_by_module, impact_reverse_deep,
+    impact_forward_deep, impact_both_deep, impact_paths_deep, impact_by_module_deep, module_graph,
     module_neighbours, pagerank, pagerank_compat, reading_guide, scc, topological_levels, condensation, dependency_order, degree_centrality, central_edges, doc_candidates,
     processing_order, affected_modules, call_context, calls_deduplicated, calls_resolved, call_edges, external_callees,
 )}

@@ -105,3 +105,48 @@ def test_degrees(spark, rows):
     assert rows(g.high_impact(e)) == [("hub", 6)]
     top, kept = g.degree_centrality(e, 2)
     assert [r["id"] for r in top.collect()] == ["hub", "a"] and rows(kept) == [("a", "hub")]
+
+
+@pytest.fixture
+def chain(spark, tmp_path):
+    """Tables whose hub h has a chain of 14 dependents below it and one of 14 dependencies, with a cycle at the end."""
+    ids = [f"r{k // 10}/f{k:02}.py::C" for k in range(29)]
+    deps = {ids[k]: [ids[k + 1]] for k in range(28)} | {ids[28]: [ids[26]]}
+    for k in range(4):
+        ids.append(f"r9/x{k}.py::C")
+        deps[ids[-1]] = [ids[14]]
+    rows = [(i, i.split("::")[0], i.split("/")[0], deps[i]) for i in ids]
+    c = spark.createDataFrame(rows, "id string, relative_path string, repo_name string, depends_on array<string>")
+    c.write.parquet(str(tmp_path / "components.parquet"))
+    return str(tmp_path), [(a, b) for a, bs in deps.items() for b in bs]
+
+
+def reach(pairs, starts, most):
+    depth = dict.fromkeys(starts, 0)
+    level = set(starts)
+    for k in range(1, most + 1):
+        level = {b for a, b in pairs if a in level} - set(depth)
+        depth |= dict.fromkeys(level, k)
+    return depth
+
+
+def test_registered_depths(spark, chain):
+    from loomline.plans import graphs
+
+    d, pairs = chain
+    back = [(b, a) for a, b in pairs]
+    starts = [r[0] for r in graphs._starts(spark, d).collect()]
+    one, two = reach(back, starts, 10), reach(pairs, starts, 10)
+    both = {k: min(x[k] for x in (one, two) if k in x) for k in one.keys() | two.keys()}
+    assert len(one) > len(reach(back, starts, 6))
+    for name, want in (("impact_reverse_deep", one), ("impact_forward_deep", two), ("impact_both_deep", both), ("impact_paths_deep", one)):
+        got = graphs.QUERIES[name](spark, d).collect()
+        assert {r["id"]: r["depth"] for r in got} == want and len(got) == len(want)
+    counts = {}
+    for k, v in one.items():
+        m = k.split("/")[0]
+        counts[m] = (counts.get(m, (0, 0))[0] + 1, max(counts.get(m, (0, 0))[1], v))
+    assert {r["module"]: (r["n"], r["max_depth"]) for r in graphs.QUERIES["impact_by_module_deep"](spark, d).collect()} == counts
+    top = [r[0] for r in g.high_impact(graphs._edges(spark, d), 1, 1).select("id").collect()]
+    want = {k.split("::")[0] for k in reach(back, top, 10)}
+    assert {r["module"] for r in graphs.affected_modules(spark, d).where("direct").collect()} == want
