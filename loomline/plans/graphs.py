@@ -140,6 +140,16 @@ def pagerank_compat(spark: SparkSession, d: str) -> DataFrame:
     return g.pagerank(_edges(spark, d), rounds=3, compat=True).select("id", F.round("score", 9).alias("score"))
 
 
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank to the operator's tolerance; pagerank ends after the three rounds of its SQL."""
+    return g.pagerank(_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
+
+
+def pagerank_compat_converged(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that divides by the number of dependents, to the operator's tolerance."""
+    return g.pagerank(_edges(spark, d), compat=True).select("id", F.round("score", 9).alias("score"))
+
+
 def reading_guide(spark: SparkSession, d: str) -> DataFrame:
     """The ten repositories with most PageRank, run to its tolerance."""
     return g.module_scores(g.pagerank(_edges(spark, d), tolerance=1e-4), _index(spark, d)).select("module", F.round("score", 5).alias("score"), "n")
@@ -221,7 +231,7 @@ def external_callees(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__ if f.__name__ not in ("edges",) else "dependency_edges": f for f in (
     edges, edges_reversed, in_degree, high_impact, isolated_nodes, impact_reverse, impact_forward, impact_both, impact_paths, impact_by_module, impact_reverse_deep,
     impact_forward_deep, impact_both_deep, impact_paths_deep, impact_by_module_deep, module_graph,
-    module_neighbours, pagerank, pagerank_compat, reading_guide, scc, topological_levels, condensation, dependency_order, degree_centrality, central_edges, doc_candidates,
+    module_neighbours, pagerank, pagerank_compat, pagerank_converged, pagerank_compat_converged, reading_guide, scc, topological_levels, condensation, dependency_order, degree_centrality, central_edges, doc_candidates,
     processing_order, affected_modules, call_context, calls_deduplicated, calls_resolved, call_edges, external_callees,
 )}
 

@@ -150,3 +150,22 @@ def test_registered_depths(spark, chain):
     top = [r[0] for r in g.high_impact(graphs._edges(spark, d), 1, 1).select("id").collect()]
     want = {k.split("::")[0] for k in reach(back, top, 10)}
     assert {r["module"] for r in graphs.affected_modules(spark, d).where("direct").collect()} == want
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_registered_pagerank_converges(spark, tmp_path, compat):
+    from loomline.plans import graphs
+
+    pairs = [(f"n{k:02}", f"n{k + 1:02}") for k in range(12)] + [("n00", "n05"), ("x", "n03"), ("y", "n03")]
+    ids = sorted({x for p in pairs for x in p})
+    spark.createDataFrame([(i, [b for a, b in pairs if a == i]) for i in ids], "id string, depends_on array<string>").write.parquet(str(tmp_path / "components.parquet"))
+    shares = [p[1] if compat else p[0] for p in pairs]
+    score = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(100):
+        fresh = {i: 0.15 / len(ids) + 0.85 * sum(score[a] / shares.count(a) for a, b in pairs if b == i and shares.count(a)) for i in ids}
+        change = sum(abs(fresh[i] - score[i]) for i in ids)
+        score = fresh
+        if change < 1e-6:
+            break
+    got = {r["id"]: r["score"] for r in graphs.QUERIES["pagerank_compat_converged" if compat else "pagerank_converged"](spark, str(tmp_path)).collect()}
+    assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-8 for i in ids)
