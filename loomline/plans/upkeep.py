@@ -405,8 +405,8 @@ def _wiki(spark: SparkSession, d: str) -> lint.Wiki:
 
 
 def lint_issues(spark: SparkSession, d: str) -> DataFrame:
-    """All issues (but the cycles, see scc)."""
-    return lint.lint(_wiki(spark, d), [c for c in lint.CHECKS if c != "cycles"])
+    """All issues; no table holds the flags that overview_stale (L12) looks up."""
+    return lint.lint(_wiki(spark, d))
 
 
 def lint_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -419,6 +419,11 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
     return lint.health(lint.lint(_wiki(spark, d), ["no_outlinks", "undocumented"]))
 
 
+def health_score_full(spark: SparkSession, d: str) -> DataFrame:
+    """The score over all checks; health_score counts the two that its SQL can express."""
+    return lint.health(lint_issues(spark, d))
+
+
 def no_outlinks(spark: SparkSession, d: str) -> DataFrame:
     """Wiki pages without links."""
     return lint.no_outlinks(_wiki(spark, d)).select("file")
@@ -452,7 +457,7 @@ _ALL = (
     coverage_pct, coverage_low, naming_convention, tree_totals, complex_modules, leaf_listing, entry_points, symbol_map, symbol_links, module_mentions, routing_classes,
     component_sources, parsed_components, parsed_calls, graph_json, chart_elements, index_page, content_hashes, file_hashes, duplicate_sources, minified_files, slugs, note_tags,
     packages, clean_paths, retrieval_stats, stats_ranking, hit_summary, zero_hits, issue_upsert, sessions_2h, sessions_kept, sessions_expired, edit_history, note_states,
-    sources_ingested, batch_status, migrated_pages, lint_issues, lint_counts, health_score, no_outlinks, orphan_pages, isolated_files, unsupported_claims, note_clusters,
+    sources_ingested, batch_status, migrated_pages, lint_issues, lint_counts, health_score, health_score_full, no_outlinks, orphan_pages, isolated_files, unsupported_claims, note_clusters,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -190,3 +190,19 @@ def test_streams(spark, tmp_path, rows):
     counters.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp"), ["file_path"], ["at"]).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "t" / "v=0"))
     assert rows(out, "file_path", "query") == [("f", "q2"), ("g", "q")]
+
+
+def test_registered_lint_runs_all_checks(spark, monkeypatch):
+    from loomline.plans import upkeep
+
+    p = spark.createDataFrame([("a.md", "doc", "A", "[x](gone.md)", "2025-01-01")], "doc_key string, source string, title string, text string, updated_at string")
+    e = spark.createDataFrame([("p", "q"), ("q", "p")], "src string, dst string")
+    monkeypatch.setattr(upkeep, "_wiki", lambda s, d: lint.Wiki(p, edges=e))
+    got = upkeep.QUERIES["lint_issues"](spark, "").collect()
+    kinds = [r["check"] for r in got]
+    assert kinds.count("cycles") == 1 and kinds.count("broken_links") == 1
+    n = {x: sum(r["severity"] == x for r in got) for x in ("error", "warning", "info")}
+    assert upkeep.QUERIES["health_score_full"](spark, "").first().asDict() == {
+        "errors": n["error"], "warnings": n["warning"], "infos": n["info"], "score": max(0, 100 - 10 * n["error"] - 3 * n["warning"] - n["info"])
+    }
+    assert n["error"] > 0
