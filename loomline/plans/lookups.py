@@ -46,6 +46,12 @@ def components_of_files(spark: SparkSession, d: str) -> DataFrame:
     return _components(spark, d).withColumn("p", id_path("id")).join(f, "p", "left_semi").select("id").distinct()
 
 
+def components_of_files_all(spark: SparkSession, d: str) -> DataFrame:
+    """Components of all files, by semi-join."""
+    f = _files(spark, d).select(F.col("relative_path").alias("p")).distinct()
+    return _components(spark, d).withColumn("p", id_path("id")).join(f, "p", "left_semi").select("id").distinct()
+
+
 def routes_of_role(spark: SparkSession, d: str) -> DataFrame:
     """Routes of one role."""
     return code.routes(_files(spark, d)).where("role = 'client'").select("route_key", "component_id", "line_number")
@@ -124,8 +130,13 @@ def source_references(spark: SparkSession, d: str) -> DataFrame:
 
 def overview_references(spark: SparkSession, d: str) -> DataFrame:
     """Modules that overview pages link to; every page plays an overview, linked page names are the modules."""
+    return overview_references_all(spark, d, "module like 'Nested%'")
+
+
+def overview_references_all(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
+    """The same for all modules."""
     p = _pages(spark, d).select(F.concat("doc_key", F.lit("/overview.md")).alias("doc_key"), "text")
-    names = p.select(F.explode(S.wikilinks("text")).alias("module")).distinct().where("module like 'Nested%'")
+    names = p.select(F.explode(S.wikilinks("text")).alias("module")).distinct().where(which)
     return links.overview_refs(p, names)
 
 
@@ -137,11 +148,16 @@ def result_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_update(spark: SparkSession, d: str) -> DataFrame:
-    """K7, K8: document frequencies after some pages changed and others went."""
+    """K7, K8: frequent terms' document frequencies after some pages changed and others went."""
+    return index_update_all(spark, d).where("df >= 20")
+
+
+def index_update_all(spark: SparkSession, d: str) -> DataFrame:
+    """K7, K8: the document frequencies of all terms of the updated index."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "text", "doc_id")
     changed = docs.where("doc_id % 10 = 0").withColumn("text", F.lit("fresh words only"))
     posts, _ = retrieval.upsert_documents(retrieval.postings(docs), retrieval.doc_lengths(docs), changed, docs.where("doc_id % 10 = 1"))
-    return retrieval.doc_frequencies(posts).where("df >= 20")
+    return retrieval.doc_frequencies(posts)
 
 
 def routes_upserted(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +210,7 @@ def hits_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    point_lookup, component_metas, components_of_files, routes_of_role, header_languages, file_view, git_repositories, selected_files, ignored_files, infra_services, detected_services,
+    point_lookup, component_metas, components_of_files, components_of_files_all, overview_references_all, index_update_all, routes_of_role, header_languages, file_view, git_repositories, selected_files, ignored_files, infra_services, detected_services,
     env_services, edge_lookup, stem_components, source_references, overview_references, result_sources, index_update, routes_upserted, operation_log, repo_hashes, json_columns,
     code_blocks, stale_dates, sinks_and_roots, hits_added,
 )}

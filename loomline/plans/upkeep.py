@@ -110,6 +110,13 @@ def suffix_matches(spark: SparkSession, d: str) -> DataFrame:
     return resolve.suffix_match(_components(spark, d), short.unionByName(long))
 
 
+def suffix_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for both spellings of every file."""
+    f = _files(spark, d)
+    short = f.select(F.regexp_replace("relative_path", r"^[^/]*/", "").alias("file"))
+    return resolve.suffix_match(_components(spark, d), short.unionByName(f.select(F.col("file_path").alias("file"))))
+
+
 def service_labels(spark: SparkSession, d: str) -> DataFrame:
     """The longest service folder of each file; services are all folders named src, lib or pkg and the repositories."""
     f = _files(spark, d).select(F.col("relative_path").alias("file"))
@@ -453,7 +460,7 @@ def note_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     component_changes, component_upsert, symbols_inserted, unchanged_components, file_changes, listed_changes, modified_since, latest_documents, files_removed, edges_after_removal,
-    suffix_matches, service_labels, nested_services, component_count, component_list, file_summary, language_counts, extension_languages, file_totals, directory_listing,
+    suffix_matches, suffix_matches_all, service_labels, nested_services, component_count, component_list, file_summary, language_counts, extension_languages, file_totals, directory_listing,
     coverage_pct, coverage_low, naming_convention, tree_totals, complex_modules, leaf_listing, entry_points, symbol_map, symbol_links, module_mentions, routing_classes,
     component_sources, parsed_components, parsed_calls, graph_json, chart_elements, index_page, content_hashes, file_hashes, duplicate_sources, minified_files, slugs, note_tags,
     packages, clean_paths, retrieval_stats, stats_ranking, hit_summary, zero_hits, issue_upsert, sessions_2h, sessions_kept, sessions_expired, edit_history, note_states,

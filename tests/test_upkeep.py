@@ -1,6 +1,7 @@
 """Changes, resolution, lifecycles, lint, sinks, sources and streams on small tables."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -206,3 +207,24 @@ def test_registered_lint_runs_all_checks(spark, monkeypatch):
         "errors": n["error"], "warnings": n["warning"], "infos": n["info"], "score": max(0, 100 - 10 * n["error"] - 3 * n["warning"] - n["info"])
     }
     assert n["error"] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_registered_lookups_are_whole(spark, rows):
+    from loomline.operators import retrieval
+    from loomline.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    files = spark.read.parquet(f"{d}/source_files.parquet").select("relative_path", "file_path").collect()
+    ids = {r[0] for r in spark.read.parquet(f"{d}/components.parquet").select("id").collect()}
+    paths = {r["relative_path"] for r in files}
+    assert {r[0] for r in QUERIES["components_of_files_all"](spark, d).collect()} == {i for i in ids if i and i.split("::")[0] in paths}
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("cast(doc_id as string) as doc_key", "case when doc_id % 10 = 0 then 'fresh words only' else text end as text", "doc_id").where("doc_id % 10 <> 1")
+    terms = rows(QUERIES["index_update_all"](spark, d), "token", "df")
+    assert terms == rows(retrieval.doc_frequencies(retrieval.postings(docs)), "token", "df") and min(n for _, n in terms) < 20
+    for name, kept in (("overview_references", lambda r: r[1].startswith("Nested")), ("index_update", lambda r: r[1] >= 20)):
+        part, whole = (rows(QUERIES[n](spark, d), *(("doc_key", "module") if "over" in n else ("token", "df"))) for n in (name, f"{name}_all"))
+        assert part == [r for r in whole if kept(r)] and len(whole) > len(part)
+    asked = {r["file"] for r in QUERIES["suffix_matches_all"](spark, d).collect()}
+    part, whole = (set(rows(QUERIES[n](spark, d), "file", "id")) for n in ("suffix_matches", "suffix_matches_all"))
+    assert part < whole and asked <= {p.split("/", 1)[-1] for p in paths} | {r["file_path"] for r in files}
