@@ -1,8 +1,10 @@
 """Which source files were not written by hand for their repository.
 
 A random forest learns, from the shape of a text alone, what files look like that say of themselves that a
-program wrote them. Notices alone give the labels and are hidden from the features; notices and path names are
-also evidence of their own, as a third party's code looks like any other.
+program wrote them, or that a tool compressed them (the source map it leaves). Notices alone give the three
+labels and are hidden from the features; no rule on the features takes part in the fit or overrules the forest.
+Notices and path names are also evidence of their own, as a third party's code looks like any other, and so is a
+text that is nothing but literals, on which no notice ever stands from which a forest could learn it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from loomline.session import ensure_checkpoint_dir
 
 #: The forest is fitted on at most so many labelled files, taken in the order of a hash of their path.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, SEED = 40, 8, 7
-THRESHOLD = 0.6
+#: Shallow trees with large leaves: files without a notice count as hand-written although some are not, and a leaf
+#: that held a few of them only would learn them.
+TREES, DEPTH, LEAF, SEED = 40, 5, 20, 7
+THRESHOLD = 0.8
+#: Share of a file's lines of code that are literals and nothing else from which on it is data.
+LITERALS = 0.75
 
 #: Directories that hold other people's or written code by convention, and names a generator gives.
 VENDOR_DIRS = ("vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "node_modules", "bower_components", "jspm_packages", "site-packages", "upstream", "external", "externals", "extern", "Pods", "Carthage", "Godeps")
@@ -69,14 +75,16 @@ VENDOR_NOTICE = re.compile(
     )""",
     re.IGNORECASE | re.VERBOSE,
 )
+SOURCE_MAP = re.compile(r"[ \t]*(?://|/\*)[#@]\s*sourceMappingURL=")
 COMMENT = re.compile(r"^\s*(?://|/\*|\*|#(?!include|define|if|endif)|<!--|--)")
 STRING = re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*(?:`|\Z)")
-IDENT = re.compile(r"[^\W\d]\w*")
 TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 DATA_LINE = re.compile(
     r"^[\s\[\]{}(),;+:]*(?:(?:(?:[bBrRuU]?\"[^\"]*\"|[bBrRuU]?'[^']*'|-?\d[\w.+-]*|0x[0-9a-fA-F]+|true|false|null|None|True|False)[\s\[\]{}(),;+:]*)+|[\w+/=]{40,})?[\s\[\]{}(),;+:`]*$"
 )
 
+SOLID = re.compile(r"\w")
+
 FEATURES = [
     "compression", "token_entropy", "ident_mean", "ident_short", "ident_distinct", "comment_share", "line_mean", "line_max",
     "blank_share", "digit_share", "space_share", "literal_share", "repeated_lines", "log_size",
@@ -115,17 +123,18 @@ def notice_lines(lines: list[str]) -> set[int]:
     return out
 
 
-def notices(text: str | None, repo: str = "") -> tuple[bool, bool]:
-    """Whether the file's own opening or closing comment says that a program wrote it, or whose copy it is.
+def notices(text: str | None, repo: str = "") -> tuple[bool, bool, bool]:
+    """Whether the file's own opening or closing comment says that a program wrote it, whose copy it is, or, by
+    naming its source map, that a tool compressed it.
 
     A notice that names the repository itself does not make the file someone else's.
     """
     if not text:
-        return False, False
+        return False, False, False
     lines = _lines(text)
     generated = vendored = False
     for k in sorted(notice_lines(lines)):
-        x = lines[k].strip()[:400]
+        x = lines[k].strip()
         x = x[: x.index("*/")] if "*/" in x else x
         if NOT_A_NOTICE.search(x):
             continue
@@ -133,9 +142,7 @@ def notices(text: str | None, repo: str = "") -> tuple[bool, bool]:
         generated |= bool(GENERATED_NOTICE.search(bare))
         own = bool(repo) and repo.lower() in x.lower()
         vendored |= not own and bool(VENDOR_NOTICE.search(bare) or VENDOR_NOTICE.search(x))
-    if re.search(r"^[ \t]*(?://|/\*)[#@]\s*sourceMappingURL=", "\n".join(lines[-3:]), re.MULTILINE):
-        generated = True
-    return generated, vendored
+    return generated, vendored, any(SOURCE_MAP.match(x) for x in lines[-3:])
 
 
 def path_evidence(path: str | None) -> tuple[bool, bool]:
@@ -150,116 +157,125 @@ def path_evidence(path: str | None) -> tuple[bool, bool]:
 
 
 def shape(text: str | None) -> list[float]:
-    """The features of a text without its opening and closing comments, in the order of FEATURES."""
+    """The features of a text without its opening and closing comments, in the order of FEATURES.
+
+    Each pattern runs once over the joined lines, not line by line.
+    """
     lines = _lines(text or "")
     hidden = notice_lines(lines)
     kept = [x for k, x in enumerate(lines) if k not in hidden]
     # a banner and the code behind it on the same line
     kept += [x.split("*/", 1)[1] for k, x in enumerate(lines) if k in hidden and "*/" in x and x.split("*/", 1)[1].strip()]
-    body = "\n".join(kept)
-    full = [x for x in kept if x.strip()]
+    full = [x for x in map(str.strip, kept) if x]
     if not full:
         return [0.0] * len(FEATURES)
+    body = "\n".join(kept)
     raw = body.encode("utf-8", "replace")
-    comments = [x for x in full if COMMENT.match(x)]
     code = [x for x in full if not COMMENT.match(x)]
-    bare = STRING.sub('""', "\n".join(code))
-    idents = IDENT.findall(bare)
+    joined = "\n".join(code)
+    bare = STRING.sub('""', joined)
     tokens = Counter(TOKEN.findall(bare))
     n = sum(tokens.values())
-    entropy = -sum(v / n * math.log2(v / n) for v in tokens.values()) if n else 0.0
+    entropy = math.log2(n) - sum(v * math.log2(v) for v in tokens.values()) / n if n else 0.0
+    idents = {x: v for x, v in tokens.items() if x[0] == "_" or x[0].isalpha()}
+    used = max(1, sum(idents.values()))
     bare_lines = [len(x) for x in bare.split("\n") if x.strip()]
-    masked = Counter(re.sub(r"\d+", "0", x.strip()) for x in code)
-    # repetition of line shapes: every identifier and number replaced
-    shapes = Counter(re.sub(r"\w+", "w", x.strip()) for x in code)
-    data = sum(bool(DATA_LINE.match(x)) and bool(re.search(r"\w", x)) for x in code)
-    solid = sum(bool(re.search(r"\w", x)) for x in code)
+    # repetition of lines, and of line shapes: every number, or every word and number, replaced
+    masked, shapes = set(re.sub(r"\d+", "0", joined).split("\n")), set(re.sub(r"\w+", "w", joined).split("\n"))
+    solid = [x for x in code if SOLID.search(x)]
     return [
-        len(raw) / max(1, len(zlib.compress(raw, 6))),
+        len(raw) / len(zlib.compress(raw, 1)),
         entropy,
-        sum(map(len, idents)) / len(idents) if idents else 0.0,
-        sum(len(x) <= 2 for x in idents) / len(idents) if idents else 0.0,
-        len(set(idents)) / len(idents) if idents else 0.0,
-        len(comments) / len(full),
+        sum(len(x) * v for x, v in idents.items()) / used,
+        sum(v for x, v in idents.items() if len(x) <= 2) / used,
+        len(idents) / used,
+        (len(full) - len(code)) / len(full),
         sum(bare_lines) / len(bare_lines) if bare_lines else 0.0,
         float(max(bare_lines, default=0)),
-        1 - len(full) / max(1, len(kept)),
-        sum(c.isdigit() for c in body) / len(body),
-        sum(c.isspace() for c in body) / len(body),
-        data / solid if solid else 0.0,
+        1 - len(full) / len(kept),
+        len(re.findall(r"\d", body)) / len(body),
+        1 - len("".join(body.split())) / len(body),
+        sum(map(bool, map(DATA_LINE.match, solid))) / len(solid) if solid else 0.0,
         1 - (len(masked) + len(shapes)) / max(1, 2 * len(code)),
         math.log1p(len(raw)),
     ]
 
 
-def looks_minified(f: list[float]) -> bool:
-    """Lines of code, strings left out, that nobody would write, and hardly any white space."""
-    v = dict(zip(FEATURES, f, strict=True))
-    return v["line_max"] > 160 and v["line_mean"] > 90 and v["space_share"] < 0.12
-
-
-def looks_like_data(f: list[float]) -> bool:
-    """All but a few lines are nothing but literals."""
-    v = dict(zip(FEATURES, f, strict=True))
-    return v["literal_share"] >= 0.75 and v["log_size"] > 5.2
-
-
 def file_features(files: DataFrame) -> DataFrame:
-    """(relative_path, noted, said, vendored, shaped, FEATURES...) of each row: what notices alone say, what notices and
-    paths say, and the text's shape."""
-    names = ["relative_path", "noted", "said", "vendored", "shaped", *FEATURES]
+    """(relative_path, label, noted, named, vendored, FEATURES...) of each row: what notices say (`label` is 0 nothing,
+    1 written by a program, 2 compressed, null a third party's), what names say, and the text's shape."""
+    names = ["relative_path", "label", "noted", "named", "vendored", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (g, v), (pg, pv), f = notices(text, path.split("/")[0]), path_evidence(path), shape(text)
-                rows.append((path, g, g or pg, v or pv, looks_minified(f) or looks_like_data(f), *f))
+                (g, v, c), (pg, pv) = notices(text, path.split("/")[0]), path_evidence(path)
+                rows.append((path, 2.0 if c else 1.0 if g else None if v else 0.0, g or c, pg, v or pv, *shape(text)))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            kinds = [pa.string(), *[pa.bool_()] * 4, *[pa.float64()] * len(FEATURES)]
+            kinds = [pa.string(), pa.float64(), *[pa.bool_()] * 3, *[pa.float64()] * len(FEATURES)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    schema = "relative_path string, noted boolean, said boolean, vendored boolean, shaped boolean, " + ", ".join(f"{x} double" for x in FEATURES)
+    schema = "relative_path string, label double, noted boolean, named boolean, vendored boolean, " + ", ".join(f"{x} double" for x in FEATURES)
     return spread(files.select("relative_path", "file_text")).mapInArrow(run, schema)
 
 
+def _scored(train: DataFrame, rows: DataFrame, train_rows: int) -> DataFrame:
+    """`rows` with `p`, the forest's probability that a file was not written by hand; 0 where `train` has one label only."""
+    some = train.where(F.col("label").isNotNull() & (F.col("log_size") > 0)).orderBy(F.xxhash64("relative_path"), "relative_path").limit(train_rows)
+    counts = {r["label"]: r["n"] for r in some.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2 or 0.0 not in counts:
+        return rows.withColumn("p", F.lit(0.0))
+    # classes are numbered without gaps, each weighs as much as the files without a notice
+    order = sorted(counts)
+    klass = sum((F.when(F.col("label") == x, float(i)).otherwise(0.0) for i, x in enumerate(order)), F.lit(0.0))
+    weight = sum((F.when(F.col("label") == x, counts[0.0] / counts[x]).otherwise(0.0) for x in order), F.lit(0.0))
+    whole = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    forest = RandomForestClassifier(
+        numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", minInstancesPerNode=LEAF, subsamplingRate=0.7, cacheNodeIds=False, labelCol="klass"
+    ).fit(whole.transform(some.withColumn("weight", weight).withColumn("klass", klass)))
+    by_hand = vector_to_array("probability")[0]
+    return forest.transform(whole.transform(rows)).withColumn("p", F.when(F.col("log_size") > 0, 1 - by_hand).otherwise(0.0))
+
+
 def not_handwritten(files: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Files that a program wrote or compressed, a third party wrote, or that are data laid out as code:
     (relative_path, reason, probability).
 
-    The forest is fitted on at most `train_rows` files, labelled by their notices (third-party files and those that only
-    their name or unmistakable shape betrays are left out of the fit), and scores every file; reasons are `said`, `vendored`, `forest`
-    (probability at least `threshold` and nothing said) and `shape` (unmistakable, but below the threshold). Null and empty texts are judged by their path
-    alone; repeated rows of a path give one row; a file without a path is left out; tables in which all files
-    have one label are judged without a forest.
+    The forest is fitted on at most `train_rows` files, labelled by their notices alone (those with a third party's
+    notice are left out of the fit), and scores every file. Reasons, in this order: `forest` (probability at least
+    `threshold`), `notice`, `path`, `vendored`, `literals` (the lines of code are literals and nothing else). Null and
+    empty texts are judged by their path alone; repeated rows of a path give one row; a file without a path is left
+    out; tables in which all files have one label are judged without a forest.
     """
     ensure_checkpoint_dir(files.sparkSession)
     rows = file_features(files.where(F.col("relative_path").isNotNull())).checkpoint()
-    labelled = F.col("noted") | ~(F.col("said") | F.col("shaped"))
-    train = (
-        rows.where(~F.col("vendored") & (F.col("log_size") > 0) & labelled)
-        .withColumn("label", F.col("noted").cast("double"))
-        .orderBy(F.xxhash64("relative_path"), "relative_path")
-        .limit(train_rows)
-    )
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts.get(0.0, 0) and counts.get(1.0, 0):
-        whole = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        weight = F.when(F.col("label") == 1, counts[0.0] / counts[1.0]).otherwise(1.0)
-        forest = RandomForestClassifier(
-            numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", minInstancesPerNode=5, subsamplingRate=0.7, cacheNodeIds=False
-        ).fit(whole.transform(train.withColumn("weight", weight)))
-        scored = forest.transform(whole.transform(rows)).withColumn("p", vector_to_array("probability")[1])
-    else:
-        scored = rows.withColumn("p", F.lit(0.0))
     reason = (
-        F.when(F.col("said"), "said")
+        F.when(F.col("p") >= threshold, "forest")
+        .when(F.col("noted"), "notice")
+        .when(F.col("named"), "path")
         .when(F.col("vendored"), "vendored")
-        .when((F.col("p") >= threshold) & (F.col("log_size") > 0), "forest")
-        .when(F.col("shaped"), "shape")
+        .when((F.col("literal_share") >= LITERALS) & (F.col("log_size") > 5.2), "literals")
     )
     return (
-        scored.select("relative_path", reason.alias("reason"), F.col("p").alias("probability"))
+        _scored(rows, rows, train_rows)
+        .select("relative_path", reason.alias("reason"), F.col("p").alias("probability"), (F.col("noted") | F.col("named") | F.col("vendored")).alias("said"))
         .where(F.col("reason").isNotNull())
         .dropDuplicates(["relative_path"])
     )
+
+
+def forest_quality(files: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """What a forest fitted on four fifths of the files makes of the last fifth: (notice, by_name, forest, n_files).
+
+    `notice` is what the hidden notice says (none, written, compressed), `by_name` whether path names or a third
+    party's notice say something, `forest` the verdict. Files with a notice that the forest leaves out are its misses.
+    """
+    ensure_checkpoint_dir(files.sparkSession)
+    rows = file_features(files.where(F.col("relative_path").isNotNull())).checkpoint()
+    held = F.pmod(F.xxhash64(F.lit("held"), "relative_path"), F.lit(5)) == 0
+    scored = _scored(rows.where(~held), rows.where(held), train_rows).dropDuplicates(["relative_path"])
+    notice = F.when(F.col("label") == 2, "compressed").when(F.col("label") == 1, "written").otherwise("none")
+    return scored.groupBy(notice.alias("notice"), (F.col("named") | F.col("vendored")).alias("by_name"), (F.col("p") >= threshold).alias("forest")).agg(
+        F.count(F.lit(1)).alias("n_files")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomline.llm import oracle
 from loomline.llm.bpe import encode_corpus
 from loomline.llm.functions import documented_functions, function_pairs
-from loomline.llm.handwritten import not_handwritten
+from loomline.llm.handwritten import forest_quality, not_handwritten
 from loomline.llm.leaks import leaked_passages, paraphrased_items
 from loomline.llm.parsing import broken_files, broken_rates
 from loomline.llm.pieces import split_oversized
@@ -21,8 +21,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """How many files each kind of evidence sets apart."""
-    return not_handwritten(table(spark, d, "source_files")).groupBy("reason").count().withColumnRenamed("count", "n_files")
+    """How many files each kind of evidence sets apart, and whether notices or names say it too."""
+    return not_handwritten(table(spark, d, "source_files")).groupBy("reason", "said").count().withColumnRenamed("count", "n_files")
+
+
+def p1_quality(spark: SparkSession, d: str) -> DataFrame:
+    """What the forest makes of files it was not fitted on, by what their hidden notices say."""
+    return forest_quality(table(spark, d, "source_files"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +93,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
+    "p1_quality": p1_quality,
     "p4_found": p4_found,
     "p4_failures": p4_failures,
     "p4_rates": p4_rates,

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from loomline.llm.derivatives import Grammar
 from loomline.llm.descriptions import description
 from loomline.llm.functions import component_comment, documented_functions, find_functions, function_pairs
-from loomline.llm.handwritten import FEATURES, looks_like_data, looks_minified, not_handwritten, notices, path_evidence, shape
+from loomline.llm.handwritten import FEATURES, forest_quality, not_handwritten, notices, path_evidence, shape
 from loomline.llm.parsing import broken_rates, syntax_errors
 from loomline.llm.syntax import first_error
 
@@ -170,10 +170,10 @@ def test_documented_functions(spark, rows):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("// Code generated by x v1. DO NOT EDIT.\npackage a", (True, False)), ("# <auto-generated> by x 1.2\n", (True, False)), ("/*\n * @generated by y\n */\nx", (True, False)), ("x = 1\n# Do not modify: output of x, input y.def\n", (True, False)),
-    ("// Diese Datei wurde maschinell erzeugt (x) - bitte nicht von Hand ändern.\n", (True, False)), ("# once generated by x, kept by hand since 2019\n", (False, False)), ("BANNER = '// Code generated by x. DO NOT EDIT.'\n", (False, False)),
-    ("// writes the line \"DO NOT EDIT\" into what it emits\nf()", (False, False)), ("/** Auto-generated stub, replace this comment and the body below. */\nf()", (False, False)), ("// Vendored copy of moor 7.2; send changes upstream.\n", (False, True)),
-    ("// Copyright 2019 the flux authors\n", (False, True)), ("// Copyright 2024 the shop-api authors\n", (False, False)), ("// SPDX-License-Identifier: Proprietary\n", (False, False)), ("var a=1\n//# sourceMappingURL=a.js.map", (True, False)), (None, (False, False)),
+    ("// Code generated by x v1. DO NOT EDIT.\npackage a", (True, False, False)), ("# <auto-generated> by x 1.2\n", (True, False, False)), ("/*\n * @generated by y\n */\nx", (True, False, False)), ("x = 1\n# Do not modify: output of x, input y.def\n", (True, False, False)),
+    ("// Diese Datei wurde maschinell erzeugt (x) - bitte nicht von Hand ändern.\n", (True, False, False)), ("# once generated by x, kept by hand since 2019\n", (False, False, False)), ("BANNER = '// Code generated by x. DO NOT EDIT.'\n", (False, False, False)),
+    ("// writes the line \"DO NOT EDIT\" into what it emits\nf()", (False, False, False)), ("/** Auto-generated stub, replace this comment and the body below. */\nf()", (False, False, False)), ("// Vendored copy of moor 7.2; send changes upstream.\n", (False, True, False)),
+    ("// Copyright 2019 the flux authors\n", (False, True, False)), ("// Copyright 2024 the shop-api authors\n", (False, False, False)), ("// SPDX-License-Identifier: Proprietary\n", (False, False, False)), ("var a=1\n//# sourceMappingURL=a.js.map", (False, False, True)), ("/* a " + "x" * 600 + " Code generated by x. DO NOT EDIT. */var a=1", (True, False, False)), ("// " + "x " * 400 + "@generated by y\n", (True, False, False)), (None, (False, False, False)),
 ])
 def test_notices(text, want):
     assert notices(text, "shop-api") == want
@@ -183,11 +183,11 @@ def test_paths_and_shapes():
     assert [path_evidence(p) for p in ("r/a_pb2.py", "r/x.min.js", "r/__generated__/a.ts", "r/vendor/x/a.go", "r/vendor_portal/a.go", "r/generator/gen_alpha/a.py", "vendor/a.py", None)] == [
         (True, False), (True, False), (True, False), (False, True), (False, False), (False, False), (False, False), (False, False),
     ]
-    mini = shape("!function(t){t.a=1}(this);var b=function(t){for(var e=0;e<t.length;e++)t[e].x(e,1);return t};" * 12)
-    data = shape("ROWS = [\n" + "".join(f'  {{"id": {i}, "kind": "a"}},\n' for i in range(60)) + "]\n")
-    hand = shape("def f(a):\n    # note\n    return a + 1\n\nLONG = 'x " + "word " * 400 + "'\n")
-    assert looks_minified(mini) and looks_like_data(data) and not looks_minified(hand) and not looks_like_data(hand)
-    assert shape("") == shape(None) == [0.0] * len(FEATURES)
+    v = dict(zip(FEATURES, shape("# top\n\nabc = 1\n# note\nxy = abc + 22\nxy = abc + 33\n\n# end\n"), strict=True))
+    assert v["comment_share"] == 0.25 and v["line_max"] == 13.0 and v["ident_distinct"] == 0.4 and v["ident_mean"] == 2.6 and v["ident_short"] == 0.4 and v["literal_share"] == 0.0
+    data = dict(zip(FEATURES, shape("ROWS = [\n" + "".join(f'  {{"id": {i}, "kind": "a"}},\n' for i in range(60)) + "]\n"), strict=True))
+    assert data["literal_share"] > 0.95 and data["comment_share"] == 0
+    assert shape("") == shape(None) == shape("// only a comment\n") == [0.0] * len(FEATURES)
 
 
 def test_forest(spark, rows):
@@ -195,19 +195,24 @@ def test_forest(spark, rows):
     word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(4, 9)))
     hand = lambda: "\n".join(f"def {word()}_{word()}({word()}):\n    # {word()} {word()}\n    {word()} = {word()}({word()}, {rng.randrange(99)})\n    return {word()}\n" for _ in range(8))
     made = lambda: "\n".join(f"class {word()}_{i:02}:\n    FIELD_{i} = {i}\n    def to_wire(self):\n        return pack('<I', self.FIELD_{i})\n" for i in range(20))
-    data = [(f"r/src/h{i}.py", hand()) for i in range(60)] + [(f"r/src/m{i}.py", "# @generated by x\n" + made()) for i in range(40)] + [(f"r/src/q{i}.py", made()) for i in range(2)]
-    data += [("r/vendor/a.py", hand()), ("r/src/none_pb2.py", None), ("r/src/empty.py", ""), (None, made()), ("r/src/h0.py", data[0][1])]
+    mini = lambda: "!function(t){t.a=1}(this);" + "".join(f"var {rng.choice('bcdf')}{i}=function(t){{for(var e=0;e<t.length;e++)t[e].{word()}(e,{i});return t}};" for i in range(12))
+    data = [(f"r/src/h{i}.py", hand()) for i in range(90)] + [(f"r/src/m{i}.py", "# @generated by x\n" + made()) for i in range(60)] + [(f"r/src/q{i}.py", made()) for i in range(2)]
+    data += [(f"r/web/c{i}.js", mini() + "\n//# sourceMappingURL=a.js.map") for i in range(50)] + [(f"r/web/p{i}.js", mini()) for i in range(3)]
+    data += [("r/vendor/a.py", hand()), ("r/src/none_pb2.py", None), ("r/src/empty.py", ""), (None, made()), ("r/src/h0.py", data[0][1]), ("r/d.py", "D = [\n" + "    1, 2, 3,\n" * 90 + "]\n")]
     df = spark.createDataFrame(data, "relative_path string, file_text string").selectExpr("*", "1 as said", "2 as features", "'x' as label")
-    got = {r["relative_path"]: r["reason"] for r in not_handwritten(df, threshold=0.3).collect()}
+    got = {r["relative_path"]: (r["reason"], r["said"]) for r in not_handwritten(df).collect()}
     assert {k for k in got if "/h" in k or k == "r/src/empty.py"} == set()
-    assert got["r/vendor/a.py"] == "vendored" and got["r/src/none_pb2.py"] == "said" and sum(v == "said" for v in got.values()) == 41
-    assert got.get("r/src/q0.py") == got.get("r/src/q1.py") == "forest"
+    assert got["r/vendor/a.py"] == ("vendored", True) and got["r/src/none_pb2.py"] == ("path", True) and got["r/d.py"][1] is False
+    # files that neither notice nor name betrays are the forest's own finds
+    assert all(got.get(f"r/src/q{i}.py") == ("forest", False) for i in range(2)) and all(got.get(f"r/web/p{i}.js") == ("forest", False) for i in range(3))
+    assert len(got) == 60 + 2 + 50 + 3 + 3
     assert not_handwritten(df.where("false")).count() == 0
+    quality = {(r["notice"], r["forest"]): r["n_files"] for r in forest_quality(df.where("relative_path not like '%/vendor/%' and relative_path not like '%/q%' and relative_path not like '%/p%'")).collect() if not r["by_name"]}
+    assert quality[("written", True)] > 5 and quality[("compressed", True)] > 5 and ("written", False) not in quality and ("none", True) not in quality
 
 
-def test_forest_is_labelled_by_notices_only(spark):
+def test_forest_needs_two_labels(spark):
     hand = "\n".join(f"def f{i}(a):\n    # adds {i}\n    return a + {i}\n" for i in range(8))
-    mini = "!function(t){t.a=1}(this);var b=function(t){for(var e=0;e<t.length;e++)t[e].x(e,1);return t};" * 12
-    data = [(f"r/src/h{i}.py", hand + f"# {i}\n") for i in range(40)] + [(f"r/src/m{i}.js", mini + str(i)) for i in range(30)] + [(f"r/gen/g{i}.py", hand) for i in range(9)]
+    data = [(f"r/src/h{i}.py", hand + f"# {i}\n") for i in range(40)] + [(f"r/gen/g{i}.py", hand) for i in range(9)]
     got = {r["relative_path"]: (r["reason"], r["probability"]) for r in not_handwritten(spark.createDataFrame(data, "relative_path string, file_text string")).collect()}
-    assert got == {f"r/src/m{i}.js": ("shape", 0.0) for i in range(30)} | {f"r/gen/g{i}.py": ("said", 0.0) for i in range(9)}
+    assert got == {f"r/gen/g{i}.py": ("path", 0.0) for i in range(9)}
