@@ -1,6 +1,7 @@
 """Leaked passages against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -44,6 +45,8 @@ def test_leaks_by_brute_force(spark, rows):
     assert got == brute(docs, items) and len(got) > 10
     assert leaks.leaked_passages(d.where("false"), i).count() == 0
     assert leaks.leaked_passages(d, i.where("false")).count() == 0
+    blocks = leaks.leaked_passages(d, i, item_chars=500)
+    assert sorted(tuple(r) for r in blocks.collect()) == got and len(list(leaks.item_blocks(i, "item_id", "text", 500))) > 3
     for n in (5, 9):
         assert sorted(tuple(r) for r in leaks.leaked_passages(d, i, min_run=n).collect()) == brute(docs, items, n)
 
@@ -53,20 +56,37 @@ def test_unicode_forms():
     assert words(None) == [] and words("-- _ --") == []
 
 
+def test_stretches(spark):
+    docs = [(1, "a b c x a b c d e"), (2, "x y"), (3, None), (4, ""), (5, "e d c b a"), (5, "a b")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    voc = {w: k for k, w in enumerate("abcde")}
+    got = leaks.known_stretches(d, "doc_id", "text", voc, [(3, 3)], 2, 1)
+    assert sorted((r["id"], list(r["ids"])) for r in got.where("ids is not null").collect()) == [(1, [0, 1, 2]), (1, [0, 1, 2, 3, 4]), (5, [4, 3, 2, 1, 0])]
+    # windows of four words with three known ones also cover the word between
+    got = leaks.known_stretches(d, "doc_id", "text", voc, [(4, 3)], 2, 1)
+    assert (1, [0, 1, 2, 5, 0, 1, 2, 3, 4]) in [(r["id"], list(r["ids"])) for r in got.where("ids is not null").collect()]
+    counts = Counter()
+    for r in got.where("terms is not null").collect():
+        counts.update(dict(zip(r["terms"], r["counts"], strict=True)))
+    assert counts == {0: 5, 1: 7, 2: 6, 3: 4, 4: 2, 5: 14}
+
+
 def test_space_spans_the_leading_directions(spark):
     docs, items = corpus(3)
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
-    held = leaks.load_items(spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text", 12)
-    space = leaks.fit_space(d, "text", held, rank=10)
+    held = leaks.load_items(next(leaks.item_blocks(spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")), 12)
     v = len(held.vocabulary)
+    stretches = leaks.known_stretches(d, "doc_id", "text", held.vocabulary, [(8, 5)], leaks.WIDTH, leaks.STRIDE)
+    space = leaks.fit_space(stretches, v, rank=10)
     a = []
-    for _, t in docs:
-        w = words(t)
+    unknown = np.log(sum(max(0, (len(words(t)) - leaks.WIDTH) // leaks.STRIDE + 1) for _, t in docs) + 1) + 1
+    for r in stretches.where("ids is not null").collect():
+        w = r["ids"]
         for k in range(0, len(w) - leaks.WIDTH + 1, leaks.STRIDE):
             row = np.zeros(v + 1)
             for x in w[k : k + leaks.WIDTH]:
-                row[held.vocabulary.get(x, v)] += 1
-            n = np.sqrt(sum(space.idf[held.vocabulary[x]] ** 2 if x in held.vocabulary else space.unknown**2 for x in w[k : k + leaks.WIDTH]))
+                row[x] += 1
+            n = np.sqrt(sum(space.idf[x] ** 2 if x < v else unknown**2 for x in w[k : k + leaks.WIDTH]))
             a.append(row[:v] * space.idf / n)
     exact = np.linalg.svd(np.array(a), compute_uv=False)[:10]
     assert np.all(np.abs(space.singular - exact) / exact < 0.25) and space.singular[0] > 0.9 * exact[0]
@@ -115,3 +135,25 @@ def test_subsequence_by_bits():
     for _ in range(200):
         a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(0, 90))] for _ in range(2))
         assert leaks.subsequence_counter(a)(b) == leaks.common_subsequence(a, b)
+
+
+def test_recall_of_rewordings(spark):
+    """Planted rewordings of item sentences among other text, against a search without the latent candidates."""
+    rng = random.Random(11)
+    words_ = [f"w{k}" for k in range(400)]
+    sentence = lambda n: [rng.choice(words_) for _ in range(n)]
+    items = [(k, " ".join(sentence(rng.randrange(9, 26))) + ".") for k in range(40)]
+    docs, planted = [], set()
+    for d in range(120):
+        k, said = rng.choice(items)
+        w = said[:-1].split()
+        for _ in range(max(1, len(w) // 7)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["new"], ["some", w[at]]])
+        docs.append((d, " ".join([*sentence(rng.randrange(40)), *w, *sentence(rng.randrange(40))])))
+        planted.add((d, k))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r[0], r[1]) for r in leaks.paraphrased_items(d, i).collect()}
+    every = {(r[0], r[1]) for r in leaks.paraphrased_items(d, i, cosine=-1.0).collect()}
+    assert got <= every and planted <= every
+    assert len(got & planted) >= 0.95 * len(planted) and len(got) >= 0.95 * len(every)
