@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 import unicodedata
 
-#: Marks that a transfer or a field limit leaves at a cut.
-MARK = re.compile(
-    r"\s*(?:"
-    r"[\[(<{]\s*(?:\.{2,}|…|(?:text|message|content|output)?\s*(?:was\s+)?(?:cut(?:\s+off)?|truncated|snip(?:ped)?|shortened|clipped|more|continued|cont\.?"
-    r"|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado|截断|已截断|省略))\s*(?:\.{2,}|…)?\s*[\])>}]"
-    r"|(?:<!--\s*(?:cut|truncated|snip)\s*-->)"
-    r"|-+\s*(?:truncated|cut|snip)\s*-+"
-    r")\s*$",
-    re.IGNORECASE,
+#: White space at the end of a text.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Marks that a transfer or a field limit leaves at a cut, at the end of a text without trailing white space. The
+#: pattern begins only where a run of white space or hyphens begins.
+MARKS = (
+    r"(?:(?<!\s)\s*+(?:"
+    r"[\[(<{]\s*+(?:\.{2,}|…|(?:(?:text|message|content|output)\s*+)?(?:was\s++)?(?:cut(?:\s++off)?|truncated|snip(?:ped)?|shortened|clipped|more|continued|cont\.?"
+    r"|gekürzt|abgeschnitten|tronqué|coupé|truncado|cortado|截断|已截断|省略))\s*+(?:\.{2,}|…)?\s*+[\])>}]"
+    r"|<!--\s*+(?:cut|truncated|snip)\s*+-->"
+    r"|(?<!-)-++\s*+(?:truncated|cut|snip)\s*+-++"
+    r"))++\s*+\Z"
 )
+#: What a mark ends with.
+MARK_ENDS = ("]", ")", ">", "}", "-")
+MARK = re.compile(MARKS, re.IGNORECASE)
 ELLIPSIS = re.compile(r"\s*(?:…+|\.{3,})\s*$")
 CLOSERS = "\"'”’»›)]}>*_`」』）】》"
 ENDERS = ".!?。！？｡．؟।॥"
@@ -34,11 +39,11 @@ OPEN, CLOSED, UNSURE = "open", "closed", "unsure"
 
 
 def strip_marks(text: str) -> tuple[str, bool]:
-    """The text without trailing space and marks of a cut, and whether there was a bracketed mark."""
-    body, marked = text.rstrip(), False
-    while m := MARK.search(body):
-        body, marked = body[: m.start()].rstrip(), True
-    return body, marked
+    """The text without trailing space and marks of a cut, and whether there was a mark."""
+    body = text.rstrip(SPACES)
+    if body.endswith(MARK_ENDS) and (m := MARK.search(body)):
+        return body[: m.start()], True
+    return body, False
 
 
 def _balanced(line: str) -> bool:
@@ -59,14 +64,16 @@ def _sentence_end(body: str) -> bool:
 
 
 def classify_ending(text: str | None) -> str:
+    """How a text ends, marks of a cut left out (see `ending_of`); null, empty and blank texts are closed."""
+    return CLOSED if text is None else ending_of(*strip_marks(text))
+
+
+def ending_of(body: str, marked: bool) -> str:
     """`open`: the text stops within a word or sentence; `closed`: it is complete; `unsure`: its last line is of a
     kind that needs no full stop, and nothing in the text tells whether that line is whole.
 
-    Null, empty and blank texts are closed.
+    `body` is the text without marks of a cut and trailing white space, `marked` says that there was a mark.
     """
-    if text is None or not text.strip():
-        return CLOSED
-    body, marked = strip_marks(text)
     if not body:
         return CLOSED
     if body[-1] == "\ufffd" or unicodedata.category(body[-1]) == "Cs":
@@ -124,6 +131,6 @@ def classify_ending(text: str | None) -> str:
         return UNSURE
     if _sentence_end(body):
         return CLOSED
-    if len([x for x in lines if x.strip()]) == 1 and len(last) <= 80 and not re.search(r"[.!?。！？]\s", last):
+    if len([x for x in lines if x.strip()]) == 1 and len(last) <= 80 and not re.search(r"[.!?]\s|[。！？]", last):
         return UNSURE  # a subject line or a title
     return OPEN

@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomline.llm import bpe, truncation
 from loomline.llm.endings import CLOSED, OPEN, UNSURE, classify_ending, strip_marks
@@ -116,28 +117,33 @@ def test_endings(text, want):
 
 
 def test_marks():
-    assert strip_marks("abc [truncated] ") == ("abc", True) and strip_marks("abc") == ("abc", False)
+    assert strip_marks("abc [truncated] ") == ("abc", True) and strip_marks("abc") == ("abc", False) and strip_marks("[...]") == ("", True)
+    assert strip_marks("abc [...] [truncated]\u3000\n") == strip_marks("abc--- cut ---") == strip_marks("abc <!-- snip -->") == strip_marks("abc  (Text was cut off…)") == ("abc", True)
+    assert strip_marks("a - b") == ("a - b", False) and strip_marks("list [x]") == ("list [x]", False) and strip_marks("x]\x85\x1f") == ("x]", False)
+    assert strip_marks("a" + " " * 50_000 + "b" + "-" * 50_000 + " [cut]")[1]
+    assert truncation.text_stem("abc…") == truncation.text_stem("abc ...") == "abc" and truncation.text_stem("a b.") == "a b."
+    assert truncation.prefix_hashes("abcd") == [truncation._hash("a"), truncation._hash("abcd")] and truncation.prefix_hashes("") == []
+    assert truncation.word_forms("ab, cd ab") == ({"ab", "cd"}, "ab") and truncation.word_forms("ab.") == ({"ab"}, None) and truncation.word_forms("") == (set(), None)
 
 
 def test_truncated_texts(spark, rows):
     full = "A whole text. It has a second sentence.\n\n## Heading of it\n\nAnd more of it."
     docs = [
         (1, full, "s"), (2, full[:20], "s"), (3, full[: full.index("ing of")], "s"), (4, full[: full.index("\n\nAnd")], "s"), (5, full[:13], "t"), (6, None, "t"), (7, " ", "t"), (8, "", None), (9, full[:20] + " [...]", "t"),
-        (10, "It rose by 3.", "u"), (11, "It rose by 3.5 percent.", "u"), (2, full[:20], "s"),
+        (10, "It rose by 3.", "u"), (11, "It rose by 3.5 percent.", "u"), (2, full[:20], "s"), (12, full[:33] + "…", "v"), (13, "We leave it there…", "v"), (14, "fix: join the sen", "w"), (15, "fix: join the text", "w"), (16, "所有检查都已完成。第二部分还没", "w"), (17, "[...]", "w"),
     ]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").selectExpr("*", "1 as body", "2 as h")
-    got = rows(truncation.truncated_texts(df), "doc_id", "has_longer_copy")
-    assert got == sorted([(2, True), (2, True), (3, True), (9, True), (10, True)], key=lambda r: str(r[0]))
-    rates = {r["source"]: (r["n_texts"], r["n_cut"]) for r in truncation.truncation_rates(df).collect()}
-    assert rates == {"s": (5, 3), "t": (4, 1), "u": (2, 1), None: (1, 0)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").selectExpr("*", "1 as body", "2 as h", "3 as stem", "4 as last")
+    got = rows(truncation.truncated_texts(df), "doc_id", "within_word", "has_longer_copy")
+    want = [(2, False, True), (2, False, True), (3, True, True), (9, False, True), (10, False, True), (12, True, True), (14, True, False), (16, False, False)]
+    assert got == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
+    rates = {r["source"]: (r["n_texts"], r["n_cut"], r["n_within_word"]) for r in truncation.truncation_rates(df).collect()}
+    assert rates == {"s": (5, 3, 1), "t": (4, 1, 0), "u": (2, 1, 0), "v": (2, 1, 1), "w": (4, 2, 1), None: (1, 0, 0)}
     assert truncation.truncated_texts(df.where("false")).count() == 0
 
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab\n", min_size=1, max_size=6), min_size=1, max_size=30))
 def test_strict_prefixes_by_brute_force(spark, values):
-    import hashlib
-
-    df = spark.createDataFrame([(v,) for v in values], "body string")
-    got = {r["h"] for r in truncation.strict_prefixes(df).collect()}
-    assert got == {hashlib.md5(v.encode()).hexdigest() for v in values if any(o != v and o.startswith(v) for o in values)}
+    df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("h", F.xxhash64("v"))
+    got = {r["v"] for r in df.join(truncation.strict_prefixes(df), "h").collect()}
+    assert got == {v for v in values if any(o != v and o.startswith(v) for o in values)}
