@@ -20,10 +20,6 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return g.edges_of(_components(spark, d))
 
 
-def _acyclic(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).where("src > dst")
-
-
 def _index(spark: SparkSession, d: str) -> DataFrame:
     return _components(spark, d).select(F.col("id").alias("component_id"), F.col("repo_name").alias("module")).dropDuplicates(["component_id"])
 
@@ -69,53 +65,27 @@ def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_reverse(spark: SparkSession, d: str) -> DataFrame:
     """What depends on the three most used components, with the depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d), 6)
+    return g.impact(_edges(spark, d), _starts(spark, d))
 
 
 def impact_forward(spark: SparkSession, d: str) -> DataFrame:
     """What the three most used components depend on."""
-    return g.impact(_edges(spark, d), _starts(spark, d), 6, "depends_on")
+    return g.impact(_edges(spark, d), _starts(spark, d), direction="depends_on")
 
 
 def impact_both(spark: SparkSession, d: str) -> DataFrame:
     """Both directions, the smaller depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d), 6, "both")
+    return g.impact(_edges(spark, d), _starts(spark, d), direction="both")
 
 
 def impact_paths(spark: SparkSession, d: str) -> DataFrame:
     """Reached components with one shortest path."""
-    r = g.impact(_edges(spark, d), _starts(spark, d), 4, paths=True)
+    r = g.impact(_edges(spark, d), _starts(spark, d), paths=True)
     return r.select("id", "depth", F.array_join("path", " > ").alias("path"))
 
 
 def impact_by_module(spark: SparkSession, d: str) -> DataFrame:
     """Reached components per repository."""
-    return g.impact_by_module(g.impact(_edges(spark, d), _starts(spark, d), 6), _index(spark, d))
-
-
-def impact_reverse_deep(spark: SparkSession, d: str) -> DataFrame:
-    """What depends on the three most used components, to the operator's depth; impact_reverse ends where its SQL does."""
-    return g.impact(_edges(spark, d), _starts(spark, d))
-
-
-def impact_forward_deep(spark: SparkSession, d: str) -> DataFrame:
-    """What the three most used components depend on, to the operator's depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d), direction="depends_on")
-
-
-def impact_both_deep(spark: SparkSession, d: str) -> DataFrame:
-    """Both directions, to the operator's depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d), direction="both")
-
-
-def impact_paths_deep(spark: SparkSession, d: str) -> DataFrame:
-    """Reached components with one shortest path, to the operator's depth."""
-    r = g.impact(_edges(spark, d), _starts(spark, d), paths=True)
-    return r.select("id", "depth", F.array_join("path", " > ").alias("path"))
-
-
-def impact_by_module_deep(spark: SparkSession, d: str) -> DataFrame:
-    """Reached components per repository, to the operator's depth."""
     return g.impact_by_module(g.impact(_edges(spark, d), _starts(spark, d)), _index(spark, d))
 
 
@@ -131,28 +101,18 @@ def module_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """PageRank after three rounds."""
-    return g.pagerank(_edges(spark, d), rounds=3).select("id", F.round("score", 9).alias("score"))
-
-
-def pagerank_compat(spark: SparkSession, d: str) -> DataFrame:
-    """The variant that divides by the number of dependents, after three rounds."""
-    return g.pagerank(_edges(spark, d), rounds=3, compat=True).select("id", F.round("score", 9).alias("score"))
-
-
-def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    """PageRank to the operator's tolerance; pagerank ends after the three rounds of its SQL."""
+    """PageRank to its tolerance."""
     return g.pagerank(_edges(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
-def pagerank_compat_converged(spark: SparkSession, d: str) -> DataFrame:
-    """The variant that divides by the number of dependents, to the operator's tolerance."""
+def pagerank_compat(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that divides by the number of dependents, to its tolerance."""
     return g.pagerank(_edges(spark, d), compat=True).select("id", F.round("score", 9).alias("score"))
 
 
 def reading_guide(spark: SparkSession, d: str) -> DataFrame:
     """The ten repositories with most PageRank, run to its tolerance."""
-    return g.module_scores(g.pagerank(_edges(spark, d), tolerance=1e-4), _index(spark, d)).select("module", F.round("score", 5).alias("score"), "n")
+    return g.module_scores(g.pagerank(_edges(spark, d)), _index(spark, d)).select("module", F.round("score", 7).alias("score"), "n")
 
 
 def scc(spark: SparkSession, d: str) -> DataFrame:
@@ -161,8 +121,8 @@ def scc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topological_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Dependency levels of the part of the graph whose edges lead to lesser ids."""
-    return g.topological_levels(_acyclic(spark, d))
+    """Dependency levels of all components with edges, those of a cycle together."""
+    return g.topological_levels(_edges(spark, d))
 
 
 def condensation(spark: SparkSession, d: str) -> DataFrame:
@@ -229,9 +189,8 @@ def external_callees(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__ if f.__name__ not in ("edges",) else "dependency_edges": f for f in (
-    edges, edges_reversed, in_degree, high_impact, isolated_nodes, impact_reverse, impact_forward, impact_both, impact_paths, impact_by_module, impact_reverse_deep,
-    impact_forward_deep, impact_both_deep, impact_paths_deep, impact_by_module_deep, module_graph,
-    module_neighbours, pagerank, pagerank_compat, pagerank_converged, pagerank_compat_converged, reading_guide, scc, topological_levels, condensation, dependency_order, degree_centrality, central_edges, doc_candidates,
+    edges, edges_reversed, in_degree, high_impact, isolated_nodes, impact_reverse, impact_forward, impact_both, impact_paths, impact_by_module, module_graph,
+    module_neighbours, pagerank, pagerank_compat, reading_guide, scc, topological_levels, condensation, dependency_order, degree_centrality, central_edges, doc_candidates,
     processing_order, affected_modules, call_context, calls_deduplicated, calls_resolved, call_edges, external_callees,
 )}
 
@@ -239,23 +198,31 @@ _E = f"WITH RECURSIVE {q.EDGES.strip()}"
 _START = "starts AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT {n})"
 
 
-def _reach(condition: str, step: str, depth: int = 6, n: int = 3) -> str:
-    return f"{_START.format(n=n)}, r AS (SELECT id, 0 AS depth FROM starts UNION SELECT {step}, r.depth + 1 FROM r JOIN edges e ON {condition} WHERE r.depth < {depth})"
+def _reach(condition: str, step: str, n: int = 3) -> str:
+    return f"{_START.format(n=n)}, r AS (SELECT id, 0 AS depth FROM starts UNION SELECT {step}, r.depth + 1 FROM r JOIN edges e ON {condition} WHERE r.depth < 10)"
 
 
 _REV, _FWD = _reach("e.dst = r.id", "e.src"), _reach("e.src = r.id", "e.dst")
-_BOTH = f"""{_START.format(n=3)}, r1 AS (SELECT id, 0 AS depth FROM starts UNION SELECT e.src, r1.depth + 1 FROM r1 JOIN edges e ON e.dst = r1.id WHERE r1.depth < 6),
-  r2 AS (SELECT id, 0 AS depth FROM starts UNION SELECT e.dst, r2.depth + 1 FROM r2 JOIN edges e ON e.src = r2.id WHERE r2.depth < 6)"""
+_BOTH = f"""{_START.format(n=3)}, r1 AS (SELECT id, 0 AS depth FROM starts UNION SELECT e.src, r1.depth + 1 FROM r1 JOIN edges e ON e.dst = r1.id WHERE r1.depth < 10),
+  r2 AS (SELECT id, 0 AS depth FROM starts UNION SELECT e.dst, r2.depth + 1 FROM r2 JOIN edges e ON e.src = r2.id WHERE r2.depth < 10)"""
+#: The components of cycles from the pairs that reach each other, the acyclic graph of components and its longest ways.
+_COND = """c AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT c.a, e.dst FROM c JOIN edges e ON e.src = c.b),
+  mutual AS (SELECT x.a, min(x.b) AS least FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+  nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), comp AS (SELECT id, least(id, coalesce(least, id)) AS g FROM nodes LEFT JOIN mutual ON a = id),
+  cond AS (SELECT DISTINCT x.g AS src, y.g AS dst FROM edges e JOIN comp x ON x.id = e.src JOIN comp y ON y.id = e.dst WHERE x.g <> y.g)"""
+_LEVELS = f"{_COND}, l AS (SELECT DISTINCT g, 0 AS level FROM comp UNION SELECT cond.src, l.level + 1 FROM l JOIN cond ON cond.dst = l.g), lv AS (SELECT id, level FROM comp JOIN (SELECT g, max(level) AS level FROM l GROUP BY g) USING (g))"
 _IDX = "idx AS (SELECT DISTINCT id, repo_name AS module FROM components)"
 
 
 def _rank(by: str) -> str:
-    parts = [f"{_E}, nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)",
-             f"sh AS (SELECT {by} AS id, count(*) AS share FROM edges GROUP BY 1)", "p0 AS (SELECT id, 1.0 / n.n AS s FROM nodes, n)"]
-    for k in (1, 2, 3):
-        parts.append(f"""p{k} AS (SELECT a.id, 0.15 / n.n + 0.85 * coalesce(g.s, 0) AS s FROM p{k - 1} a CROSS JOIN n LEFT JOIN (
-            SELECT e.dst AS id, sum(p.s / sh.share) AS s FROM edges e JOIN p{k - 1} p ON p.id = e.src JOIN sh ON sh.id = e.src GROUP BY e.dst) g ON g.id = a.id)""")
-    return ", ".join(parts) + " SELECT id, round(s, 9) AS score FROM p3"
+    return f"""{_E}, nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes),
+      sh AS (SELECT {by} AS id, count(*) AS share FROM edges GROUP BY 1), w AS (SELECT e.src, e.dst, sh.share FROM edges e JOIN sh ON sh.id = e.src),
+      pr AS (SELECT id, 1.0 / n.n AS s, 0 AS k, CAST(1 AS DOUBLE) AS change FROM nodes, n UNION ALL
+        SELECT id, fresh, k + 1, sum(abs(fresh - s)) OVER () FROM (
+          SELECT p.id, p.s, p.k, 0.15 / n.n + 0.85 * coalesce(got.s, 0) AS fresh
+          FROM pr p CROSS JOIN n LEFT JOIN (SELECT w.dst AS id, sum(q.s / w.share) AS s FROM w JOIN pr q ON q.id = w.src GROUP BY w.dst) got ON got.id = p.id
+          WHERE p.k < 100 AND p.change >= 1e-6)),
+      ranks AS (SELECT id, s AS score FROM pr WHERE k = (SELECT max(k) FROM pr))"""
 
 
 _KIND = "lower(trim(CASE WHEN regexp_matches(coalesce(component_type, ''), '\\S') THEN component_type ELSE node_type END))"
@@ -273,13 +240,14 @@ SQL = {
     "module_neighbours": f"""{_E}, {_IDX}, m AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM edges e JOIN idx a ON a.id = e.src JOIN idx b ON b.id = e.dst WHERE a.module <> b.module)
         SELECT coalesce(o.module, i.module) AS module, coalesce(o.x, '') AS depends_on, coalesce(i.x, '') AS depended_by
         FROM (SELECT src AS module, string_agg(dst, ',' ORDER BY dst) AS x FROM m GROUP BY src) o FULL JOIN (SELECT dst AS module, string_agg(src, ',' ORDER BY src) AS x FROM m GROUP BY dst) i ON i.module = o.module""",
-    "pagerank": _rank("src"),
-    "pagerank_compat": _rank("dst"),
+    "pagerank": _rank("src") + " SELECT id, round(score, 9) AS score FROM ranks",
+    "pagerank_compat": _rank("dst") + " SELECT id, round(score, 9) AS score FROM ranks",
+    "reading_guide": _rank("src") + f", {_IDX} SELECT module, round(sum(score), 7) AS score, count(*) AS n FROM ranks JOIN idx USING (id) GROUP BY module ORDER BY sum(score) DESC, module LIMIT 10",
+    "condensation": f"{_E}, {_COND} SELECT src, dst FROM cond",
+    "dependency_order": f"{_E}, {_LEVELS} SELECT id, level FROM lv UNION ALL SELECT DISTINCT id, 0 FROM components WHERE id NOT IN (SELECT id FROM lv)",
     "scc": f"""{_E}, c AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT c.a, e.dst FROM c JOIN edges e ON e.src = c.b)
         SELECT a AS id, min(b) AS scc FROM (SELECT x.a, x.b FROM c x JOIN c y ON y.a = x.b AND y.b = x.a) WHERE a IN (SELECT a FROM c WHERE a = b) GROUP BY a HAVING count(DISTINCT b) > 1""",
-    "topological_levels": f"""{_E}, ac AS (SELECT src, dst FROM edges WHERE src > dst), l AS (
-        SELECT id, 0 AS level FROM (SELECT src AS id FROM ac UNION SELECT dst FROM ac) UNION SELECT ac.src, l.level + 1 FROM l JOIN ac ON ac.dst = l.id)
-        SELECT id, max(level) AS level FROM l GROUP BY id""",
+    "topological_levels": f"{_E}, {_LEVELS} SELECT id, level FROM lv",
     "degree_centrality": f"""{_E} SELECT a AS id, count(DISTINCT b) AS degree FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst) GROUP BY a ORDER BY 2 DESC, 1 LIMIT 50""",
     "central_edges": f"""{_E}, t AS (SELECT a AS id FROM (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst) GROUP BY a ORDER BY count(DISTINCT b) DESC, 1 LIMIT 50)
         SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""",
@@ -292,8 +260,12 @@ SQL = {
     "external_callees": """SELECT CASE WHEN contains(callee, '::') AND NOT starts_with(callee, 'std::') THEN 'component' WHEN callee IN ('len', 'super') THEN 'builtin'
           WHEN regexp_matches(callee, '^(?:os|sys|re|json|math|time|logging|pathlib|collections|itertools|functools|typing|datetime|subprocess|threading|asyncio|abc|io|copy|random|string|struct|hashlib|shutil)\\.') THEN 'stdlib'
           ELSE 'unknown' END AS kind, count(*) AS n FROM calls WHERE callee IS NOT NULL GROUP BY 1""",
-    "impact_paths": f"""{_E}, {_START.format(n=3)}, r AS (SELECT id, 0 AS depth, id AS path FROM starts UNION ALL SELECT e.src, r.depth + 1, r.path || ' > ' || e.src FROM r JOIN edges e ON e.dst = r.id WHERE r.depth < 4 AND e.src <> e.dst)
-        SELECT id, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, string_split(path, ' > ')) AS n FROM r) WHERE n = 1""",
+    "impact_paths": f"""{_E}, {_REV}, near AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), r2 AS (
+          SELECT id, 0 AS depth, [id] AS path FROM starts UNION ALL
+          SELECT id, depth, min(path) FROM (SELECT e.src AS id, r2.depth + 1 AS depth, list_append(r2.path, e.src) AS path FROM r2 JOIN edges e ON e.dst = r2.id JOIN near ON near.id = e.src AND near.depth = r2.depth + 1) GROUP BY id, depth)
+        SELECT id, depth, array_to_string(path, ' > ') AS path FROM r2""",
+    "affected_modules": f"""{_E}, {_reach("e.dst = r.id", "e.src", 1)}, f AS (SELECT DISTINCT id, repo_name, array_to_string(list_slice(string_split({q.clean_path('relative_path')}, '/'), 1, 2), '/') AS folder FROM components),
+        hit AS (SELECT DISTINCT folder, repo_name FROM f JOIN r USING (id)) SELECT DISTINCT folder AS module, true AS direct FROM hit UNION ALL SELECT DISTINCT repo_name, false FROM hit WHERE repo_name NOT IN (SELECT folder FROM hit)""",
     "processing_order": f"""WITH f AS (SELECT DISTINCT repo_name, array_to_string(list_slice(string_split({q.clean_path('relative_path')}, '/'), 1, 2), '/') AS folder FROM components)
         SELECT DISTINCT repo_name AS module, CAST(NULL AS VARCHAR) AS parent, 0 AS depth FROM f UNION ALL SELECT DISTINCT folder, repo_name, 1 FROM f""",
 }

@@ -18,23 +18,28 @@ def ids(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "id string")
 
 
-def test_impact(spark, rows):
+@pytest.fixture(params=[g.SMALL, 0], ids=["one_task", "rounds"])
+def small(request):
+    return request.param
+
+
+def test_impact(spark, rows, small):
     e = edges(spark, M2)
-    assert rows(g.impact(e, ids(spark, "D")), "id", "depth") == [("A", 2), ("B", 2), ("C", 1), ("D", 0)]
-    assert rows(g.impact(e, ids(spark, "A"), direction="depends_on"), "id", "depth") == [("A", 0), ("B", 1), ("C", 1), ("D", 2)]
-    assert rows(g.impact(e, ids(spark, "B"), direction="both"), "id", "depth") == [("A", 1), ("B", 0), ("C", 1), ("D", 2)]
-    paths = {r["id"]: r["path"] for r in g.impact(e, ids(spark, "A"), direction="depends_on", paths=True).collect()}
+    assert rows(g.impact(e, ids(spark, "D"), small=small), "id", "depth") == [("A", 2), ("B", 2), ("C", 1), ("D", 0)]
+    assert rows(g.impact(e, ids(spark, "A"), direction="depends_on", small=small), "id", "depth") == [("A", 0), ("B", 1), ("C", 1), ("D", 2)]
+    assert rows(g.impact(e, ids(spark, "B"), direction="both", small=small), "id", "depth") == [("A", 1), ("B", 0), ("C", 1), ("D", 2)]
+    paths = {r["id"]: r["path"] for r in g.impact(e, ids(spark, "A"), direction="depends_on", paths=True, small=small).collect()}
     assert paths == {"A": ["A"], "B": ["A", "B"], "C": ["A", "C"], "D": ["A", "C", "D"]}
-    assert rows(g.impact(e, ids(spark, "A"), 1, "depends_on"), "id") == [("A",), ("B",), ("C",)]
-    assert rows(g.impact(edges(spark, []), ids(spark, "A")), "id", "depth") == [("A", 0)]
+    assert rows(g.impact(e, ids(spark, "A"), 1, "depends_on", small=small), "id") == [("A",), ("B",), ("C",)]
+    assert rows(g.impact(edges(spark, []), ids(spark, "A"), small=small), "id", "depth") == [("A", 0)]
 
 
-def test_scc_and_levels(spark, rows):
+def test_scc_and_levels(spark, rows, small):
     e = edges(spark, M2)
-    assert rows(g.components_scc(e)) == [("C", "C"), ("D", "C")]
-    assert rows(g.components_scc(edges(spark, [("x", "x"), ("a", "b")]))) == []
-    assert rows(g.components_scc(edges(spark, []))) == []
-    assert rows(g.topological_levels(e, ids(spark, "E")), "id", "level") == [("A", 2), ("B", 1), ("C", 0), ("D", 0), ("E", 0)]
+    assert rows(g.components_scc(e, small)) == [("C", "C"), ("D", "C")]
+    assert rows(g.components_scc(edges(spark, [("x", "x"), ("a", "b")]), small)) == []
+    assert rows(g.components_scc(edges(spark, []), small)) == []
+    assert rows(g.topological_levels(e, ids(spark, "E"), small), "id", "level") == [("A", 2), ("B", 1), ("C", 0), ("D", 0), ("E", 0)]
     assert rows(g.isolated_nodes(ids(spark, "A", "E", "E"), e)) == [("E",)]
 
 
@@ -74,18 +79,27 @@ def tarjan(pairs):
     return sorted((x, min(c)) for c in out for x in c)
 
 
-def test_scc_by_brute_force(spark, rows):
+def test_scc_by_brute_force(spark, rows, small):
     rng = random.Random(3)
     pairs = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(42)]
-    assert rows(g.components_scc(edges(spark, pairs))) == tarjan([(a, b) for a, b in pairs if a != b])
+    assert rows(g.components_scc(edges(spark, pairs), small)) == tarjan([(a, b) for a, b in pairs if a != b])
+
+
+def test_scc_and_levels_of_a_long_chain_of_cycles(spark):
+    """More turns than any fixed number of rounds: 400 cycles, each leading to the next, solved by one task; 4 in rounds."""
+    for n, most in ((400, g.SMALL), (4, 0)):
+        pairs = [p for k in range(n) for p in ((f"a{k:03}", f"b{k:03}"), (f"b{k:03}", f"a{k:03}"), (f"b{k:03}", f"a{k + 1:03}"))]
+        e = edges(spark, pairs)
+        assert {r["id"]: r["scc"] for r in g.components_scc(e, most).collect()} == {f"{c}{k:03}": f"a{k:03}" for k in range(n) for c in "ab"}
+        assert {r["id"]: r["level"] for r in g.topological_levels(e, small=most).collect()} == {f"{c}{k:03}": n - k for k in range(n) for c in "ab"} | {f"a{n:03}": 0}
 
 
 @pytest.mark.parametrize(("pairs", "nodes", "compat", "want"), [
     ([("A", "B")], [], False, {"A": 0.0750, "B": 0.1387}), ([("A", "B")], [], True, {"A": 0.0750, "B": 0.0750}),
     (M2, ["E"], False, {"A": 0.0300, "B": 0.0427, "C": 0.3769, "D": 0.3504, "E": 0.0300}), (M2, ["E"], True, {"A": 0.0300, "B": 0.0300, "C": 0.1067, "D": 0.0602, "E": 0.0300}),
 ])
-def test_pagerank(spark, pairs, nodes, compat, want):
-    got = {r["id"]: r["score"] for r in g.pagerank(edges(spark, pairs), ids(spark, *nodes) if nodes else None, compat=compat).collect()}
+def test_pagerank(spark, pairs, nodes, compat, want, small):
+    got = {r["id"]: r["score"] for r in g.pagerank(edges(spark, pairs), ids(spark, *nodes) if nodes else None, compat=compat, small=small).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-3 for k, v in want.items())
 
 
@@ -139,14 +153,14 @@ def test_registered_depths(spark, chain):
     one, two = reach(back, starts, 10), reach(pairs, starts, 10)
     both = {k: min(x[k] for x in (one, two) if k in x) for k in one.keys() | two.keys()}
     assert len(one) > len(reach(back, starts, 6))
-    for name, want in (("impact_reverse_deep", one), ("impact_forward_deep", two), ("impact_both_deep", both), ("impact_paths_deep", one)):
+    for name, want in (("impact_reverse", one), ("impact_forward", two), ("impact_both", both), ("impact_paths", one)):
         got = graphs.QUERIES[name](spark, d).collect()
         assert {r["id"]: r["depth"] for r in got} == want and len(got) == len(want)
     counts = {}
     for k, v in one.items():
         m = k.split("/")[0]
         counts[m] = (counts.get(m, (0, 0))[0] + 1, max(counts.get(m, (0, 0))[1], v))
-    assert {r["module"]: (r["n"], r["max_depth"]) for r in graphs.QUERIES["impact_by_module_deep"](spark, d).collect()} == counts
+    assert {r["module"]: (r["n"], r["max_depth"]) for r in graphs.QUERIES["impact_by_module"](spark, d).collect()} == counts
     top = [r[0] for r in g.high_impact(graphs._edges(spark, d), 1, 1).select("id").collect()]
     want = {k.split("::")[0] for k in reach(back, top, 10)}
     assert {r["module"] for r in graphs.affected_modules(spark, d).where("direct").collect()} == want
@@ -167,5 +181,5 @@ def test_registered_pagerank_converges(spark, tmp_path, compat):
         score = fresh
         if change < 1e-6:
             break
-    got = {r["id"]: r["score"] for r in graphs.QUERIES["pagerank_compat_converged" if compat else "pagerank_converged"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["score"] for r in graphs.QUERIES["pagerank_compat" if compat else "pagerank"](spark, str(tmp_path)).collect()}
     assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-8 for i in ids)
