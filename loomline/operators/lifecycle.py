@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions.scalar import front_matter, issue_id, norm_status, stale_date
+from loomline.operators.skew import salted_join
 
 
 def retrieval_stats(hits: DataFrame) -> DataFrame:
@@ -94,10 +95,11 @@ def batch_ingest(items: DataFrame) -> DataFrame:
         .when(body == "", "no content")
         .when((F.col("kind") == "note") & (F.trim(F.coalesce("title", F.lit(""))) == ""), "no title")
     )
-    rows = items.withColumn("error", error).withColumn("h", F.sha2(F.coalesce("content", F.lit("")), 256))
+    # failed items have no hash and so meet no other; contents that often repeat are salted
+    rows = items.withColumn("error", error).select("item", "kind", "error", F.when(F.col("error").isNull(), F.sha2("content", 256)).alias("h"))
     first = rows.where("error is null").groupBy("h", "kind").agg(F.min("item").alias("first"))
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("item") == F.col("first"), "ingested").otherwise("repeat")
-    return rows.join(first, ["h", "kind"], "left").select("item", "kind", status.alias("status"), "error")
+    return salted_join(rows, first, ["h", "kind"], "left", spread=["item"]).select("item", "kind", status.alias("status"), "error")
 
 
 def migrate(pages: DataFrame, today: str, days: int = 90) -> DataFrame:

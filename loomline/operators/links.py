@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions.scalar import col, extract_title, page_hrefs, slugify, wikilinks
+from loomline.operators.skew import salted_join
 from loomline.session import ensure_checkpoint_dir
 
 
@@ -52,11 +53,11 @@ def link_graph(pages: DataFrame) -> DataFrame:
     both ways has the type that comes first by name."""
     links = page_links(pages).distinct()
     named = resolve_names(links.where("link_type = 'wikilink'"), page_names(pages))
-    wiki = links.where("link_type = 'wikilink'").join(named, "target").select("source_doc", F.col("doc_key").alias("target_doc"), "link_type")
+    wiki = salted_join(links.where("link_type = 'wikilink'"), named, ["target"], "inner").select("source_doc", F.col("doc_key").alias("target_doc"), "link_type")
     keys = pages.select(F.col("doc_key").alias("target_doc")).distinct()
     rel = links.where("link_type = 'markdown'").select("source_doc", "link_type", resolve_href("source_doc", "target").alias("a"))
     tries = rel.select("source_doc", "link_type", "a", F.posexplode(F.array("a", F.concat(F.lit("wiki/"), "a"))).alias("rank", "target_doc"))
-    md = tries.join(keys, "target_doc").groupBy("source_doc", "link_type", "a").agg(F.min_by("target_doc", "rank").alias("target_doc"))
+    md = salted_join(tries, keys, ["target_doc"], "inner").groupBy("source_doc", "link_type", "a").agg(F.min_by("target_doc", "rank").alias("target_doc"))
     both = wiki.unionByName(md.select("source_doc", "target_doc", "link_type")).where("source_doc <> target_doc")
     return both.groupBy("source_doc", "target_doc").agg(F.min("link_type").alias("link_type"))
 
@@ -65,10 +66,11 @@ def broken_links(pages: DataFrame) -> DataFrame:
     """Links that lead to no page: (source_doc, target, link_type)."""
     links = page_links(pages).distinct()
     named = resolve_names(links.where("link_type = 'wikilink'"), page_names(pages))
-    wiki = links.where("link_type = 'wikilink'").join(named, "target", "left_anti")
+    wiki = salted_join(links.where("link_type = 'wikilink'"), named, ["target"], "left_anti")
     keys = pages.select(F.col("doc_key").alias("to")).distinct()
     md = links.where("link_type = 'markdown'").withColumn("to", resolve_href("source_doc", "target"))
-    lost = md.join(keys, "to", "left_anti").withColumn("to", F.concat(F.lit("wiki/"), "to")).join(keys, "to", "left_anti").drop("to")
+    lost = salted_join(md, keys, ["to"], "left_anti").withColumn("to", F.concat(F.lit("wiki/"), "to"))
+    lost = salted_join(lost, keys, ["to"], "left_anti").drop("to")
     return wiki.select("source_doc", "target", "link_type").unionByName(lost.select("source_doc", "target", "link_type"))
 
 
@@ -82,12 +84,13 @@ def expand(graph: DataFrame, seeds: DataFrame, hops: int = 1, decay: float = 0.5
     pairs = graph.select(F.col("source_doc").alias("a"), F.col("target_doc").alias("b"))
     near = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     seen = seeds.select("doc_key").distinct()
-    frontier, found = seeds.select("doc_key", "score"), None
+    frontier = seeds.select("doc_key", "score")
+    found = frontier.select("doc_key", "score", F.lit(0).alias("hop"), F.col("doc_key").alias("via")).where(F.lit(False))
     for hop in range(1, min(3, hops) + 1):
         step = near.join(frontier.withColumnRenamed("doc_key", "a"), "a").select(F.col("b").alias("doc_key"), (F.col("score") * decay).alias("score"), F.col("a").alias("via"))
         best = step.where(F.col("score") >= least).groupBy("doc_key").agg(F.max(F.struct("score", F.lit(-hop).alias("h"))).alias("m"), F.min_by("via", F.struct(-F.col("score"), "via")).alias("via"))
         fresh = best.join(seen, "doc_key", "left_anti").select("doc_key", "m.score", F.lit(hop).alias("hop"), "via").checkpoint()
-        found = fresh if found is None else found.unionByName(fresh)
+        found = found.unionByName(fresh)
         if fresh.isEmpty():
             break
         seen, frontier = seen.unionByName(fresh.select("doc_key")), fresh.select("doc_key", "score")

@@ -42,42 +42,45 @@ def route_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Exact matches per pair of sources and key."""
-    x = r.match_exact(_routes(spark, d))
-    return x.groupBy("client_repo", "server_repo", "route_key").agg(F.count(F.lit(1)).alias("n"))
+    """Exact matches."""
+    return r.match_exact(_routes(spark, d)).select("client_repo", "client_component", "server_repo", "server_component", "route_key", "method")
+
+
+def route_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Links per pair of sources and key, counted without being made."""
+    rows = _routes(spark, d)
+    return r.link_counts(rows).unionByName(r.link_counts(rows, "mq"))
 
 
 def route_template(spark: SparkSession, d: str) -> DataFrame:
-    """Template matches per pair of sources and key."""
-    x = r.match_templates(_routes(spark, d))
-    return x.groupBy("client_repo", "server_repo", "route_key").agg(F.count(F.lit(1)).alias("n"))
+    """Template matches."""
+    return r.match_templates(_routes(spark, d)).select("client_repo", "client_component", "server_repo", "server_component", "route_key", "method")
 
 
 def route_queues(spark: SparkSession, d: str) -> DataFrame:
     """Producers and consumers per pair of sources and topic."""
-    x = r.match_queues(_routes(spark, d))
-    return x.groupBy("client_repo", "server_repo", "route_key").agg(F.count(F.lit(1)).alias("n"))
+    return r.link_counts(_routes(spark, d), "mq").select("client_repo", "server_repo", "route_key", F.col("n_links").alias("n"))
 
 
 def route_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    """Routes in no link."""
-    return r.unmatched_routes(_routes(spark, d)).groupBy("protocol", "role", "route_key").agg(F.count(F.lit(1)).alias("n"))
+    """Routes in no link, by key."""
+    return r.unmatched_classes(_routes(spark, d)).groupBy("protocol", "role", "route_key").agg(F.sum("n").alias("n"))
 
 
 def service_pairs(spark: SparkSession, d: str) -> DataFrame:
     """A10: links per pair of sources with three sample keys."""
-    p = r.service_pairs(r.match_exact(_routes(spark, d)))
+    p = r.service_pairs(r.link_counts(_routes(spark, d)))
     return p.select("client_repo", "server_repo", "n_calls", "n_keys", F.array_join("sample_keys", ",").alias("sample_keys"))
 
 
 def edge_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the service chart's edges."""
-    return r.edge_labels(r.match_exact(_routes(spark, d)))
+    return r.edge_labels(r.link_counts(_routes(spark, d)))
 
 
 def protocol_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Links per protocol."""
-    return r.protocol_histogram(r.match_exact(_routes(spark, d)).unionByName(r.match_queues(_routes(spark, d))))
+    return r.protocol_histogram(route_classes(spark, d))
 
 
 def links_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -87,15 +90,17 @@ def links_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_trace(spark: SparkSession, d: str) -> DataFrame:
-    """F8: everything about one key."""
+    """F8: everything about one key, the least that is in a link."""
     rows = _routes(spark, d)
-    return r.trace_route(r.match_exact(rows), rows, "__route__POST__/api/v3/channels/{}")
+    key = r.link_counts(rows).agg(F.min("route_key")).first()[0]
+    return r.trace_route(r.match_exact(rows.where(F.col("route_key") == F.lit(key))), rows, key)
 
 
 def links_merged(spark: SparkSession, d: str) -> DataFrame:
     """Local links and those of a trace (here the template matches) that are new."""
     rows = _routes(spark, d)
-    return r.merge_links(r.match_exact(rows), r.match_templates(rows).drop("client_path")).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+    merged = r.merge_links(r.match_exact(rows), r.match_templates(rows).drop("client_path"))
+    return merged.groupBy("client_repo", "server_repo", "route_key", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def code_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +109,7 @@ def code_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    route_rows, route_exact, route_template, route_queues, route_unmatched, service_pairs, edge_labels, protocol_histogram, links_filtered, route_trace, links_merged, code_routes,
+    route_rows, route_exact, route_classes, route_template, route_queues, route_unmatched, service_pairs, edge_labels, protocol_histogram, links_filtered, route_trace, links_merged, code_routes,
 )}
 
 _RAW = r"\b((?:GET|POST|PUT|DELETE|PATCH) /[A-Za-z0-9/_.-]+(?:\{[^}]+\})?)"
@@ -122,7 +127,7 @@ routes AS (
 ), c AS (SELECT * FROM routes WHERE role = 'client'), s AS (SELECT * FROM routes WHERE role = 'server'),
 x AS (SELECT DISTINCT c.repo_name AS client_repo, c.component_id AS client_component, s.repo_name AS server_repo, s.component_id AS server_component, c.route_key, c.method
   FROM c JOIN s USING (route_key) WHERE c.protocol = 'http' AND s.protocol = 'http' AND c.repo_name <> s.repo_name),
-t AS (SELECT DISTINCT c.repo_name AS client_repo, c.component_id AS client_component, s.repo_name AS server_repo, s.component_id AS server_component, s.route_key, c.route_key AS own
+t AS (SELECT DISTINCT c.repo_name AS client_repo, c.component_id AS client_component, s.repo_name AS server_repo, s.component_id AS server_component, s.route_key, c.route_key AS own, c.method
   FROM c JOIN s ON c.protocol = 'http' AND s.protocol = 'http' AND c.repo_name <> s.repo_name AND s.method = c.method
    AND regexp_full_match(c.path, replace(replace(s.path, '.', '\\.'), '{{}}', '[^/]+')) WHERE c.route_key NOT IN (SELECT route_key FROM s WHERE protocol = 'http')),
 m AS (SELECT c.repo_name AS client_repo, s.repo_name AS server_repo, c.route_key FROM c JOIN s USING (route_key) WHERE c.protocol = 'mq' AND s.protocol = 'mq' AND c.repo_name <> s.repo_name)
@@ -132,8 +137,13 @@ _PAIRS = """SELECT client_repo, server_repo, sum(n) AS n_calls, count(*) AS n_ke
   FROM (SELECT *, row_number() OVER (PARTITION BY client_repo, server_repo ORDER BY route_key) AS k FROM (SELECT client_repo, server_repo, route_key, count(*) AS n FROM x GROUP BY ALL)) GROUP BY ALL"""
 SQL = {
     "route_rows": f"{_R} SELECT DISTINCT * FROM routes",
-    "route_exact": _R + _N.format("x"),
-    "route_template": _R + "SELECT client_repo, server_repo, route_key, count(*) AS n FROM (SELECT DISTINCT client_repo, client_component, server_repo, server_component, route_key FROM t) GROUP BY ALL",
+    "route_exact": f"{_R} SELECT client_repo, client_component, server_repo, server_component, route_key, method FROM x",
+    "route_classes": f"{_R} SELECT client_repo, server_repo, route_key, 'http' AS protocol, count(*) AS n_links FROM x GROUP BY ALL UNION ALL SELECT client_repo, server_repo, route_key, 'mq', count(*) FROM m GROUP BY ALL",
+    "route_template": f"{_R} SELECT DISTINCT client_repo, client_component, server_repo, server_component, route_key, method FROM t",
+    "links_merged": f"""{_R} SELECT client_repo, server_repo, route_key, 1.0 AS confidence, count(*) AS n FROM x GROUP BY ALL
+        UNION ALL SELECT DISTINCT client_repo, server_repo, route_key, 0.8, 1 FROM t WHERE (client_repo, server_repo, route_key) NOT IN (SELECT (client_repo, server_repo, route_key) FROM x)""",
+    "route_trace": f"""{_R}, k AS (SELECT min(route_key) AS k FROM x) SELECT 'link' AS kind, client_repo AS repo_name, client_component AS component_id, server_repo AS other_repo, server_component AS other_component FROM x JOIN k ON route_key = k
+        UNION ALL SELECT role, repo_name, component_id, NULL, NULL FROM routes JOIN k ON route_key = k""",
     "route_queues": _R + _N.format("m"),
     "route_unmatched": f"{_R} SELECT protocol, role, route_key, count(*) AS n FROM routes WHERE route_key NOT IN (SELECT route_key FROM x UNION SELECT route_key FROM t UNION SELECT own FROM t UNION SELECT route_key FROM m) GROUP BY ALL",
     "service_pairs": _R + _PAIRS,

@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from loomline.operators.orphans import orphan_component_references, orphan_references
-from loomline.operators.skew import salted_join
+from loomline.operators.skew import Probe, hot_keys, salted_join
 from loomline.operators.snapshots import snapshot_changes
 
 T = [datetime(2025, m, 1) for m in range(1, 13)]
@@ -53,7 +53,10 @@ def test_hot_keys_are_salted(spark, rows):
     probe = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), F.col("id").alias("v"))
     build = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, w int")
     for how in ("left", "inner", "left_semi", "left_anti"):
-        assert rows(salted_join(probe, build, ["k"], how)) == rows(probe.join(build, ["k"], how))
+        assert rows(salted_join(probe, build, ["k"], how, rows=100)) == rows(salted_join(probe, build, ["k"], how)) == rows(probe.join(build, ["k"], how))
+    assert rows(hot_keys(probe, ["k"], rows=100)) == [("hot", 17)] and rows(hot_keys(probe, ["k"])) == []
+    for n in (100, 5000):
+        assert rows(Probe(probe, "k", n).join(build)) == rows(probe.join(build, ["k"]))
 
 
 RUNS = "run_id int, repo_name string, snapshot_no int, taken_at timestamp, delivered_at timestamp, run_state string, agent string"
