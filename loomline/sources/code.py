@@ -1,15 +1,15 @@
 """Source texts to rows: components and calls, routes, lines.
 
-The readers of Python code use the standard library's parser; those of other languages scan declarations over text
-whose comments and strings are blanked, with a stack of braces. All run in Arrow batches, one row of files at a time;
-a file that cannot be read gives no rows.
+Python code is read by the standard library's parser, other languages by a walk over paired tokens (declarations),
+endpoints by a table of frameworks over parsed annotations and calls (endpoints). All run in Arrow batches, one row
+of files at a time; a file that cannot be read gives no rows.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.ids import clean_path
-from loomline.functions.scalar import canonicalize_path, language_of, lines_of, mq_route_key, route_key
+from loomline.functions.scalar import CODE_EXTENSIONS, canonicalize_path, language_of, lines_of, mq_route_key, route_key, url_to_path
+from loomline.sources import declarations, endpoints
 
 COMPONENT_SCHEMA = (
     "id string, name string, component_type string, relative_path string, start_line int, end_line int, language string, "
@@ -135,124 +136,17 @@ def _dotted(node: ast.expr) -> str | None:
     return None
 
 
-# other languages
-
-BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
-_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|open|override|virtual|async|export|default|declare|readonly|partial|inline|suspend|data|inner|companion|const|unsafe|synchronized|native)\s+)*"
-#: What declares a type, and a function, in each language; `name`, and where there is one `params`.
-DECLARATIONS: dict[str, tuple[str, str]] = {
-    "java": (rf"{_MODS}(?P<kind>class|interface|enum|record|@interface)\s+(?P<name>\w+)", rf"{_MODS}(?:<[^>]+>\s*)?[\w.<>\[\],?]+\s+(?P<name>\w+)\s*\((?P<params>[^()]*)\)\s*(?:throws\s+[\w.,\s]+)?\{{"),
-    "csharp": (rf"{_MODS}(?P<kind>class|interface|enum|struct|record|delegate)\s+(?P<name>\w+)", rf"{_MODS}[\w.<>\[\],?]+\s+(?P<name>\w+)\s*(?:<[^>]+>)?\((?P<params>[^()]*)\)\s*(?:where[^{{]*)?\{{"),
-    "javascript": (r"(?:export\s+)?(?:default\s+)?(?P<kind>class)\s+(?P<name>\w+)", r"(?:async\s+)?function\s*\*?\s*(?P<name>\w+)\s*\((?P<params>[^()]*)\)[^{;]*\{|(?:const|let|var)\s+(?P<name2>\w+)\s*=\s*(?:async\s*)?\((?P<params2>[^()]*)\)\s*=>\s*\{|(?<=[\n{};])[ \t]*(?:static\s+|async\s+|get\s+|set\s+)*(?P<name3>#?\w+)\s*\((?P<params3>[^()]*)\)\s*\{"),
-    "typescript": (rf"{_MODS}(?P<kind>class|interface|enum|type|namespace)\s+(?P<name>\w+)", r"(?:async\s+)?function\s*\*?\s*(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^()]*)\)[^{;]*\{|(?:const|let|var)\s+(?P<name2>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\((?P<params2>[^()]*)\)[^={]*=>\s*\{|(?<=[\n{};])[ \t]*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*(?P<name3>#?\w+)\s*(?:<[^>]*>)?\((?P<params3>[^()]*)\)[^;={}]*\{"),
-    "go": (r"type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+(?P<kind>struct|interface)", r"func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\((?P<params>[^()]*)\)[^{\n]*\{"),
-    "c": (r"(?:typedef\s+)?(?P<kind>struct|union|enum)\s+(?P<name>\w+)\s*\{", r"(?<=\n)[\w][\w\s*]*?[\s*](?P<name>\w+)\s*\((?P<params>[^()]*)\)\s*\{"),
-    "cpp": (r"(?:template\s*<[^>]*>\s*)?(?P<kind>class|struct|union|enum|namespace)\s+(?:class\s+)?(?P<name>\w+)[^;{()]*\{", r"(?:[\w:<>,~&*]+\s+)+[&*]*(?:(?P<owner>\w+)::)?(?P<name>~?\w+)\s*\((?P<params>[^()]*)\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?::[^{;]*)?\{"),
-    "kotlin": (rf"{_MODS}(?:enum\s+|annotation\s+)?(?P<kind>class|interface|object)\s+(?P<name>\w+)", rf"{_MODS}fun\s+(?:<[^>]+>\s*)?(?:[\w.]+\.)?(?P<name>\w+)\s*\((?P<params>[^()]*)\)[^{{=\n]*[{{=]"),
-    "php": (r"(?:abstract\s+|final\s+|readonly\s+)*(?P<kind>class|interface|trait|enum)\s+(?P<name>\w+)", r"(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(?P<name>\w+)\s*\((?P<params>[^()]*)\)[^{;]*\{"),
-}
-NOT_FUNCTIONS = frozenset("if for while switch catch return else do try new throw function super this".split())
-OWN_WORDS = {
-    "java": frozenset("synchronized assert".split()), "csharp": frozenset("using lock foreach fixed nameof typeof".split()), "go": frozenset("go defer select case range".split()),
-    "javascript": frozenset("with typeof await yield constructor in".split()), "typescript": frozenset("with typeof await yield constructor in".split()), "c": frozenset(["sizeof"]),
-    "cpp": frozenset("sizeof alignof decltype".split()), "kotlin": frozenset("when init constructor".split()), "php": frozenset("foreach elseif match isset empty array list echo".split()),
-}
-EXTENDS = re.compile(r"\b(?:extends|implements|permits)\s+([\w.,<>\s]+?)(?=\bextends\b|\bimplements\b|\bpermits\b|\{|$)|:\s*((?:public\s+|private\s+|protected\s+|virtual\s+)*[\w.<>]+(?:\([^)]*\))?(?:\s*,\s*[\w.<>\s]+)*)\s*\{")
-CALL = re.compile(r"\b(new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*(?:<[\w,\s]*>)?\(")
-
-
-#: In scripts a slash after one of these opens a regular expression.
-SCRIPT_BLANK = re.compile(BLANK.pattern + r"|(?<=[(,=:\[!&|?{};])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
-
-
-def _blanked(text: str, language: str) -> str:
-    pattern = SCRIPT_BLANK if language in ("javascript", "typescript") else BLANK
-    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-
-
-def _scan_braces(path: str, text: str, repo: str, language: str) -> tuple[list[tuple], list[tuple]]:
-    """Components and calls of a text in a language with braces."""
-    plain = _blanked(text, language)
-    types, functions = (re.compile(p) for p in DECLARATIONS[language])
-    starts: dict[int, int] = {}
-    stack: list[int] = []
-    for m in re.finditer(r"[{}]", plain):  # where each brace closes
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            starts[stack.pop()] = m.start()
-    line_at = [m.start() for m in re.finditer(r"\n", plain)]
-    line = lambda p: bisect_left(line_at, p) + 1
-    found: list[tuple[int, int, str, str, list[str] | None, list[str], str | None]] = []
-    for m in types.finditer(plain):
-        brace = plain.find("{", m.end() - 1)
-        end = starts.get(brace, m.end()) if brace >= 0 and ";" not in plain[m.end() : brace] else m.end()
-        head = plain[m.end() : brace + 1] if brace >= 0 else ""
-        bases = [b.strip().split("<")[0].split("(")[0].split()[-1] for e in EXTENDS.finditer(head) for b in (e[1] or e[2] or "").split(",") if b.strip()]
-        kind = m["kind"]
-        if language == "java" and kind == "class" and "abstract" in m[0]:
-            kind = "abstract class"
-        found.append((m.start() + len(m[0]) - len(m[0].lstrip()), end, kind, m["name"], None, bases, None))
-    for m in functions.finditer(plain):
-        g = m.groupdict()
-        name = g.get("name") or g.get("name2") or g.get("name3") or ""
-        if not name or name in NOT_FUNCTIONS or name in OWN_WORDS[language]:
-            continue
-        params = g.get("params") or g.get("params2") or g.get("params3") or ""
-        cut = r"[:=]" if language in ("typescript", "javascript", "kotlin") else r"="
-        names = []
-        for p in params.split(","):
-            p = re.split(cut, p.strip())[0].strip()
-            if p and p != "void":
-                word = re.findall(r"[\w$]+", p)
-                names += [word[0] if language in ("go", "kotlin", "typescript", "javascript") else word[-1]] if word else []
-        begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        brace = m.end() - 1
-        found.append((begin, starts.get(brace, m.end()), "function", name, names, [], g.get("owner")))
-    found.sort(key=lambda x: (x[0], -x[1]))
-    module = re.sub(r"\.\w+$", "", path).replace("/", ".")
-    package = re.search(r"^\s*(?:package|namespace)\s+([\w.]+)", plain, re.MULTILINE)
-    components: list[tuple] = []
-    calls: list[tuple] = []
-    open_: list[tuple[int, str, str]] = []
-    spans: list[tuple[int, int, str]] = []
-    for begin, end, kind, name, params, bases, owner in found:
-        while open_ and open_[-1][0] < begin:
-            open_.pop()
-        within = [n for _, n, k in open_ if k not in ("function", "method")]
-        if kind == "function" and any(k in ("function", "method") for _, _, k in open_):
-            continue
-        above = ".".join(within) or owner
-        kind = "method" if kind == "function" and above else kind
-        full = f"{above}.{name}" if above else name
-        prefix = package[1] if package and language in ("java", "kotlin", "csharp") else module
-        cid = f"{path}::{full}"
-        components.append((cid, full, kind, path, line(begin), line(end), language, above if kind == "method" else None, f"{prefix}.{full}", None, params, bases or None, repo, len(components)))
-        for b in bases:
-            calls.append((cid, b, line(begin), "inherits", len(calls)))
-        open_.append((end, name, kind))
-        if kind in ("function", "method"):
-            spans.append((begin, end, cid))
-    for begin, end, cid in spans:
-        body = plain.find("{", begin)
-        for m in CALL.finditer(plain, max(body, begin), end):
-            name = re.sub(r"->", ".", m[2])
-            head = name.split(".")[0]
-            if (head not in NOT_FUNCTIONS and name not in OWN_WORDS[language]) or name.startswith(("this.", "super.")):
-                calls.append((cid, re.sub(r"^this\.", "", name), line(m.start()), "creates" if m[1] else "calls", len(calls)))
-    return components, calls
+def _language(path: str) -> str | None:
+    return CODE_EXTENSIONS.get("." + path.rsplit(".", 1)[-1].lower())
 
 
 def _read(path: str, text: str, repo: str) -> tuple[list[tuple], list[tuple]]:
-    from loomline.functions.scalar import CODE_EXTENSIONS
-
-    language = CODE_EXTENSIONS.get("." + path.rsplit(".", 1)[-1].lower())
-    body = text.lstrip("﻿")
+    language, body = _language(path), text.lstrip("\ufeff")
     if language == "python":
         reader = _PythonReader(path, repo)
         reader.visit(ast.parse(body))
         return reader.components, reader.calls
-    return _scan_braces(path, body, repo, language) if language in DECLARATIONS else ([], [])
+    return declarations.read(path, body, repo, language) if language in declarations.LANGUAGES else ([], [])
 
 
 def components(files: DataFrame) -> DataFrame:
@@ -278,99 +172,44 @@ def calls(files: DataFrame) -> DataFrame:
 
 # routes
 
-_Q = r"[\"'`]([^\"'`\n]+)[\"'`]"
-_VERBS = "get|post|put|delete|patch|head|options"
-NO_ROUTERS = frozenset("axios got ky fetch window document http api client request service instance requests httpx session aiohttp map set cache headers params formData localStorage".split())
-#: (languages, framework, role, pattern, which group is the method or a fixed method, which group is the path)
-HTTP_PATTERNS = [
-    ("python", "fastapi", "server", rf"@\w+\.({_VERBS})\(\s*[fr]?{_Q}", 1, 2),
-    ("python", "flask", "server", rf"@\w+\.route\(\s*{_Q}(?:[^)]*methods\s*=\s*\[\s*[\"'](\w+))?", 2, 1),
-    ("python", "django", "server", rf"\b(?:re_)?path\(\s*r?{_Q}\s*,", "GET", 1),
-    ("python", "requests", "client", rf"\b(?:requests|httpx|session|client|aiohttp)\.({_VERBS})\(\s*f?{_Q}", 1, 2),
-    ("java kotlin", "spring", "server", rf"@(Get|Post|Put|Delete|Patch)Mapping\(?\s*(?:(?:value|path)\s*=\s*)?(?:\{{\s*)?(?:{_Q})?", 1, 2),
-    ("java kotlin", "spring", "server", rf"@RequestMapping\([^)]*?{_Q}[^)]*RequestMethod\.(\w+)", 2, 1),
-    ("java kotlin", "jaxrs", "server", rf"@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:\s*@\w+(?:\([^)]*\))?)*?\s*@Path\(\s*{_Q}", 1, 2),
-    ("java kotlin", "resttemplate", "client", rf"\.(getForObject|getForEntity|postForObject|postForEntity|put|delete)\(\s*{_Q}", 1, 2),
-    ("java kotlin", "webclient", "client", rf"\.({_VERBS})\(\)\s*\.uri\(\s*{_Q}", 1, 2),
-    ("javascript typescript", "express", "server", rf"\b(\w+)\s*\.\s*({_VERBS})\s*\(\s*{_Q}", 2, 3),
-    ("javascript typescript", "nestjs", "server", rf"@(Get|Post|Put|Delete|Patch|Head|Options)\(\s*(?:{_Q})?\s*\)", 1, 2),
-    ("javascript typescript", "axios", "client", rf"\b(?:axios|http|api|client|got|ky)\s*\.\s*({_VERBS})\s*(?:<[^>]*>)?\(\s*{_Q}", 1, 2),
-    ("javascript typescript", "fetch", "client", rf"\bfetch\(\s*{_Q}(?:\s*,\s*\{{[^}}]*method\s*:\s*[\"'](\w+))?", 2, 1),
-    ("go", "gin", "server", r"\b\w+\s*\.\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s*\(\s*\"([^\"]+)\"", 1, 2),
-    ("go", "mux", "server", r"\b(?!http\b)\w+\s*\.\s*(Get|Post|Put|Delete|Patch|Head|Options)\s*\(\s*\"(/[^\"]*)\"", 1, 2),
-    ("go", "net/http", "server", r"\b\w+\s*\.\s*(?:HandleFunc|Handle)\s*\(\s*\"([^\"]+)\"", "GET", 1),
-    ("go", "net/http", "client", r"\bhttp\s*\.\s*(Get|Post|PostForm|Head)\s*\(\s*\"([^\"]+)\"", 1, 2),
-    ("go", "net/http", "client", r"\bhttp\s*\.\s*NewRequest(?:WithContext)?\s*\((?:\s*\w+\s*,)?\s*(?:\"(\w+)\"|http\.Method(?:\w+))\s*,\s*\"([^\"]+)\"", 1, 2),
-]
-#: (broker, role, pattern of the topic)
-MQ_PATTERNS = [
-    ("kafka", "client", r"(?:kafkaTemplate|kafkaProducer|kafka_producer|producer)\s*\.\s*(?:send|sendDefault|produce)\s*\(\s*[\"']([^\"']+)[\"']"),
-    ("kafka", "server", r"@KafkaListener\s*\(\s*(?:topics\s*=\s*)?\{?\s*\"([^\"]+)\""),
-    ("rabbitmq", "client", r"(?:rabbitTemplate|amqpTemplate)\s*\.\s*(?:convertAndSend|send)\s*\(\s*\"([^\"]+)\""),
-    ("rabbitmq", "server", r"@RabbitListener\s*\(\s*(?:queues\s*=\s*)?\s*\"([^\"]+)\""),
-    ("rocketmq", "client", r"(?:rocketMQTemplate|defaultMQProducer)\s*\.\s*(?:send|convertAndSend|syncSend)\s*\(\s*\"([^\"]+)\""),
-    ("rocketmq", "server", r"@RocketMQMessageListener\s*\([^)]*topic\s*=\s*\"([^\"]+)\""),
-    ("celery", "client", r"(?:celery|app)\s*\.\s*send_task\s*\(\s*[\"']([^\"']+)[\"']"),
-    ("celery", "server", r"@(?:celery|app)\s*\.\s*task\s*(?:\(\s*(?:name\s*=\s*[\"']([^\"']+)[\"'])?)?"),
-    ("kafka", "client", r"(?:writer|producer)\s*\.\s*(?:WriteMessages|Produce)\s*\([^,]*,\s*&?kafka\.Message\{[^}]*Topic:\s*\"([^\"]+)\""),
-]
-_HTTP = [(set(a.split()), fw, role, re.compile(p, re.MULTILINE), m, g) for a, fw, role, p, m, g in HTTP_PATTERNS]
-_MQ = [(b, r, re.compile(p, re.MULTILINE | re.DOTALL)) for b, r, p in MQ_PATTERNS]
-_ENCLOSING = re.compile(r"\bdef\s+(\w+)\s*\(|\bfunc\s+(?:\([^)]*\)\s+)?(\w+)\s*\(|\bfunction\s+(\w+)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\(|function)|(?:public|private|protected)[\w\s<>\[\],.]*?\s(\w+)\s*\(")
-_CLASS = re.compile(r"\b(?:class|interface|object)\s+(\w+)")
-_FIXED = {"getforobject": "GET", "getforentity": "GET", "postforobject": "POST", "postforentity": "POST", "postform": "POST"}
-
-
 def _scan_routes(path: str, text: str, repo: str) -> Iterator[tuple]:
-    from loomline.functions.scalar import CODE_EXTENSIONS
-
-    language = CODE_EXTENSIONS.get("." + path.rsplit(".", 1)[-1].lower())
-    owners = [(m.start(), next(g for g in m.groups() if g)) for m in _ENCLOSING.finditer(text)]
-    classes = [(m.start(), m[1]) for m in _CLASS.finditer(text)]
-    prefixes = [(m.start(), m[1]) for m in re.finditer(rf"@(?:Controller|RequestMapping|Path)\(\s*(?:(?:value|path)\s*=\s*)?{_Q}\s*\)(?=[\s\S]{{0,400}}?\bclass\b)", text)]
-    instances = {m[1] for m in re.finditer(r"(?:const|let|var)\s+(\w+)\s*=\s*axios\b|import\s+(\w+)\s+from\s+[\"']axios[\"']", text) if m[1]}
-
-    def where(at: int, after: bool) -> tuple[str, int]:
-        if after:  # a decorator belongs to the function that follows
-            name = next((n for p, n in owners if p > at), None)
-        else:
-            name = next((n for p, n in reversed(owners) if p <= at), None)
-        cls = next((n for p, n in reversed(classes) if p <= at), None) if language in ("java", "kotlin") else None
-        full = f"{cls}.{name}" if cls and name else name or "unknown"
-        return f"{path}::{full}", text.count("\n", 0, at) + 1
-
-    for languages, framework, role, pattern, method, group in _HTTP:
-        if language not in languages:
+    language, body = _language(path), text.lstrip("\ufeff")
+    if language != "python" and language not in declarations.LANGUAGES:
+        return
+    found = list(endpoints.endpoints(body, language))
+    if not found:
+        return
+    try:
+        spans = sorted((c[4], c[5], c[0], c[7] if c[2] == "method" else None, c[2]) for c in _read(path, text, repo)[0])
+    except (SyntaxError, ValueError, RecursionError):
+        spans = []
+    functions = [c for c in spans if c[4] in ("function", "method")]
+    breaks = [m.start() for m in re.finditer("\n", body)]
+    prefixes: dict[str, str] = {}
+    for protocol, method, raw, role, at, annotation, framework in found:
+        line = bisect_right(breaks, at - 1) + 1
+        # innermost: what begins last of all that hold the line
+        holder = next((c for c in reversed(functions) if c[0] <= line <= c[1]), None)
+        if role == "prefix":
+            if owner := next((c for c in spans if c[4] not in ("function", "method") and c[0] <= line <= c[1]), None):
+                prefixes[owner[2].rsplit("::", 1)[-1]] = raw
             continue
-        for m in pattern.finditer(text):
-            if framework == "express" and (m[1] in NO_ROUTERS or m[1] in instances or not m[3].startswith(("/", "*"))):
-                continue
-            verb = method if isinstance(method, str) else (m[method] or "GET")
-            verb = _FIXED.get(verb.lower(), verb.upper())
-            raw = m[group] or ""
-            decorated = m[0].startswith("@")
-            if role == "server" and decorated and framework in ("spring", "nestjs", "jaxrs"):
-                pre = next((p for at, p in reversed(prefixes) if at < m.start()), "")
-                raw = pre.rstrip("/") + "/" + raw.lstrip("/") if pre else raw
+        cid = holder[2] if holder else f"{path}::unknown"
+        if protocol == "http":
+            if annotation and holder and holder[3] in prefixes:
+                raw = prefixes[holder[3]].rstrip("/") + "/" + raw.lstrip("/") if raw else prefixes[holder[3]]
             raw = raw or "/"
-            if role == "client" and not raw.startswith(("/", "http://", "https://", "$", "{")):
-                raw = "/" + raw
-            if role == "server" and not raw.startswith("/"):
+            if not raw.startswith(("/", "http://", "https://", "$", "{") if role == "client" else "/"):
                 raw = "/" + raw
-            cid, line = where(m.start(), decorated)
-            yield ("http", verb, raw, role, cid, repo, path, line, framework)
-    for broker, role, pattern in _MQ:
-        for m in pattern.finditer(text):
-            cid, line = where(m.start(), m[0].startswith("@"))
-            topic = m[1] or cid.rsplit("::", 1)[-1].rsplit(".", 1)[-1]
-            if topic != "unknown":
-                yield ("mq", None, topic, role, cid, repo, path, line, broker)
+        else:
+            raw = raw or (cid.rsplit("::", 1)[-1].rsplit(".", 1)[-1] if holder else "")
+            if not raw:
+                continue
+        yield (protocol, method, raw, role, cid, repo, path, line, framework)
 
 
 def routes(files: DataFrame) -> DataFrame:
     """HTTP and message-queue routes of source files, keyed and with canonical paths."""
-    from loomline.functions.scalar import url_to_path
-
     raw = _table(files, ROUTE_SCHEMA, _scan_routes)
     http = F.col("protocol") == "http"
     path = F.regexp_replace(url_to_path("raw_path"), r"^\$?\{[^}]*\}(?=/)", "")
