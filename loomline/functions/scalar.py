@@ -17,18 +17,18 @@ def col(c: Column | str) -> Column:
 # routes
 
 
+#: How frameworks write a parameter: in a template string, after a colon, in braces or in angle brackets.
+PLACEHOLDER = r"\$?\{[^}]+\}|<[^>]+>|:[A-Za-z_]\w*"
+
+
 def canonicalize_path(path: Column | str) -> Column:
     """A URL path with each parameter placeholder as `{}`, without query, fragment, leading placeholder segment and
     trailing slash. Null and empty give `/`."""
-    p = F.regexp_replace(col(path), r"(?s)[?#].*$", "")
-    p = F.regexp_replace(p, r"\$\{[^}]+\}", "{}")
-    p = F.regexp_replace(p, r":[a-zA-Z_]\w*", "{}")
-    p = F.regexp_replace(p, r"\{[^}]+\}", "{}")
-    p = F.regexp_replace(p, r"<[^>]+>", "{}")
-    # each step uses the one before once, so the expression stays small when it is nested
-    p = F.regexp_replace(p, r"^/\{\}/?", "/")
-    p = F.regexp_replace(p, r"(?<=.)/+$", "")
-    return F.when(F.coalesce(col(path), F.lit("")) == "", "/").otherwise(p)
+    bare = F.regexp_replace(F.split(col(path), "[?#]", 2)[0], PLACEHOLDER, "{}")
+    # a first segment that is a placeholder stands for a host or a base path
+    rest = F.when(bare == "/{}", "/").when(bare.startswith("/{}/"), F.substring(bare, 4, 1_000_000)).when(bare.startswith("/{}"), F.concat(F.lit("/"), F.substring(bare, 4, 1_000_000))).otherwise(bare)
+    short = F.rtrim(rest, F.lit("/"))
+    return F.when(F.coalesce(col(path), F.lit("")) == "", "/").when((short == "") & (rest != ""), "/").otherwise(short)
 
 
 def route_key(method: Column | str, path: Column | str) -> Column:
@@ -116,9 +116,8 @@ def extract_tags(title: Column | str, body: Column | str, kind: Column | str) ->
     """Up to 15 sorted tags: the kind, hashtags of title and body, camel-case names of the body's first 500 characters."""
     both = F.concat_ws(" ", col(title), col(body))
     hashes = F.transform(F.regexp_extract_all(both, F.lit(r"#([\p{L}\p{N}_]+)"), 1), F.lower)
-    camel = F.transform(
-        F.regexp_extract_all(F.coalesce(F.substring(col(body), 1, 500), F.lit("")), F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), 1), F.lower
-    )
+    named = F.regexp_extract_all(F.coalesce(F.substring(col(body), 1, 500), F.lit("")), F.lit(r"\b[A-Za-z]+\b"), 0)
+    camel = F.transform(F.filter(named, lambda w: w.rlike(r"^(?:[A-Z][a-z]+){2,}$")), F.lower)
     every = F.array_union(F.array(col(kind)), F.array_union(hashes, camel))
     return F.slice(F.array_sort(F.filter(F.array_distinct(every), lambda x: x.isNotNull())), 1, 15)
 
@@ -165,7 +164,7 @@ def extract_title(text: Column | str) -> Column:
     """The first level-one heading of the first 30 lines, its links unwrapped; null where there is none."""
     head = F.filter(F.slice(F.split(col(text), r"\r?\n"), 1, 30), lambda x: x.startswith("# "))
     title = F.trim(F.substring(F.get(head, 0), 3, 100_000))
-    title = F.regexp_replace(title, r"\[\[(?:[^\]|]*\|)?([^\]|]+)\]\]", "$1")
+    title = F.regexp_replace(title, r"\[\[([^\]|]*\|)?(?<label>[^\]|]+)\]\]", "${label}")
     return F.regexp_replace(title, r"\[([^\]]*)\]\([^)]*\)", "$1")
 
 

@@ -127,11 +127,17 @@ def symbol_map(components: DataFrame) -> DataFrame:
     return rows.select("name", clean_path("relative_path").alias("f")).distinct().groupBy("name").agg(F.array_sort(F.collect_set("f")).alias("files"))
 
 
+def symbol_files(components: DataFrame) -> DataFrame:
+    """Class-like names and the first of their files: (name, file); no list of files is held."""
+    rows = components.where(F.lower(F.trim("component_type")).isin("class", "interface", "struct", "enum", "record") & F.col("name").isNotNull())
+    return rows.groupBy("name").agg(F.min(clean_path("relative_path")).alias("file"))
+
+
 def symbol_links(pages: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols in code spans of pages and the first file of each: (doc_key, symbol, file)."""
+    """Symbols in code spans of pages and the file of each, from `symbol_files`: (doc_key, symbol, file)."""
     spans = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"`([A-Za-z_][\w.]*)(?:\(\))?`"), 1))
     rows = pages.select("doc_key", F.explode(spans).alias("name"))
-    return salted_join(rows, symbols.select("name", F.get("files", 0).alias("file")), ["name"], "inner").select("doc_key", F.col("name").alias("symbol"), "file")
+    return salted_join(rows, symbols.select("name", "file"), ["name"], "inner").select("doc_key", F.col("name").alias("symbol"), "file")
 
 
 def rewrite_symbol_links(pages: DataFrame, symbols: dict[str, str]) -> DataFrame:
@@ -165,12 +171,15 @@ def mentioned_modules(notes: DataFrame, modules: DataFrame, most: int = 5) -> Da
     m = m.select("module", "preorder", words(F.col("module")).alias("w")).withColumn("n", F.size("w"))
     # substrings of a word count too, as in plain text search: all pieces of a note that are some name's word
     rare = m.select("module", "preorder", "n", F.explode(F.array_distinct("w")).alias("word"))
-    vocabulary = rare.select("word").distinct()
+    vocabulary = rare.select("word", F.length("word").alias("size")).distinct()
+    sizes = vocabulary.select("size").distinct()
     text = notes.select("doc_key", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
     tok = text.select("doc_key", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), 0))).alias("tok"))
-    seen = tok.select("tok").distinct()
-    pieces = seen.select("tok", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length("tok"), F.lit(64))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.length("tok"), F.lit(64)) - i + 1), lambda n: F.substring(F.col("tok"), i, n))))).alias("word")).distinct().join(vocabulary, "word", "left_semi")
+    # all pieces of a word that are as long as some name's word: one piece a place and length
+    seen = tok.select("tok").distinct().join(sizes, F.col("size") <= F.length("tok"))
+    places = F.sequence(F.lit(1), F.length("tok") - F.col("size") + 1)
+    pieces = seen.select("tok", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("tok"), i, F.col("size"))))).alias("word"))
+    pieces = pieces.join(vocabulary.select("word"), "word", "left_semi")
     hits = tok.join(pieces, "tok").select("doc_key", "word").distinct().join(rare, "word")
     counted = hits.groupBy("doc_key", "module", "preorder", "n").agg(F.count(F.lit(1)).alias("found"))
     whole = counted.where("found = n and n = 1 or n > 1 and found >= floor(n / 2)")
@@ -186,24 +195,26 @@ def module_components(modules: DataFrame, stems: DataFrame) -> DataFrame:
     return hit.join(modules.select("module", "component_id").where("component_id is not null").distinct(), "module").select("stem", "module", "component_id")
 
 
-#: What routes a component to a class, in the order in which the classes are tried.
+#: What routes a component to a class.
 ROUTING = {
     "boilerplate": {
-        "suffixes": "DTO VO Request Response Entity PO DO Model Schema Form Serializer Mapper Repository Dao DAO DataClass",
-        "paths": "model models dto vo entity entities schema pojo",
-        "annotations": "@Data @Getter @Setter @Entity @Table @Document",
-    },
-    "infra": {
-        "suffixes": "Util Utils Helper Factory Builder Interceptor Filter Middleware Adapter Wrapper Proxy Client Config Configuration Properties",
-        "paths": "util utils config infrastructure common shared",
-        "annotations": "@Configuration @ConfigurationProperties @Bean",
+        "suffixes": ("DTO", "VO", "Request", "Response", "Entity", "PO", "DO", "Model", "Schema", "Form", "Serializer", "Mapper", "Repository", "Dao", "DAO", "DataClass"),
+        "annotations": ("@Data", "@Getter", "@Setter", "@Entity", "@Table", "@Document"),
+        "path_keywords": ("model", "models", "dto", "vo", "entity", "entities", "schema", "pojo"),
     },
     "business": {
-        "suffixes": "Service Controller Job Consumer Handler Manager Processor Executor UseCase Interactor Provider Resolver Facade Orchestrator",
-        "paths": "service services controller handler job consumer",
-        "annotations": "@Service @RestController @Controller @Component @Scheduled",
+        "suffixes": ("Service", "Controller", "Job", "Consumer", "Handler", "Manager", "Processor", "Executor", "UseCase", "Interactor", "Provider", "Resolver", "Facade", "Orchestrator"),
+        "annotations": ("@Service", "@RestController", "@Controller", "@Component", "@Scheduled"),
+        "path_keywords": ("service", "services", "controller", "handler", "job", "consumer"),
+    },
+    "infra": {
+        "suffixes": ("Util", "Utils", "Helper", "Factory", "Builder", "Interceptor", "Filter", "Middleware", "Adapter", "Wrapper", "Proxy", "Client", "Config", "Configuration", "Properties"),
+        "annotations": ("@Configuration", "@ConfigurationProperties", "@Bean"),
+        "path_keywords": ("util", "utils", "config", "infrastructure", "common", "shared"),
     },
 }
+#: The order in which the classes are tried.
+ROUTING_ORDER = ("boilerplate", "infra", "business")
 
 
 def routing_class(name: Column | str, path: Column | str, source: Column | str, rules: dict | None = None) -> Column:
@@ -211,10 +222,11 @@ def routing_class(name: Column | str, path: Column | str, source: Column | str,
     low, p = F.lower(col(name)), F.concat(F.lit("/"), F.lower(clean_path(path)), F.lit("/"))
     head = F.coalesce(F.substring(col(source), 1, 2000), F.lit(""))
     out = F.lit("business")
-    for kind, r in reversed(list((rules or ROUTING).items())):
-        ends = "|".join(sorted({x.lower() for x in r["suffixes"].split()}))
-        where = "|".join(r["paths"].split())
-        marks = "|".join(r["annotations"].split())
+    for kind in reversed(ROUTING_ORDER):
+        r = (rules or ROUTING)[kind]
+        ends = "|".join(sorted({x.lower() for x in r["suffixes"]}))
+        where = "|".join(r["path_keywords"])
+        marks = "|".join(r["annotations"])
         hit = low.rlike(rf"(?:{ends})$") | p.rlike(rf"/(?:{where})/") | head.rlike(marks)
         out = F.when(F.coalesce(hit, F.lit(False)), kind).otherwise(out)
     return out

@@ -9,10 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from loomline.plans import crossservice, graphs, lookups, problems, retrieval, upkeep
+from loomline.plans import crossservice, graphs, lookups, problems, retrieval, samples, upkeep
 
-QUERIES = {**lookups.QUERIES, **upkeep.QUERIES, **graphs.QUERIES, **crossservice.QUERIES, **retrieval.QUERIES, **problems.QUERIES}
-SQL = {**lookups.SQL, **upkeep.SQL, **graphs.SQL, **crossservice.SQL, **retrieval.SQL, **problems.SQL}
+QUERIES = {**lookups.QUERIES, **upkeep.QUERIES, **graphs.QUERIES, **crossservice.QUERIES, **retrieval.QUERIES, **problems.QUERIES, **samples.QUERIES}
+SQL = {**lookups.SQL, **upkeep.SQL, **graphs.SQL, **crossservice.SQL, **retrieval.SQL, **problems.SQL, **samples.SQL}
 
 _shipped: set[str] = set()
 

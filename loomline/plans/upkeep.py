@@ -220,21 +220,24 @@ def symbol_map(spark: SparkSession, d: str) -> DataFrame:
 def symbol_links(spark: SparkSession, d: str) -> DataFrame:
     """Class names in code spans of pages."""
     pages = files.pages_of_documents(_documents(spark, d))
-    names = _components(spark, d).select(F.substring_index("name", ".", -1).alias("name"), F.array(F.lit("f")).alias("files")).dropDuplicates(["name"])
-    return resolve.symbol_links(pages, names).select("doc_key", "symbol")
+    c = _components(spark, d).withColumn("name", F.substring_index("name", ".", -1)).withColumn("component_type", F.lit("class"))
+    return resolve.symbol_links(pages, resolve.symbol_files(c))
 
 
 def module_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Repositories that notes mention, at most five each."""
+    """Repositories that pages mention, the first five of each."""
     pages = files.pages_of_documents(_documents(spark, d))
-    m = _components(spark, d).select(F.col("repo_name").alias("module")).distinct().withColumn("preorder", F.xxhash64("module"))
-    return resolve.mentioned_modules(pages, m).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    m = _components(spark, d).select(F.col("repo_name").alias("module")).distinct().withColumn("preorder", F.lit(0))
+    return resolve.mentioned_modules(pages, m).select("doc_key", "module")
 
 
 def routing_classes(spark: SparkSession, d: str) -> DataFrame:
-    """components by routing class."""
-    c = _components(spark, d).dropDuplicates(["id"])
-    return c.groupBy(resolve.routing_class("name", "relative_path", "source_code").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    """components by routing class, and parts whose names, types and sizes play names with the suffixes and annotations."""
+    c = _components(spark, d).dropDuplicates(["id"]).select("name", "relative_path", "source_code")
+    size, first = F.col("p_size"), lambda x: F.lower(F.substring_index(x, " ", 1))
+    ends = F.when(size % 4 == 0, "Dto").when(size % 4 == 1, "Client").when(size % 4 == 2, "Service").otherwise("")
+    parts = table(spark, d, "part").select(F.concat(first("p_name"), ends).alias("name"), F.concat(F.lit("src/"), first("p_type"), F.lit("/")).alias("relative_path"), F.when(size % 5 == 0, "@Bean").alias("source_code"))
+    return c.unionByName(parts).groupBy(resolve.routing_class("name", "relative_path", "source_code").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def component_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -531,10 +534,13 @@ SQL = {
     "tree_totals": f"WITH {_MODS} SELECT count(DISTINCT module) AS n_modules, count(component_id) AS n_components FROM mods",
     "complex_modules": f"WITH {_MODS}, cf AS (SELECT DISTINCT id, {_P} AS p FROM components) SELECT module, count(DISTINCT p) AS n_files FROM mods JOIN cf ON cf.id = component_id GROUP BY module HAVING count(DISTINCT p) > 1",
     "symbol_map": f"SELECT name, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT DISTINCT name, {_P} AS f FROM components WHERE lower(trim(component_type)) IN ('class', 'interface', 'struct', 'enum', 'record')) GROUP BY name",
-    "symbol_links": f"""WITH {q.PAGES} SELECT DISTINCT doc_key, s AS symbol FROM (SELECT doc_key, unnest(regexp_extract_all(text, '`([A-Za-z_][\\w.]*)(?:\\(\\))?`', 1)) AS s FROM pages)
-        WHERE s IN (SELECT split_part(name, '.', -1) FROM components)""",
-    "routing_classes": f"""WITH c AS (SELECT DISTINCT id, lower(name) AS n, '/' || lower({_P}) || '/' AS p, left(coalesce(source_code, ''), 2000) AS h FROM components)
-        SELECT CASE {' '.join(f"WHEN regexp_matches(n, '(?:{'|'.join(sorted({x.lower() for x in r['suffixes'].split()}))})$') OR regexp_matches(p, '/(?:{'|'.join(r['paths'].split())})/') OR regexp_matches(h, '{'|'.join(r['annotations'].split())}') THEN '{k}'" for k, r in resolve.ROUTING.items())}
+    "symbol_links": f"""WITH {q.PAGES}, n AS (SELECT split_part(name, '.', -1) AS symbol, min({_P}) AS file FROM components GROUP BY 1)
+        SELECT DISTINCT doc_key, symbol, file FROM (SELECT doc_key, unnest(regexp_extract_all(text, '`([A-Za-z_][\\w.]*)(?:\\(\\))?`', 1)) AS symbol FROM pages) JOIN n USING (symbol)""",
+    "routing_classes": f"""WITH c AS (SELECT DISTINCT id, lower(name) AS n, '/' || lower({_P}) || '/' AS p, left(coalesce(source_code, ''), 2000) AS h FROM components UNION ALL SELECT p_name, lower(split_part(p_name, ' ', 1)) || CASE p_size % 4 WHEN 0 THEN 'dto' WHEN 1 THEN 'client' WHEN 2 THEN 'service' ELSE '' END, '/src/' || lower(split_part(p_type, ' ', 1)) || '/', CASE WHEN p_size % 5 = 0 THEN '@Bean' ELSE '' END FROM part)
+        SELECT CASE WHEN regexp_matches(n, '(dto|vo|request|response|entity|po|do|model|schema|form|serializer|mapper|repository|dao|dataclass)$') OR regexp_matches(p, '/(model|models|dto|vo|entity|entities|schema|pojo)/')
+            OR regexp_matches(h, '@Data|@Getter|@Setter|@Entity|@Table|@Document') THEN 'boilerplate'
+          WHEN regexp_matches(n, '(util|utils|helper|factory|builder|interceptor|filter|middleware|adapter|wrapper|proxy|client|config|configuration|properties)$') OR regexp_matches(p, '/(util|utils|config|infrastructure|common|shared)/')
+            OR regexp_matches(h, '@Configuration|@ConfigurationProperties|@Bean') THEN 'infra'
           ELSE 'business' END AS class, count(*) AS n FROM c GROUP BY 1""",
     "leaf_listing": f"""WITH c AS (SELECT id, any_value({_P}) AS file, any_value(source_code) AS s, any_value(lower(trim(component_type))) AS t FROM components GROUP BY id),
         {q.EDGES.strip()}, k AS (SELECT * FROM c WHERE t IN ('class', 'interface', 'struct') AND NOT regexp_matches(lower(id), 'error|exception|failed|invalid')),
@@ -549,7 +555,9 @@ SQL = {
         SELECT doc_key, NOT regexp_matches(fm, '(?m)^type:\\s*\\S') AS changed, md5(CASE WHEN regexp_matches(fm, '(?m)^type:\\s*\\S') THEN text
           WHEN fm = '' THEN '---' || chr(10) || 'type: ' || kind || chr(10) || 'status: stable' || chr(10) || 'stale_after: 2025-08-30' || chr(10) || '---' || chr(10) || text
           ELSE '---' || chr(10) || 'type: ' || kind || chr(10) || regexp_replace(text, '\\A\\x{{FEFF}}?---\\r?\\n', '') END) AS text_md5 FROM k""",
-    "module_mentions": None,
+    "module_mentions": f"""WITH {q.PAGES}, m AS (SELECT DISTINCT repo_name AS module FROM components), w AS (SELECT module, unnest(list_distinct(string_split(lower(module), '-'))) AS word, len(list_distinct(string_split(lower(module), '-'))) AS n FROM m),
+        hit AS (SELECT doc_key, module, any_value(n) AS n, count(*) AS found FROM pages JOIN w ON contains(lower(text), word) GROUP BY ALL)
+        SELECT doc_key, module FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY module) AS k FROM hit WHERE (n = 1 AND found = 1) OR (n > 1 AND found >= n // 2)) WHERE k <= 5""",
     "content_hashes": "SELECT id, left(sha256(source_code), 16) AS h FROM (SELECT DISTINCT id, source_code FROM components WHERE source_code IS NOT NULL)",
     "file_hashes": "SELECT DISTINCT relative_path, sha256(file_text) AS h FROM source_files WHERE file_text IS NOT NULL",
     "duplicate_sources": "SELECT sha256(text) AS content_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",

@@ -6,7 +6,6 @@ expressions on the file listing.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -20,10 +19,11 @@ from loomline.operators.changes import without_nested
 
 #: Folders that are no services, and folders whose children are.
 NO_SERVICES = (
-    "node_modules .venv venv __pycache__ .git .idea .vscode dist build target .tox .mypy_cache .pytest_cache coverage .next .nuxt vendor test tests testing e2e "
-    "docs doc scripts migrations fixtures mocks __mocks__"
-).split()
-CONVENTIONS = "services apps microservices modules packages".split()
+    "node_modules", ".venv", "venv", "__pycache__", ".git", ".idea", ".vscode", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache",
+    "coverage", ".next", ".nuxt", "vendor", "test", "tests", "testing", "e2e", "docs", "doc", "scripts", "migrations", "fixtures", "mocks",
+    "__mocks__",
+)
+CONVENTIONS = ("services", "apps", "microservices", "modules", "packages")
 MANIFESTS = ("go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "package.json", "pyproject.toml", "setup.py", "Cargo.toml", "composer.json")
 DEPTH = 3
 
@@ -127,8 +127,3 @@ def detect_services(files: DataFrame) -> DataFrame:
     out = "|".join(re.escape(x) for x in NO_SERVICES)
     kept = best.where((F.col("f") != "") & ~F.col("f").rlike(rf"(?:^|/)(?:{out})(?:/|$)") & (F.size(F.split("f", "/")) <= DEPTH))
     return without_nested(kept.select(F.regexp_extract("f", r"([^/]*)$", 1).alias("name"), F.col("f").alias("relative_path"), "source"))
-
-
-def language_summary(rows: DataFrame) -> str:
-    """A small result as compact JSON."""
-    return json.dumps([r.asDict() for r in rows.limit(1000).collect()], separators=(",", ":"), ensure_ascii=False)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from loomline.sources.tokens import MARK, Tokens, arguments, comment_above, tokenize
+from loomline.sources.tokens import MARK, Tokens, angle, arguments, comment_above, tokenize
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,8 @@ MODIFIERS = _set(
     "public", "private", "protected", "internal", "static", "final", "abstract", "sealed", "open", "override", "virtual", "async", "export", "default", "declare", "readonly", "partial", "inline",
     "suspend", "data", "inner", "companion", "const", "unsafe", "synchronized", "native", "extern", "non", "annotation", "value", "typedef", "template", "constexpr", "explicit", "friend", "get", "set", "strictfp", "transient", "volatile", "required", "new", "operator", "infix", "tailrec", "lateinit",
 )
+BEFORE_NAMES = _set("private", "public", "protected", "readonly", "val", "var", "vararg", "noinline", "crossinline", "override", "this")
+BEFORE_TYPES = _set("final", "const", "ref", "out", "in", "params", "this", "struct", "unsigned", "signed", "volatile", "register")
 HERITAGE = _set("extends", "implements", "permits", "with")
 
 
@@ -97,25 +99,10 @@ def _angle_back(t: Tokens, at: int) -> int | None:
     return None
 
 
-def _angle(t: Tokens, at: int) -> int:
-    """The token after a balanced `<...>` that begins at `at`; `at` itself where there is none."""
-    if t.get(at) != "<":
-        return at
-    depth = 0
-    for k in range(at, len(t)):
-        w = t.word[k]
-        depth += (w == "<") - (w == ">")
-        if depth == 0:
-            return k + 1
-        if w in "{};" and t.kind[k] == MARK:
-            return at
-    return at
-
-
 def _names(t: Tokens, open_: int, language: Language) -> tuple[list[str], tuple[tuple[str, str], ...]]:
     """The parameters' names, and the types of those that give a plain one."""
     names, types = [], []
-    for a, b in arguments(t, open_):
+    for a, b in arguments(t, open_, True):
         words, k = [], a
         while k < b:
             w = t.word[k]
@@ -124,10 +111,10 @@ def _names(t: Tokens, open_: int, language: Language) -> tuple[list[str], tuple[
             if w == "@" or (w == "#" and t.get(k + 1) == "["):
                 k = t.partner.get(k + 2, k + 1) if t.get(k + 2) == "(" else k + 1
             elif w == "<":
-                k = max(k, _angle(t, k) - 1)
+                k = max(k, angle(t, k) - 1)
             elif w in ("(", "[", "{") and k in t.partner:
                 k = t.partner[k]
-            elif t.is_word(k) and w not in ("private", "public", "protected", "readonly", "final", "const", "val", "var", "vararg", "out", "ref", "params", "in", "noinline", "crossinline", "struct", "unsigned", "this"):
+            elif t.is_word(k) and w not in (BEFORE_NAMES if language.name_first else BEFORE_TYPES):
                 words.append(w)
             k += 1
         if not words or words == ["void"]:
@@ -149,7 +136,7 @@ def _bases(t: Tokens, begin: int, end: int, colon: bool) -> tuple[str, ...]:
         if w in HERITAGE or (colon and w == ":"):
             on = True
         elif w == "<":
-            k = max(k, _angle(t, k) - 1)
+            k = max(k, angle(t, k) - 1)
         elif w == "(" and k in t.partner:
             k = t.partner[k]
         elif w == "where":
@@ -194,7 +181,7 @@ def declarations(t: Tokens, language_name: str) -> list[Declaration]:
         elif t.word[k] == "{" and t.kind[k] == MARK and k in t.partner:
             inside.append((t.partner[k], "block"))
         w = t.word[k]
-        if not t.is_word(k) or t.get(k - 1) in (".", "->", "::", "?."):
+        if not t.is_word(k) or t.get(k - 1) in (".", "->", "?.") or (t.get(k - 1) == "::" and language_name != "cpp"):
             continue
         found = None
         if language_name == "go":
@@ -212,7 +199,7 @@ def declarations(t: Tokens, language_name: str) -> list[Declaration]:
                 found = _type(t, k, head, w, language_name)
         if found is None and language.function and w == language.function:
             found = _function(t, k, language_name, language)
-        elif found is None and t.get(k + 1) == "(" or (found is None and t.get(k + 1) == "<" and t.get(_angle(t, k + 1)) == "("):
+        elif found is None and t.get(k + 1) == "(" or (found is None and t.get(k + 1) == "<" and t.get(angle(t, k + 1)) == "("):
             scope = inside[-1][1] if inside else "file"
             if w not in CONTROL and w not in language.own - {"constructor"} and w not in language.types and (scope == "type" if language.members else scope in ("file", "type")) and (language_name not in ("kotlin", "go", "php")):
                 found = _member(t, k, language_name, language)
@@ -242,7 +229,7 @@ def _embedded(t: Tokens, body: int) -> tuple[str, ...]:
 
 def _type(t: Tokens, k: int, head: int, word: str, language_name: str) -> Declaration | None:
     first = _begin(t, k)
-    j = _angle(t, head + 1)
+    j = angle(t, head + 1)
     if word == "type":
         while j < len(t) and t.word[j] != ";" and not (t.line(j) > t.line(j - 1) and t.get(j) in ("export", "type", "interface", "class", "const", "function")):
             j = t.partner[j] if t.word[j] in "({[" and j in t.partner else j
@@ -257,7 +244,7 @@ def _type(t: Tokens, k: int, head: int, word: str, language_name: str) -> Declar
         body = None
     if body is None and language_name not in ("kotlin", "java", "csharp"):
         return None
-    end = body if body is not None else j
+    end = body if body is not None else j - 1
     if body is None and t.get(j) == "(" and j in t.partner:
         end = t.partner[j]
     kind = "abstract class" if word == "class" and language_name == "java" and "abstract" in t.word[first:k] else word
@@ -275,16 +262,16 @@ def _function(t: Tokens, k: int, language_name: str, language: Language) -> Decl
         owner, j = (words[1] if len(words) > 1 else words[0] if words else None), t.partner[j] + 1
     else:
         receiver = None
-    j = _angle(t, j)
+    j = angle(t, j)
     while t.get(j) in ("*", "&"):
         j += 1
     if language_name == "kotlin":
-        while t.is_word(j) and (t.get(j + 1) == "." or t.get(_angle(t, j + 1)) == "."):
-            j = _angle(t, j + 1) + 1
+        while t.is_word(j) and (t.get(j + 1) == "." or t.get(angle(t, j + 1)) == "."):
+            j = angle(t, j + 1) + 1
     if not t.is_word(j):
         return None
     head = j
-    j = t.partner.get(j + 1, j) + 1 if language_name == "go" and t.get(j + 1) == "[" else _angle(t, j + 1)
+    j = t.partner.get(j + 1, j) + 1 if language_name == "go" and t.get(j + 1) == "[" else angle(t, j + 1)
     if t.get(j) != "(" or j not in t.partner:
         return None
     names, types = _names(t, j, language)
@@ -316,7 +303,7 @@ def _go_body(t: Tokens, k: int) -> int | None:
 
 def _member(t: Tokens, k: int, language_name: str, language: Language) -> Declaration | None:
     """A function declared by its name, parameters and body, with what its language puts before and after them."""
-    open_ = _angle(t, k + 1)
+    open_ = angle(t, k + 1)
     if open_ not in t.partner:
         return None
     after = t.partner[open_] + 1
@@ -325,8 +312,8 @@ def _member(t: Tokens, k: int, language_name: str, language: Language) -> Declar
     if language_name == "cpp":
         if before == "~":
             name, k = f"~{name}", k - 1
-        if t.get(k - 1) == "::" and t.is_word(k - 2):
-            owner, k = t.word[k - 2], k - 2
+        while t.get(k - 1) == "::" and t.is_word(k - 2):
+            owner, k = f"{t.word[k - 2]}.{owner}" if owner else t.word[k - 2], k - 2
         before = t.get(k - 1)
     if language_name in ("javascript", "typescript"):
         body = _body_after(t, after, ";" if t.get(after) in (":", "{") else ";,")
@@ -336,8 +323,8 @@ def _member(t: Tokens, k: int, language_name: str, language: Language) -> Declar
             return None
         first = _begin(t, k - 1 if before in ("#", "*") else k)
     else:
-        typed = t.is_word(k - 1) and before not in CONTROL or before in (">", "]", "*", "&", "?")
-        made = language_name in ("java", "csharp", "cpp") and (before in "{};" or before in MODIFIERS or before in (")", ":", "]", "~"))
+        typed = t.is_word(k - 1) and (before == "void" or before not in CONTROL) and before != "new" or before in (">", "]", "*", "&", "?")
+        made = language_name in ("java", "csharp", "cpp") and (before in "{};" or (before in MODIFIERS and before != "new") or before in (")", ":", "]", "~"))
         if not (typed or made):
             return None
         body = _body_after(t, after, ";")
@@ -379,7 +366,7 @@ def _assigned(t: Tokens, k: int, language: Language) -> Declaration | None:
     if not arrow:
         j += 1 + (t.get(j + 1) == "*")
         j += t.is_word(j)
-    j = _angle(t, j)
+    j = angle(t, j)
     if t.is_word(j) and t.get(j + 1) == "=>":
         names, types, after = [t.word[j]], (), j + 1
     elif t.get(j) == "(" and j in t.partner:
@@ -466,7 +453,8 @@ def read(path: str, text: str, repo: str, language_name: str) -> tuple[list[tupl
         if function and any(k in ("function", "method") for _, _, k in open_):
             continue
         above = ".".join(n for _, n, k in open_ if k not in ("function", "method")) or d.owner
-        kind = "method" if function and above else d.kind
+        spaced = bool(open_) and open_[-1][2] == "namespace" and not d.owner
+        kind = "method" if function and above and not spaced else d.kind
         full = f"{above}.{d.name}" if above else d.name
         cid = f"{path}::{full}"
         components.append((
@@ -477,8 +465,10 @@ def read(path: str, text: str, repo: str, language_name: str) -> tuple[list[tupl
         open_.append((d.last, d.name, kind))
         if function:
             bodies.append((d, cid, above))
+            if d.name in ("constructor", "__construct") and above:
+                fields.setdefault(above, {}).update(d.types)
         elif d.body is not None:
-            fields[full] = _receivers(t, d.body, d.last, language)
+            fields.setdefault(full, {}).update(_receivers(t, d.body, d.last, language))
     for d, cid, above in bodies:
         known = {**fields.get(above, {}), **dict(d.types), **(_receivers(t, d.body, d.last, language) if d.body is not None else {})}
         own = {x for x, y in d.types if y == d.owner} if d.owner else set()

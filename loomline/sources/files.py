@@ -18,11 +18,13 @@ from loomline.functions.scalar import extract_title, front_matter, front_matter_
 MAX_BYTES = 2 * 1024 * 1024
 #: Names and patterns left out by default.
 EXCLUDES = (
-    ".git .github .vscode .idea .gitignore .gitmodules examples *.pyc *.pyo *.pyd __pycache__ .pytest_cache .coverage .tox .nox .mypy_cache .ruff_cache "
-    ".hypothesis poetry.lock Pipfile.lock node_modules package-lock.json yarn.lock .npm .yarn .pnpm-store bower_components *.class *.jar *.war *.o *.obj *.so "
-    "*.dylib *.dll *.exe *.lib *.a target dist build out venv .venv env .env *.egg-info *.egg *.whl *.min.js *.min.css *.map *.log *.bak *.swp *.tmp .DS_Store "
-    "*.svg *.png *.jpg *.jpeg *.gif *.ico *.pdf *.mov *.mp4 *.mp3 *.wav vendor bin obj *.sqlite *.db coverage"
-).split()
+    ".git", ".github", ".vscode", ".idea", ".gitignore", ".gitmodules", "examples", "*.pyc", "*.pyo", "*.pyd", "__pycache__", ".pytest_cache",
+    ".coverage", ".tox", ".nox", ".mypy_cache", ".ruff_cache", ".hypothesis", "poetry.lock", "Pipfile.lock", "node_modules", "package-lock.json",
+    "yarn.lock", ".npm", ".yarn", ".pnpm-store", "bower_components", "*.class", "*.jar", "*.war", "*.o", "*.obj", "*.so", "*.dylib", "*.dll", "*.exe",
+    "*.lib", "*.a", "target", "dist", "build", "out", "venv", ".venv", "env", ".env", "*.egg-info", "*.egg", "*.whl", "*.min.js", "*.min.css",
+    "*.map", "*.log", "*.bak", "*.swp", "*.tmp", ".DS_Store", "*.svg", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.pdf", "*.mov", "*.mp4",
+    "*.mp3", "*.wav", "vendor", "bin", "obj", "*.sqlite", "*.db", "coverage",
+)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int = MAX_BYTES) -> DataFrame:

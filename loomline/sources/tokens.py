@@ -13,7 +13,7 @@ _TRIPLE = r'"""(?:\\.|[^\\"]|"(?!""))*+(?:"""|\Z)|' + r"'''(?:\\.|[^\\']|'(?!'')
 _QUOTED = r'"(?:\\.|[^"\\\n])*+"?|' + r"'(?:\\.|[^'\\\n])*+'?"
 _BACKTICK = r"`(?:\\.|[^`\\])*+(?:`|\Z)"
 #: In scripts a slash that follows one of these opens a regular expression.
-_BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => return typeof case in of".split())
+_BEFORE_REGEX = frozenset(("(", ",", "=", ":", "[", "!", "&", "|", "?", "{", "}", ";", "+", "-", "*", "%", "<", ">", "~", "^", "=>", "return", "typeof", "case", "in", "of"))
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*")
 
 
@@ -114,8 +114,23 @@ def tokenize(text: str, language: str) -> Tokens:
     return out
 
 
-def arguments(t: Tokens, open_: int) -> list[tuple[int, int]]:
-    """The ranges of tokens between the commas of a bracketed list, nested brackets passed over."""
+def angle(t: Tokens, at: int) -> int:
+    """The token after a balanced `<...>` of types that begins at `at`; `at` itself where there is none."""
+    if t.get(at) != "<":
+        return at
+    depth = 0
+    for k in range(at, len(t)):
+        w = t.word[k]
+        depth += (w == "<") - (w == ">")
+        if depth == 0:
+            return k + 1
+        if w in "{};" and t.kind[k] == MARK:
+            return at
+    return at
+
+
+def arguments(t: Tokens, open_: int, types: bool = False) -> list[tuple[int, int]]:
+    """The ranges of tokens between the commas of a bracketed list, nested brackets (and with `types` angles) passed over."""
     close = t.partner.get(open_)
     if close is None or close == open_ + 1:
         return []
@@ -123,6 +138,8 @@ def arguments(t: Tokens, open_: int) -> list[tuple[int, int]]:
     while i < close:
         if t.word[i] in _OPEN and t.kind[i] == MARK and i in t.partner:
             i = t.partner[i]
+        elif types and t.word[i] == "<" and i < (after := angle(t, i)) <= close:
+            i = after - 1
         elif t.word[i] == "," and t.kind[i] == MARK:
             out.append((begin, i))
             begin = i + 1
