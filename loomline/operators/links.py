@@ -11,19 +11,27 @@ from loomline.operators.skew import salted_join
 from loomline.session import ensure_checkpoint_dir
 
 
-def page_names(pages: DataFrame) -> DataFrame:
-    """All names a page is found by: (name, rank, doc_key). Stems come before titles, titles before slugs; of several
-    pages with one name of a rank the last key counts."""
+def names_of_page() -> Column:
+    """All names a page is found by as structs (name, rank): stems come before titles, titles before slugs."""
     stem = F.lower(F.regexp_replace(F.regexp_extract("doc_key", r"([^/]*)$", 1), r"\.[^.]*$", ""))
     title = F.lower(F.coalesce(extract_title("text"), F.col("title")))
-    names = F.array(
+    return F.array(
         F.struct(stem.alias("name"), F.lit(0).alias("rank")), F.struct(title.alias("name"), F.lit(1).alias("rank")),
         F.struct(slugify(title).alias("name"), F.lit(2).alias("rank")),
     )
-    rows = pages.select("doc_key", F.explode(names).alias("n")).where(F.col("n.name").isNotNull() & (F.col("n.name") != ""))
+
+
+def first_of_names(named: DataFrame) -> DataFrame:
+    """(name, rank, doc_key) from pages (doc_key, names); of several pages with one name of a rank the last key counts."""
+    rows = named.select("doc_key", F.explode("names").alias("n")).where(F.col("n.name").isNotNull() & (F.col("n.name") != ""))
     return rows.groupBy(F.col("n.name").alias("name"), F.col("n.rank").alias("rank")).agg(F.max("doc_key").alias("doc_key"))
 
 
+def page_names(pages: DataFrame) -> DataFrame:
+    """All names pages are found by: (name, rank, doc_key)."""
+    return first_of_names(pages.select("doc_key", names_of_page().alias("names")))
+
+
 def resolve_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
     """(target, doc_key) of each wanted name that a page has, by stem, title or slug in this order."""
     asked = wanted.select("target").distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomline.functions.ids import clean_path, is_blank
 from loomline.functions.scalar import clean_language, col
@@ -107,20 +106,29 @@ def note_clusters(notes: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("module", "note_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def unsupported_claims(pages: DataFrame, share: float = 0.3, key: str = "doc_key", text: str = "text") -> DataFrame:
-    """Pages whose claims lack evidence: (doc_key, claims, unsupported, ratio) with a ratio above `share`.
+def claims(text: Column | str) -> Column:
+    """How many claims a text makes and how many of them lack evidence: a struct (claims, unsupported).
 
     A claim is a line with `(confidence: x)`; it is supported if it or one of the next two lines has a source
-    reference, and never if it says `[candidate]`.
+    reference, and never if it says `[candidate]`. Lines are judged one by one, then folded from the last to the first.
     """
-    lines = pages.select(F.col(key).alias("doc_key"), F.posexplode(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n")).alias("no", "line"))
-    w = Window.partitionBy("doc_key").orderBy("no")
-    evidence = lambda c: F.coalesce(c.rlike(r"\[\^src:|\]\([^)]*\)|(?i)evidence:"), F.lit(False))
-    seen = lines.select("doc_key", "line", F.lead("line", 1).over(w).alias("l1"), F.lead("line", 2).over(w).alias("l2"))
-    claim = seen.where(F.col("line").rlike(r"\(confidence:\s*[^)]+\)"))
-    bad = F.col("line").contains("[candidate]") | ~(evidence(F.col("line")) | evidence(F.col("l1")) | evidence(F.col("l2")))
-    n = claim.groupBy("doc_key").agg(F.count(F.lit(1)).alias("claims"), F.count_if(bad).alias("unsupported"))
-    return n.withColumn("ratio", F.col("unsupported") / F.col("claims")).where(F.col("ratio") > share)
+    judged = F.transform(
+        F.split(F.coalesce(col(text), F.lit("")), r"\r?\n"),
+        lambda x: F.struct(x.rlike(r"\(confidence:\s*[^)]+\)").alias("claim"), x.contains("[candidate]").alias("never"), x.rlike(r"\[\^src:|\]\([^)]*\)|(?i)evidence:").alias("here")),
+    )
+    zero = F.struct(F.lit(0).alias("claims"), F.lit(0).alias("unsupported"), F.lit(False).alias("e1"), F.lit(False).alias("e2"))
+
+    def step(acc: Column, x: Column) -> Column:
+        bad = x["claim"] & (x["never"] | ~(x["here"] | acc["e1"] | acc["e2"]))
+        return F.struct((acc["claims"] + x["claim"].cast("int")).alias("claims"), (acc["unsupported"] + bad.cast("int")).alias("unsupported"), x["here"].alias("e1"), acc["e1"].alias("e2"))
+
+    return F.aggregate(F.reverse(judged), zero, step, lambda acc: F.struct(acc["claims"], acc["unsupported"]))
+
+
+def unsupported_claims(pages: DataFrame, share: float = 0.3, key: str = "doc_key", text: str = "text") -> DataFrame:
+    """Pages whose claims lack evidence: (doc_key, claims, unsupported, ratio) with a ratio above `share`."""
+    n = pages.select(F.col(key).alias("doc_key"), claims(text).alias("c")).select("doc_key", "c.claims", "c.unsupported")
+    return n.where(F.col("unsupported") > share * F.col("claims")).withColumn("ratio", F.col("unsupported") / F.col("claims"))
 
 
 def isolated_by_file(isolated: DataFrame, components: DataFrame, most: int = 20) -> DataFrame:

