@@ -18,6 +18,8 @@ from loomline.functions.text import indexable_text, snippet, tokens
 from loomline.operators.skew import spread
 
 K1, B = 1.5, 0.75
+#: Query terms that are broadcast; more are joined.
+MOST_TERMS = 10_000
 
 
 def postings(pages: DataFrame, key: str = "doc_key", text: str = "text", boosted: bool = True) -> DataFrame:
@@ -71,8 +73,10 @@ def bm25(posts: DataFrame, lengths: DataFrame, terms: DataFrame, least: float =
     `keep` restricts the pages scored (frequencies still count all). The query's terms are a few rows; postings are
     filtered by them first, so only matching postings are shuffled.
     """
+    # the size of the terms is counted before they are broadcast; synonym tables may make them many
+    sent = F.broadcast if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else (lambda df: df)
     # the semi join moves below the aggregation that makes the postings, an inner join would not
-    hits = posts.join(F.broadcast(terms.select("token")), "token", "left_semi").join(F.broadcast(terms), "token")
+    hits = posts.join(sent(terms.select("token")), "token", "left_semi").join(sent(terms), "token")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(lengths).first()
     n, average = int(stats["total_docs"] or 0), float(stats["avg_doc_len"] or 0.0) or 1.0
@@ -81,7 +85,7 @@ def bm25(posts: DataFrame, lengths: DataFrame, terms: DataFrame, least: float =
     idf = F.greatest(F.lit(0.0), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
     tf = F.col("tf").cast("double")
     gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / average)) * F.col("times")
-    scored = hits.join(F.broadcast(df), "token").join(lengths, "doc_key").groupBy("doc_key").agg(F.sum(gain).alias("score"))
+    scored = hits.join(sent(df), "token").join(lengths, "doc_key").groupBy("doc_key").agg(F.sum(gain).alias("score"))
     return scored.where(F.col("score") >= least)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.ids import clean_path
+from loomline.functions.scalar import clean_language
 from loomline.operators import graph as g
 from loomline.operators import resolve
 from loomline.plans import sqlbits as q
@@ -173,7 +174,7 @@ def calls_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 def calls_resolved(spark: SparkSession, d: str) -> DataFrame:
     """What each distinct call leads to, by unique names in the caller's language, then anywhere."""
     calls = resolve.dedup_calls(table(spark, d, "calls"))
-    return resolve.resolve_calls(calls, _components(spark, d)).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.resolve_calls(calls, _components(spark, d)).select("caller", "callee", "target")
 
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +184,19 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def external_callees(spark: SparkSession, d: str) -> DataFrame:
-    """callees outside the repositories, by kind."""
-    kind = resolve.external_callee("callee", F.lit("python"), ("len", "super"))
-    return table(spark, d, "calls").where("callee is not null").groupBy(F.coalesce(kind, F.lit("component")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """callees outside the repositories, by kind and the caller's language, and some of every language's own."""
+    c = _components(spark, d).select(F.col("id").alias("caller"), clean_language("language").alias("lang")).dropDuplicates(["caller"])
+    calls = table(spark, d, "calls").where("callee is not null").join(c, "caller").select("callee", "lang")
+    calls = calls.unionByName(spark.createDataFrame(CALLEES, "callee string, lang string"))
+    kind = F.coalesce(resolve.external_callee("callee", "lang", ("len", "super")), F.lit("component"))
+    return calls.groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Callees of each language whose kind is known.
+CALLEES = [
+    ("os.path.join", "python"), ("len", "python"), ("numpy.array", "python"), ("java.util.List.of", "java"), ("javax.x.Y", "java"), ("com.a.B", "java"), ("System.Console.Write", "csharp"), ("Foo.Bar", "csharp"),
+    ("fmt.Println", "go"), ("gin.New", "go"), ("console.log", "javascript"), ("lodash.map", "javascript"), ("JSON.parse", "typescript"), ("std::move", "cpp"), ("MAX_OF", "cpp"), ("MAX_OF", "java"), ("ASSERT", "c"), ("a::b", "cpp"),
+]
 
 
 QUERIES = {f.__name__ if f.__name__ not in ("edges",) else "dependency_edges": f for f in (
@@ -225,6 +236,21 @@ def _rank(by: str) -> str:
       ranks AS (SELECT id, s AS score FROM pr WHERE k = (SELECT max(k) FROM pr))"""
 
 
+_LANG = "CASE WHEN language IS NULL OR lower(trim(language)) IN ('', 'none', 'null', 'unknown') THEN 'unknown' ELSE lower(trim(language)) END"
+#: What each distinct call leads to: all its names are tried, the caller's language first; the first that one component has counts.
+_RESOLVED = f"""fn AS (SELECT id, any_value(name) AS name, any_value(qualified_name) AS qn, string_split(any_value(qualified_name), '.') AS parts, any_value({_LANG}) AS lang, any_value(lower(component_type)) AS ct FROM components GROUP BY id),
+  nm AS (SELECT id, lang, unnest([name, split_part(id, '::', -1), parts[-1], CASE WHEN len(parts) >= 2 THEN array_to_string(parts[-2:], '.') END]) AS k FROM fn),
+  keys AS (SELECT id, lang, 'exact' AS ix, unnest([id, qn, name]) AS k FROM fn UNION SELECT id, lang, 'simple', k FROM nm UNION SELECT id, lang, 'simple', split_part(k, '.', -1) FROM nm),
+  held AS (SELECT '*' AS scope, ix, k, min(id) AS target, min(lang) AS target_lang FROM keys WHERE k <> '' GROUP BY ix, k HAVING count(DISTINCT id) = 1
+    UNION ALL SELECT lang, ix, k, min(id), lang FROM keys WHERE k <> '' GROUP BY lang, ix, k HAVING count(DISTINCT id) = 1),
+  asked AS (SELECT c.caller, c.callee, fn.lang, CASE WHEN contains(callee, '::') THEN split_part(callee, '::', -1) END AS after, CASE WHEN contains(callee, '.') THEN callee END AS dotted,
+      CASE WHEN fn.lang IN ('java', 'csharp') AND NOT contains(callee, '.') AND len(parts) >= 2 THEN array_to_string(parts[:len(parts) - CASE WHEN ct = 'method' AND len(parts) >= 3 THEN 2 ELSE 1 END], '.') || '.' || callee END AS inside
+    FROM (SELECT DISTINCT caller, callee FROM calls WHERE caller IS NOT NULL AND callee IS NOT NULL) c LEFT JOIN fn ON fn.id = c.caller),
+  tried AS (SELECT caller, callee, lang, unnest([{{'r': 0, 'ix': 'exact', 'k': callee}}, {{'r': 1, 'ix': 'exact', 'k': after}}, {{'r': 2, 'ix': 'simple', 'k': after}}, {{'r': 3, 'ix': 'simple', 'k': dotted}},
+    {{'r': 4, 'ix': 'simple', 'k': split_part(dotted, '.', -1)}}, {{'r': 5, 'ix': 'exact', 'k': inside}}, {{'r': 6, 'ix': 'simple', 'k': callee}}]) AS t FROM asked),
+  found AS (SELECT caller, callee, lang, arg_min(h.target, t.r + CASE WHEN scope = '*' THEN 7 ELSE 0 END) AS target, arg_min(h.target_lang, t.r + CASE WHEN scope = '*' THEN 7 ELSE 0 END) AS target_lang
+    FROM tried JOIN held h ON h.ix = t.ix AND h.k = t.k AND (scope = '*' OR (scope = lang AND lang <> 'unknown')) GROUP BY caller, callee, lang),
+  resolved AS (SELECT a.caller, a.callee, CASE WHEN NOT (coalesce(f.lang <> 'unknown', false) AND target_lang <> 'unknown' AND target_lang <> f.lang) THEN target END AS target FROM asked a LEFT JOIN found f ON f.caller = a.caller AND f.callee = a.callee)"""
 _KIND = "lower(trim(CASE WHEN regexp_matches(coalesce(component_type, ''), '\\S') THEN component_type ELSE node_type END))"
 SQL = {
     "dependency_edges": f"{_E} SELECT src, dst FROM edges",
@@ -257,9 +283,18 @@ SQL = {
     "doc_candidates": f"""{_E}, c AS (SELECT id, any_value(lower(trim(component_type))) AS t FROM components GROUP BY id),
         k AS (SELECT id FROM c WHERE t IN ('class', 'interface', 'struct') AND NOT regexp_matches(lower(id), 'error|exception|failed|invalid'))
         SELECT id FROM k WHERE (SELECT count(*) FROM k) < greatest(400, floor((SELECT count(*) FROM c) * 0.05)) OR id NOT IN (SELECT dst FROM edges WHERE src <> dst)""",
-    "external_callees": """SELECT CASE WHEN contains(callee, '::') AND NOT starts_with(callee, 'std::') THEN 'component' WHEN callee IN ('len', 'super') THEN 'builtin'
-          WHEN regexp_matches(callee, '^(?:os|sys|re|json|math|time|logging|pathlib|collections|itertools|functools|typing|datetime|subprocess|threading|asyncio|abc|io|copy|random|string|struct|hashlib|shutil)\\.') THEN 'stdlib'
-          ELSE 'unknown' END AS kind, count(*) AS n FROM calls WHERE callee IS NOT NULL GROUP BY 1""",
+    "external_callees": f"""WITH c AS (SELECT DISTINCT id, {_LANG} AS lang FROM components), x AS (SELECT callee, lang FROM calls JOIN c ON c.id = caller WHERE callee IS NOT NULL
+          UNION ALL SELECT * FROM (VALUES {', '.join(map(str, CALLEES))}) v(callee, lang)),
+        std(lang, prefixes) AS (VALUES ('python', ['os', 'sys', 're', 'json', 'math', 'time', 'logging', 'pathlib', 'collections', 'itertools', 'functools', 'typing', 'datetime', 'subprocess', 'threading', 'asyncio', 'abc', 'io', 'copy', 'random', 'string', 'struct', 'hashlib', 'shutil']),
+          ('java', ['java', 'javax', 'jdk', 'sun']), ('csharp', ['System', 'Microsoft']), ('go', ['fmt', 'errors', 'strings', 'strconv', 'os', 'io', 'time', 'sync', 'context', 'net', 'bytes', 'sort', 'log', 'math', 'bufio', 'json', 'http']),
+          ('javascript', ['console', 'Math', 'JSON', 'Promise', 'Object', 'Array', 'String', 'Number', 'Date', 'Reflect', 'Symbol', 'process', 'Buffer', 'window', 'document']),
+          ('typescript', ['console', 'Math', 'JSON', 'Promise', 'Object', 'Array', 'String', 'Number', 'Date', 'Reflect', 'Symbol', 'process', 'Buffer', 'window', 'document']))
+        SELECT x.lang, CASE WHEN contains(callee, '::') AND NOT starts_with(callee, 'std::') THEN 'component' WHEN x.lang IN ('c', 'cpp') AND regexp_full_match(callee, '[A-Z][A-Z0-9_]{{2,}}') THEN 'macro'
+          WHEN callee IN ('len', 'super') THEN 'builtin' WHEN contains(callee, '.') AND list_contains(prefixes, split_part(callee, '.', 1)) OR (x.lang IN ('c', 'cpp') AND starts_with(callee, 'std::')) THEN 'stdlib' ELSE 'unknown' END AS kind, count(*) AS n
+        FROM x LEFT JOIN std ON std.lang = x.lang GROUP BY ALL""",
+    "calls_resolved": f"WITH {_RESOLVED} SELECT caller, callee, target FROM resolved",
+    "call_edges": f"""WITH {_RESOLVED}, named AS (SELECT name, arg_min(id, (ord, id)) AS id FROM components WHERE name IS NOT NULL GROUP BY name)
+        SELECT DISTINCT caller AS src, coalesce(target, named.id) AS dst FROM resolved LEFT JOIN named ON name = callee WHERE coalesce(target, named.id) IS NOT NULL""",
     "impact_paths": f"""{_E}, {_REV}, near AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), r2 AS (
           SELECT id, 0 AS depth, [id] AS path FROM starts UNION ALL
           SELECT id, depth, min(path) FROM (SELECT e.src AS id, r2.depth + 1 AS depth, list_append(r2.path, e.src) AS path FROM r2 JOIN edges e ON e.dst = r2.id JOIN near ON near.id = e.src AND near.depth = r2.depth + 1) GROUP BY id, depth)

@@ -12,15 +12,6 @@ _MD = f"lower(regexp_replace({_BASE}, '\\.md$', ''))"
 _WIKI = "source = 'doc' AND NOT regexp_matches(lower(doc_key), '(^|/)(index|log|overview)\\.md$')"
 
 
-def listed(fm: str, key: str) -> str:
-    """The items of a list of the front matter, inline or as dashed lines."""
-    inline = f"regexp_extract({fm}, '(?m)^{key}:[ \\t]*\\[(.*?)\\][ \\t]*$', 1)"
-    block = f"regexp_extract({fm}, '(?m)^{key}:[ \\t]*\\r?\\n((?:[ \\t]*-[ \\t]+.*(?:\\r?\\n|\\z))+)', 1)"
-    dashed = f"list_transform(string_split_regex({block}, '\\r?\\n'), lambda x: regexp_replace(x, '^[ \\t]*-[ \\t]+', ''))"
-    clean = "lambda x: regexp_replace(regexp_replace(trim(x), '^\"(.*)\"$', '\\1'), '^''(.*)''$', '\\1')"
-    return f"list_filter(list_transform(CASE WHEN {inline} <> '' THEN string_split({inline}, ',') ELSE {dashed} END, {clean}), lambda x: x <> '')"
-
-
 #: Lines of pages with whether they stand in a fenced block or are a fence.
 LINES = f"""
 raw_lines AS (SELECT doc_key, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_key, {q.lines("text")} AS ls FROM pages)),
@@ -53,14 +44,14 @@ issues AS (
   UNION ALL SELECT 'coverage', 'info', NULL, NULL, 'coverage: ' || CAST(round(100.0 * k / n, 2) AS DOUBLE) FROM cover
   UNION ALL SELECT 'orphan_pages', 'warning', doc_key, NULL, 'no page links here' FROM pages WHERE {_WIKI} AND doc_key NOT IN (SELECT doc_key FROM wres UNION SELECT doc_key FROM mkeys WHERE doc_key IS NOT NULL)
   UNION ALL SELECT 'no_outlinks', 'info', doc_key, NULL, 'links to no page' FROM pages WHERE {_WIKI} AND doc_key NOT IN (SELECT source_doc FROM wl UNION SELECT source_doc FROM ml)
-  UNION ALL SELECT * FROM (SELECT 'missing_aliases', 'info', min(doc_key), NULL, 'pages without aliases: ' || count(*) FROM front WHERE {_WIKI} AND len({listed("fm", "aliases")}) = 0 HAVING count(*) > 0)
+  UNION ALL SELECT * FROM (SELECT 'missing_aliases', 'info', min(doc_key), NULL, 'pages without aliases: ' || count(*) FROM front WHERE {_WIKI} AND len({q.listed("fm", "aliases")}) = 0 HAVING count(*) > 0)
   UNION ALL SELECT 'stale_sources', 'warning', doc_key, NULL, 'retracted source: ' || name FROM (SELECT DISTINCT doc_key, unnest(regexp_extract_all(text, '\\[\\^src:([^:\\]]+)(?::[^\\]]*)?\\]', 1)) AS name FROM pages) WHERE name IN (SELECT repo_name FROM components)
   UNION ALL SELECT 'superseded_pages', 'info', doc_key, NULL, 'superseded by ' || superseded_by FROM fields WHERE superseded_by IS NOT NULL
   UNION ALL SELECT 'overview_stale', 'warning', doc_key, NULL, 'overview is stale' FROM documents WHERE doc_key IS NOT NULL GROUP BY doc_key HAVING max(CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 0 END) = 1
   UNION ALL SELECT 'unsupported_claims', 'warning', doc_key, NULL, 'unsupported claims: ' || unsupported || ' of ' || claims FROM claim WHERE unsupported > 0.3 * claims
   UNION ALL SELECT 'stale_notes', 'warning', doc_key, NULL, 'stable, old and not searched for' FROM fields LEFT JOIN hit USING (doc_key) WHERE source = 'note' AND CASE WHEN lower(trim(status)) = 'confirmed' THEN 'stable' ELSE lower(trim(status)) END = 'stable'
     AND try_cast(left(day, 10) AS DATE) + 90 < {TODAY} AND coalesce(last_hit + 60 < {TODAY}, true)
-  UNION ALL SELECT 'note_clusters', 'info', module, NULL, note_type || ' notes: ' || count(DISTINCT doc_key) FROM (SELECT doc_key, coalesce(type, 'note') AS note_type, unnest({listed("fm", "related_modules")}) AS module FROM fields WHERE source = 'note') GROUP BY module, note_type HAVING count(DISTINCT doc_key) >= 3
+  UNION ALL SELECT 'note_clusters', 'info', module, NULL, note_type || ' notes: ' || count(DISTINCT doc_key) FROM (SELECT doc_key, coalesce(type, 'note') AS note_type, unnest({q.listed("fm", "related_modules")}) AS module FROM fields WHERE source = 'note') GROUP BY module, note_type HAVING count(DISTINCT doc_key) >= 3
   UNION ALL SELECT 'conformance', 'error', doc_key, NULL, 'no front matter' FROM fields WHERE fm = ''
   UNION ALL SELECT 'conformance', 'error', doc_key, NULL, 'no type' FROM fields WHERE fm <> '' AND type IS NULL
   UNION ALL SELECT 'conformance', 'warning', doc_key, NULL, 'unknown status: ' || status FROM fields WHERE fm <> '' AND lower(status) NOT IN ('draft', 'stable', 'deprecated')

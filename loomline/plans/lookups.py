@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scalar as S
 from loomline.functions.ids import clean_path, id_path
 from loomline.operators import changes, graph, lifecycle, links, resolve, retrieval, sinks, summaries
+from loomline.plans import samples
 from loomline.plans import sqlbits as q
 from loomline.plans.graphs import _modules
 from loomline.sources import code, configs, files
@@ -41,26 +42,20 @@ def component_metas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def components_of_files(spark: SparkSession, d: str) -> DataFrame:
-    """Components of a list of files, by semi-join."""
-    f = _files(spark, d).where("file_id % 3 = 0").select(F.col("relative_path").alias("p")).distinct()
-    return _components(spark, d).withColumn("p", id_path("id")).join(f, "p", "left_semi").select("id").distinct()
-
-
-def components_of_files_all(spark: SparkSession, d: str) -> DataFrame:
     """Components of all files, by semi-join."""
     f = _files(spark, d).select(F.col("relative_path").alias("p")).distinct()
     return _components(spark, d).withColumn("p", id_path("id")).join(f, "p", "left_semi").select("id").distinct()
 
 
 def routes_of_role(spark: SparkSession, d: str) -> DataFrame:
-    """Routes of one role."""
-    return code.routes(_files(spark, d)).where("role = 'client'").select("route_key", "component_id", "line_number")
+    """Routes of one role, of the sample files."""
+    return code.routes(samples.endpoint_files(spark)).where("role = 'client'").select("route_key", "component_id", "line_number")
 
 
 def header_languages(spark: SparkSession, d: str) -> DataFrame:
     """Headers as C or C++ (Go files play the headers)."""
     f = _files(spark, d).select("repo_name", F.regexp_replace("relative_path", r"\.go$", ".h").alias("relative_path"), "file_text").dropDuplicates(["relative_path"])
-    return code.header_language(f).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return code.header_language(f).select("relative_path", "language")
 
 
 def file_view(spark: SparkSession, d: str) -> DataFrame:
@@ -130,14 +125,8 @@ def source_references(spark: SparkSession, d: str) -> DataFrame:
 
 def overview_references(spark: SparkSession, d: str) -> DataFrame:
     """Modules that overview pages link to; every page plays an overview, linked page names are the modules."""
-    return overview_references_all(spark, d, "module like 'Nested%'")
-
-
-def overview_references_all(spark: SparkSession, d: str, which: str = "true") -> DataFrame:
-    """The same for all modules."""
     p = _pages(spark, d).select(F.concat("doc_key", F.lit("/overview.md")).alias("doc_key"), "text")
-    names = p.select(F.explode(S.wikilinks("text")).alias("module")).distinct().where(which)
-    return links.overview_refs(p, names)
+    return links.overview_refs(p, p.select(F.explode(S.wikilinks("text")).alias("module")).distinct())
 
 
 def result_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -148,12 +137,7 @@ def result_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_update(spark: SparkSession, d: str) -> DataFrame:
-    """K7, K8: frequent terms' document frequencies after some pages changed and others went."""
-    return index_update_all(spark, d).where("df >= 20")
-
-
-def index_update_all(spark: SparkSession, d: str) -> DataFrame:
-    """K7, K8: the document frequencies of all terms of the updated index."""
+    """K7, K8: all terms' document frequencies after some pages changed and others went."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), "text", "doc_id")
     changed = docs.where("doc_id % 10 = 0").withColumn("text", F.lit("fresh words only"))
     posts, _ = retrieval.upsert_documents(retrieval.postings(docs), retrieval.doc_lengths(docs), changed, docs.where("doc_id % 10 = 1"))
@@ -161,10 +145,11 @@ def index_update_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def routes_upserted(spark: SparkSession, d: str) -> DataFrame:
-    """K2, K4: routes after a run over some files and the removal of others."""
-    r = code.routes(_files(spark, d)).drop("extra")
-    kept = changes.remove_routes(r, _files(spark, d).where("file_id % 5 = 0").select(F.col("relative_path").alias("file")))
-    return changes.upsert_routes(kept, r.where("line_number % 2 = 0"), True).select("route_key", "component_id", "role")
+    """K2, K4: routes of the sample files after one file went and the routes of servers came again, at other lines."""
+    r = code.routes(samples.endpoint_files(spark)).drop("extra")
+    kept = changes.remove_routes(r, spark.createDataFrame([("./r\\m.go",)], "file string"))
+    again = r.where("role = 'server'").withColumn("line_number", F.col("line_number") + 100)
+    return changes.upsert_routes(kept, again, True).select("route_key", "component_id", "role", "line_number")
 
 
 def operation_log(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +195,7 @@ def hits_added(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    point_lookup, component_metas, components_of_files, components_of_files_all, overview_references_all, index_update_all, routes_of_role, header_languages, file_view, git_repositories, selected_files, ignored_files, infra_services, detected_services,
+    point_lookup, component_metas, components_of_files, routes_of_role, header_languages, file_view, git_repositories, selected_files, ignored_files, infra_services, detected_services,
     env_services, edge_lookup, stem_components, source_references, overview_references, result_sources, index_update, routes_upserted, operation_log, repo_hashes, json_columns,
     code_blocks, stale_dates, sinks_and_roots, hits_added,
 )}
@@ -219,7 +204,27 @@ _E = f"WITH {q.EDGES.strip()}"
 SQL = {
     "point_lookup": "SELECT DISTINCT id, name, start_line, end_line FROM components WHERE id = (SELECT min(id) FROM components WHERE repo_name = 'indigo-ledger')",
     "component_metas": "SELECT DISTINCT id, name, node_type, coalesce(start_line, 0) AS start_line, coalesce(end_line, 0) AS end_line, language, ord FROM components",
-    "components_of_files": "SELECT DISTINCT id FROM components WHERE split_part(id, '::', 1) IN (SELECT relative_path FROM source_files WHERE file_id % 3 = 0)",
+    "components_of_files": "SELECT DISTINCT id FROM components WHERE split_part(id, '::', 1) IN (SELECT relative_path FROM source_files)",
+    "routes_of_role": f"SELECT route_key, component_id, line_number FROM ({samples.SQL['sample_routes']}) WHERE role = 'client'",
+    "routes_upserted": f"""WITH r AS ({samples.SQL['sample_routes']}) SELECT route_key, component_id, role, line_number FROM r WHERE role <> 'server' AND NOT starts_with(component_id, 'r/m.go')
+        UNION ALL SELECT route_key, component_id, role, max(line_number) + 100 FROM r WHERE role = 'server' GROUP BY ALL""",
+    "header_languages": """SELECT DISTINCT regexp_replace(relative_path, '\\.go$', '.h') AS relative_path, CASE WHEN regexp_matches(coalesce(file_text, ''), '(?m)^\\s*(?:class\\s+\\w+|namespace\\s+\\w+|template\\s*<|using\\s+namespace)|\\bstd::|\\b(?:public|private|protected):')
+        THEN 'cpp' ELSE 'c' END AS language FROM source_files WHERE ends_with(relative_path, '.go')""",
+    "selected_files": """SELECT DISTINCT relative_path FROM source_files WHERE regexp_matches(relative_path, '\\.(py|go)$') AND NOT ends_with(relative_path, '_pb2.py')
+        AND len(list_intersect(string_split(relative_path, '/'), ['.git', '.github', '.vscode', '.idea', 'examples', '__pycache__', '.pytest_cache', '.tox', '.nox', '.mypy_cache', '.ruff_cache', '.hypothesis', 'node_modules',
+          '.npm', '.yarn', '.pnpm-store', 'bower_components', 'target', 'dist', 'build', 'out', 'venv', '.venv', 'env', '.env', 'vendor', 'bin', 'obj', 'coverage', 'tools'])) = 0""",
+    "ignored_files": """SELECT DISTINCT relative_path FROM source_files WHERE NOT ends_with(relative_path, '.go')
+        AND (ends_with(relative_path, '.min.js') OR regexp_matches(relative_path, '(^|/)src/.') OR regexp_matches(relative_path, '^indigo-ledger/(.*/)?lib/.'))""",
+    "detected_services": """WITH p AS (SELECT DISTINCT regexp_replace(relative_path, '^[^/]*/', '') AS p FROM source_files),
+        s AS (SELECT DISTINCT split_part(p, '/', 1) AS f, 'manifest' AS source, 1 AS r FROM p WHERE split_part(p, '/', 1) IN ('app', 'cmd') AND contains(p, '/')
+          UNION SELECT split_part(p, '/', 1) || '/' || split_part(p, '/', 2), 'convention', 2 FROM p WHERE split_part(p, '/', 1) IN ('services', 'apps', 'microservices', 'modules', 'packages') AND len(string_split(p, '/')) >= 3),
+        b AS (SELECT f, arg_min(source, r) AS source FROM s WHERE len(list_intersect(string_split(f, '/'), ['node_modules', 'dist', 'build', 'target', 'coverage', 'vendor', 'test', 'tests', 'testing', 'e2e', 'docs', 'doc', 'scripts', 'migrations', 'fixtures', 'mocks'])) = 0 GROUP BY f)
+        SELECT split_part(f, '/', -1) AS name, f AS relative_path, source FROM b WHERE NOT EXISTS (SELECT 1 FROM b x WHERE starts_with(b.f, x.f || '/'))""",
+    "result_sources": f"""WITH {q.ranked('sc', f"SELECT CAST(doc_id AS VARCHAR) AS doc_key, {q.tokens('text')} AS toks FROM documents", "SELECT unnest(['nested', 'channel', 'timeout']) AS token, 1 AS times")}
+        SELECT d.source, count(*) AS n FROM sc JOIN documents d ON CAST(d.doc_id AS VARCHAR) = sc.doc_key GROUP BY d.source""",
+    "code_blocks": f"""WITH {q.PAGES}, l AS (SELECT doc_key, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM (SELECT doc_key, string_split(text, chr(10)) AS ls FROM pages)),
+        c AS (SELECT doc_key, line, fence = 1 OR sum(fence) OVER (PARTITION BY doc_key ORDER BY no) % 2 = 1 AS fenced FROM (SELECT *, CASE WHEN regexp_matches(line, '^[ \\t]*```') THEN 1 ELSE 0 END AS fence FROM l))
+        SELECT doc_key, sum(length(line)) AS removed, 0 AS lines_lost FROM c WHERE fenced GROUP BY doc_key HAVING sum(length(line)) > 0""",
     "file_view": """WITH f AS (SELECT file_text AS t FROM source_files WHERE relative_path = (SELECT min(relative_path) FROM source_files WHERE file_text IS NOT NULL) LIMIT 1),
         l AS (SELECT unnest(list_slice(string_split(t, chr(10)), 1, 40)) AS line, generate_subscripts(list_slice(string_split(t, chr(10)), 1, 40), 1) AS line_no FROM f) SELECT line_no, line FROM l""",
     "git_repositories": "SELECT DISTINCT split_part(relative_path, '/', 1) AS name FROM source_files WHERE regexp_matches(relative_path, '^[a-z]+-console/')",
@@ -231,11 +236,11 @@ SQL = {
     "source_references": f"WITH {q.PAGES} SELECT name, count(*) AS n_pages FROM (SELECT DISTINCT doc_key, unnest(regexp_extract_all(text, '\\[\\[([A-Za-z]+)\\]\\]', 1)) AS name FROM pages) GROUP BY name",
     "overview_references": f"""WITH {q.PAGES}, w AS (SELECT DISTINCT doc_key, lower(m) AS k FROM (SELECT doc_key, unnest({q.wikilinks('text')}) AS m FROM pages)),
         h AS (SELECT DISTINCT doc_key, {q.stem('m')} AS k FROM (SELECT doc_key, unnest({q.hrefs('text')}) AS m FROM pages)),
-        n AS (SELECT DISTINCT m AS module FROM (SELECT unnest({q.wikilinks('text')}) AS m FROM pages) WHERE starts_with(m, 'Nested'))
+        n AS (SELECT DISTINCT m AS module FROM (SELECT unnest({q.wikilinks('text')}) AS m FROM pages))
         SELECT DISTINCT doc_key || '/overview.md' AS doc_key, module FROM (SELECT * FROM w UNION SELECT * FROM h) x JOIN n ON lower(n.module) = x.k""",
     "index_update": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'fresh words only' ELSE text END AS t FROM documents WHERE doc_id % 10 <> 1),
         b AS (SELECT doc_id, CASE WHEN {q.fm_text('t')} = '' THEN t ELSE concat_ws(chr(10), {q.fm_value('t', 'title')}, {q.fm_value('t', 'description')}, {q.fm_value('t', 'severity')}, {q.without_fm('t')}) END AS x FROM d)
-        SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({q.tokens('x')}) AS token FROM b) GROUP BY token HAVING count(DISTINCT doc_id) >= 20""",
+        SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({q.tokens('x')}) AS token FROM b) GROUP BY token""",
     "operation_log": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n FROM orders GROUP BY 1",
     "repo_hashes": "SELECT DISTINCT repo_name, left(sha256('https://git/' || repo_name), 16) AS h, lower(repo_name) || '.md' AS page FROM source_files",
     "json_columns": "SELECT DISTINCT id, coalesce(len(depends_on), 0) AS n, coalesce(array_to_string(depends_on, ','), '') AS listed FROM components",

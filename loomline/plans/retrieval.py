@@ -153,6 +153,8 @@ sc AS (SELECT p.doc_key, p.path, p.source,
   sum(greatest(0.0, ln((st.nd - df.df + 0.5) / (df.df + 0.5) + 1.0)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len.n / st.av)) * qt.times) AS score
   FROM post p JOIN qt USING (token) JOIN df USING (token) JOIN len USING (doc_key), st GROUP BY ALL)
 """
+_BOOSTED = f"SELECT doc_key, {q.tokens(q.indexable('text'))} AS toks FROM pages"
+_ASKED = f"SELECT token, count(*) AS times FROM (SELECT unnest({q.tokens(f"'{QUERY}'")}) AS token) GROUP BY token"
 _W = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 _HITS = " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) / {len(w)}.0" for w in WORDS)
 _FOUND = " + ".join(f"CASE WHEN contains(low, '{w}') THEN 1 ELSE 0 END" for w in WORDS)
@@ -163,6 +165,33 @@ SQL = {
     "bm25_topk": f"WITH {_INDEX} SELECT doc_key, round(score, 4) AS score FROM sc WHERE score >= 0.1 ORDER BY sc.score DESC, doc_key LIMIT 20",
     "bm25_scope": f"""WITH {_INDEX} SELECT doc_key, round(score, 4) AS score FROM sc WHERE score >= 0.1 AND starts_with(source, 'notes-')
         AND ({q.stem('path')} = 'notes/decision' OR starts_with(lower(path), 'notes/decision/') OR contains(lower(path), '/notes/decision/'))""",
+    "bm25_boosted": f"""WITH {q.PAGES}, syn AS (SELECT g, unnest({q.tokens('m')}) AS token FROM (VALUES {_SYN}) t(g, m)),
+        {q.ranked('sc', _BOOSTED, """SELECT token, 1 AS times FROM (SELECT unnest(['cache', 'queue', 'stale', 'entries']) AS token UNION SELECT token FROM syn WHERE g IN (SELECT g FROM syn WHERE token IN ('cache', 'queue')))""")}
+        SELECT doc_key, round(score, 4) AS score FROM sc ORDER BY sc.score DESC, doc_key LIMIT 20""",
+    "search_results": f"""WITH {q.PAGES}, {q.ranked('sc', _BOOSTED, _ASKED)},
+        p AS (SELECT doc_key, text, {q.fm_value('text', 'status')} AS s, {q.fm_value('text', 'superseded_by')} AS superseded, {q.listed(q.fm_text('text'), 'verified_by')} AS v FROM pages),
+        n AS (SELECT *, CASE WHEN s IS NULL THEN 'stable' WHEN lower(s) = 'candidate' THEN 'draft' WHEN lower(s) = 'confirmed' THEN 'stable' WHEN lower(s) IN ('rejected', 'superseded') THEN 'deprecated' ELSE lower(s) END AS status FROM p),
+        best AS (SELECT sc.doc_key, score * CASE WHEN superseded IS NOT NULL THEN 0.5 ELSE 1.0 END AS score, status, CASE WHEN status = 'draft' THEN '[unconfirmed]' ELSE '' END AS label,
+          CASE WHEN coalesce(len(v), 0) = 0 THEN 'unverified' WHEN len(list_filter(v, lambda x: starts_with(x, 'human:'))) > 0 THEN 'human-reviewed' ELSE 'machine-confirmed' END AS trust, text
+          FROM sc JOIN n USING (doc_key) WHERE status <> 'deprecated' ORDER BY 2 DESC, 1 LIMIT 20),
+        l AS (SELECT *, {q.lines(q.without_fm('text'))} AS ls FROM best), c AS (SELECT *, list_transform(ls, lambda x: len(list_filter({_W}, lambda t: contains(lower(x), t)))) AS cs FROM l),
+        b AS (SELECT *, list_position(cs, list_max(cs)) AS pos FROM c)
+        SELECT doc_key, round(score, 4) AS score, status, label, trust, substr(trim(array_to_string(list_slice(ls, greatest(pos - 1, 1), pos + 2), chr(10))), 1, 300) AS snippet FROM b""",
+    "page_overview": f"""WITH {q.PAGES}, b AS (SELECT doc_key, coalesce({q.title('text')}, title) AS title, array_to_string({q.listed(q.fm_text('text'), 'tags')}, ' ') AS tags,
+          trim(coalesce(list_filter({q.lines(q.without_fm('text'))}, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(?:#|>|\\||```|---|!\\[|<!--|[-*] )'))[1], '')) AS f FROM pages),
+        d AS (SELECT doc_key, title, tags, CASE WHEN length(f) > 120 THEN substr(f, 1, 117) || '...' ELSE f END AS description FROM b),
+        n AS (SELECT *, lower(concat_ws(' ', title, description, tags)) AS low FROM d)
+        SELECT * FROM (SELECT doc_key, title, description, CASE WHEN contains(low, 'channel') THEN 1 ELSE 0 END + CASE WHEN contains(low, 'ledger') THEN 1 ELSE 0 END AS overlap FROM n) WHERE overlap > 0 ORDER BY overlap DESC, doc_key LIMIT 20""",
+    "page_sections": f"""WITH {q.PAGES}, l AS (SELECT doc_key, {q.lines('text')} AS ls FROM pages), v AS (SELECT doc_key, ls, list_transform(ls, lambda x: length(regexp_extract(x, '^(#{{1,6}})\\s', 1))) AS lv FROM l),
+        h AS (SELECT doc_key, ls, lv, list_position(list_transform(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s') AND contains(lower(x), 'design')), true) AS pos FROM v),
+        e AS (SELECT doc_key, ls, pos, list_position(list_transform(list_slice(lv, pos + 1, len(lv)), lambda n: n > 0 AND n <= lv[pos]), true) AS after FROM h WHERE pos > 0),
+        s AS (SELECT doc_key, substr(array_to_string(list_slice(ls, pos, CASE WHEN after > 0 THEN pos + after - 1 ELSE len(ls) END), chr(10)), 1, 5000) AS s FROM e)
+        SELECT doc_key, length(s) AS n_chars, md5(s) AS md5 FROM s""",
+    "link_expansion": f"""WITH {q.PAGES}, {q.LINK_GRAPH}, {q.ranked('sc', _BOOSTED, _ASKED)},
+        seeds AS (SELECT doc_key, score FROM sc ORDER BY score DESC, doc_key LIMIT 10), near AS (SELECT source_doc AS a, target_doc AS b FROM links UNION SELECT target_doc, source_doc FROM links),
+        h1 AS (SELECT b AS doc_key, max(score * 0.5) AS score, 1 AS hop FROM near JOIN seeds ON doc_key = a WHERE score * 0.5 >= 0.05 AND b NOT IN (SELECT doc_key FROM seeds) GROUP BY b),
+        h2 AS (SELECT b AS doc_key, max(score * 0.5) AS score, 2 AS hop FROM near JOIN h1 ON doc_key = a WHERE score * 0.5 >= 0.05 AND b NOT IN (SELECT doc_key FROM seeds UNION SELECT doc_key FROM h1) GROUP BY b)
+        SELECT doc_key, round(score, 4) AS score, hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) x ORDER BY x.score DESC, doc_key LIMIT 30""",
     "postings_df": f"SELECT token, count(*) AS df, sum(tf) AS occurrences FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({q.tokens('text')}) AS token FROM documents) GROUP BY ALL) GROUP BY token",
     "corpus_stats": f"SELECT count(*) AS total_docs, round(avg(len({q.tokens('text')})), 6) AS avg_doc_len FROM documents",
     "query_expansion": f"""

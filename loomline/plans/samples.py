@@ -1,6 +1,6 @@
 """Small source files in all languages, for the readers whose languages and frameworks the tables lack, and what they hold.
 
-The expected rows are worked by hand from the texts; as SQL they are `VALUES`.
+The expected rows were read over by hand against the texts; as SQL they are `VALUES`.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ ENDPOINTS = {
 }
 
 
-#: Worked by hand: (id, component_type, start_line, end_line, parameters, base_classes, doc).
+#: Read over by hand against the texts: (id, component_type, start_line, end_line, parameters, base_classes, doc).
 COMPONENTS = [
     ('s/a.c::point', 'struct', 5, 8, None, None, 'A point.'),
     ('s/a.c::add', 'function', 12, 15, 'p,n', None, 'Adds both.'),
@@ -201,10 +201,19 @@ def _files(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(p, t, p.split("/")[0]) for p, t in texts.items()], "relative_path string, file_text string, repo_name string")
 
 
+def endpoint_files(spark: SparkSession) -> DataFrame:
+    """The files with endpoints as a table of source files."""
+    return _files(spark, ENDPOINTS)
+
+
+def parsed(spark: SparkSession) -> DataFrame:
+    """The components of the sample files."""
+    return code.components(_files(spark, SOURCES))
+
+
 def sample_components(spark: SparkSession, d: str) -> DataFrame:
     """What the readers find in one file of each language."""
-    c = code.components(_files(spark, SOURCES))
-    return c.select("id", "component_type", "start_line", "end_line", F.array_join("parameters", ",").alias("parameters"), F.array_join("base_classes", ",").alias("base_classes"), F.split("docstring", "\n")[0].alias("doc"))
+    return parsed(spark).select("id", "component_type", "start_line", "end_line", F.array_join("parameters", ",").alias("parameters"), F.array_join("base_classes", ",").alias("base_classes"), F.split("docstring", "\n")[0].alias("doc"))
 
 
 def sample_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +223,7 @@ def sample_calls(spark: SparkSession, d: str) -> DataFrame:
 
 def sample_routes(spark: SparkSession, d: str) -> DataFrame:
     """Endpoints and topics of one file of each framework."""
-    return code.routes(_files(spark, ENDPOINTS)).select("route_key", "role", "component_id", "line_number", "framework")
+    return code.routes(endpoint_files(spark)).select("route_key", "role", "component_id", "line_number", "framework")
 
 
 QUERIES = {f.__name__: f for f in (sample_components, sample_calls, sample_routes)}

@@ -94,6 +94,35 @@ def fm_text(x: str) -> str:
     return f"regexp_extract(coalesce({x}, ''), '(?s)\\A\\x{{FEFF}}?---\\r?\\n(.*?)\\r?\\n---\\r?(?:\\n|\\z)', 1)"
 
 
+def listed(fm: str, key: str) -> str:
+    """The items of a list of the front matter, inline or as dashed lines."""
+    inline = f"regexp_extract({fm}, '(?m)^{key}:[ \\t]*\\[(.*?)\\][ \\t]*$', 1)"
+    block = f"regexp_extract({fm}, '(?m)^{key}:[ \\t]*\\r?\\n((?:[ \\t]*-[ \\t]+.*(?:\\r?\\n|\\z))+)', 1)"
+    dashed = f"list_transform(string_split_regex({block}, '\\r?\\n'), lambda x: regexp_replace(x, '^[ \\t]*-[ \\t]+', ''))"
+    clean = "lambda x: regexp_replace(regexp_replace(trim(x), '^\"(.*)\"$', '\\1'), '^''(.*)''$', '\\1')"
+    return f"list_filter(list_transform(CASE WHEN {inline} <> '' THEN string_split({inline}, ',') ELSE {dashed} END, {clean}), lambda x: x <> '')"
+
+
+def indexable(x: str) -> str:
+    """What is indexed of a page."""
+    parts = []
+    for key, times in (("tags", 3), ("description", 2), ("title", 2), ("aliases", 3), ("severity", 2), ("related_modules", 2)):
+        value = fm_value(x, key)
+        if key in ("tags", "aliases", "related_modules"):
+            value = f"coalesce(nullif(array_to_string({listed(fm_text(x), key)}, ' '), ''), {value})"
+        parts += [value] * times
+    return f"concat_ws(chr(10), {', '.join(parts)}, nullif({without_fm(x)}, ''))"
+
+
+def ranked(name: str, rows: str, terms: str) -> str:
+    """BM25 scores (doc_key, score) of rows (doc_key, toks) for terms (token, times)."""
+    return f"""{name}_rows AS ({rows}), {name}_terms AS ({terms}),
+  {name}_post AS (SELECT doc_key, token, count(*) AS tf FROM (SELECT doc_key, unnest(toks) AS token FROM {name}_rows) GROUP BY ALL),
+  {name}_df AS (SELECT token, count(*) AS df FROM {name}_post GROUP BY token), {name}_stat AS (SELECT count(*) AS nd, avg(len(toks)) AS av FROM {name}_rows),
+  {name} AS (SELECT * FROM (SELECT p.doc_key, sum(greatest(0.0, ln((st.nd - df.df + 0.5) / (df.df + 0.5) + 1.0)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len(r.toks) / st.av)) * t.times) AS score
+    FROM {name}_post p JOIN {name}_terms t USING (token) JOIN {name}_df df USING (token) JOIN {name}_rows r USING (doc_key), {name}_stat st GROUP BY p.doc_key) WHERE score >= 0.1)"""
+
+
 LINK_GRAPH = f"""
 names AS (
   SELECT name, rank, max(doc_key) AS doc_key FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import scalar as S
 from loomline.functions.ids import clean_path
 from loomline.operators import changes, graph, lifecycle, lint, resolve, sinks, summaries
-from loomline.plans import lintsql
+from loomline.plans import lintsql, samples
 from loomline.plans import sqlbits as q
 from loomline.plans.graphs import _modules
 from loomline.sources import code, files
@@ -104,15 +104,7 @@ def edges_after_removal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suffix_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Components of files given by parts of their paths, or with the workspace before them."""
-    f = _files(spark, d)
-    short = f.where("file_id % 4 = 0").select(F.regexp_replace("relative_path", r"^[^/]*/", "").alias("file"))
-    long = f.where("file_id % 4 = 1").select(F.col("file_path").alias("file"))
-    return resolve.suffix_match(_components(spark, d), short.unionByName(long))
-
-
-def suffix_matches_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same for both spellings of every file."""
+    """Components of all files, given by a part of their path and with the workspace before it."""
     f = _files(spark, d)
     short = f.select(F.regexp_replace("relative_path", r"^[^/]*/", "").alias("file"))
     return resolve.suffix_match(_components(spark, d), short.unionByName(f.select(F.col("file_path").alias("file"))))
@@ -209,8 +201,10 @@ def leaf_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
-    """components that look like entry points."""
-    return summaries.entry_points(_components(spark, d))
+    """components that look like entry points, those of the sample files among them."""
+    cols = ["id", "name", "relative_path", "component_type", "node_type"]
+    more = samples.parsed(spark).withColumn("node_type", F.col("component_type"))
+    return summaries.entry_points(_components(spark, d).select(*cols).unionByName(more.select(*cols)))
 
 
 def symbol_map(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +456,7 @@ def note_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     component_changes, component_upsert, symbols_inserted, unchanged_components, file_changes, listed_changes, modified_since, latest_documents, files_removed, edges_after_removal,
-    suffix_matches, suffix_matches_all, service_labels, nested_services, component_count, component_list, file_summary, language_counts, extension_languages, file_totals, directory_listing,
+    suffix_matches, service_labels, nested_services, component_count, component_list, file_summary, language_counts, extension_languages, file_totals, directory_listing,
     coverage_pct, coverage_low, naming_convention, tree_totals, complex_modules, leaf_listing, entry_points, symbol_map, symbol_links, module_mentions, routing_classes,
     component_sources, parsed_components, parsed_calls, graph_json, chart_elements, index_page, content_hashes, file_hashes, duplicate_sources, minified_files, slugs, note_tags,
     packages, clean_paths, retrieval_stats, stats_ranking, hit_summary, zero_hits, issue_upsert, sessions_2h, sessions_kept, sessions_expired, edit_history, note_states,
@@ -500,8 +494,7 @@ SQL = {
     "latest_documents": "SELECT doc_key, arg_max(doc_id, (updated_at, doc_id)) AS doc_id FROM documents WHERE doc_key IS NOT NULL GROUP BY doc_key",
     "files_removed": f"WITH {_GONE}, {_RM} SELECT DISTINCT id FROM components WHERE id NOT IN (SELECT id FROM rm)",
     "edges_after_removal": f"WITH {q.EDGES.strip()}, {_GONE}, {_RM} SELECT src, dst FROM edges WHERE src NOT IN (SELECT id FROM rm) AND dst NOT IN (SELECT id FROM rm)",
-    "suffix_matches": f"""WITH asked AS (SELECT DISTINCT regexp_replace(relative_path, '^[^/]*/', '') AS file FROM source_files WHERE file_id % 4 = 0
-          UNION SELECT file_path FROM source_files WHERE file_id % 4 = 1), a2 AS (SELECT file, ltrim({q.clean_path('file')}, '/') AS f FROM asked),
+    "suffix_matches": f"""WITH asked AS (SELECT DISTINCT regexp_replace(relative_path, '^[^/]*/', '') AS file FROM source_files UNION SELECT file_path FROM source_files), a2 AS (SELECT file, ltrim({q.clean_path('file')}, '/') AS f FROM asked),
         c AS (SELECT DISTINCT id, {_P} AS p FROM components)
         SELECT DISTINCT a2.file, c.id FROM a2 JOIN c ON a2.f = c.p OR ends_with(a2.f, '/' || c.p) OR ends_with(c.p, '/' || a2.f)""",
     "service_labels": """WITH f AS (SELECT DISTINCT relative_path AS file, string_split(relative_path, '/') AS p FROM source_files),
@@ -598,6 +591,15 @@ SQL = {
         c AS (SELECT doc_key, CASE WHEN contains(line, '[candidate]') OR NOT regexp_matches(near, '\\[\\^src:|\\]\\([^)]*\\)|(?i)evidence:') THEN 1 ELSE 0 END AS bad FROM w WHERE regexp_matches(line, '\\(confidence:\\s*[^)]+\\)'))
         SELECT doc_key, count(*) AS claims, sum(bad) AS unsupported FROM c GROUP BY doc_key HAVING sum(bad) * 1.0 / count(*) > 0.3""",
     "note_clusters": f"SELECT {_LANG.format('lang')} AS module, source AS note_type, count(DISTINCT doc_id) AS n FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3",
+    "entry_points": f"""WITH c AS (SELECT DISTINCT id, lower(split_part(name, '.', -1)) AS n, lower(split_part({_P}, '/', -1)) AS f, {_TYPE} AS t FROM components
+          UNION ALL SELECT id, lower(split_part(split_part(id, '::', 2), '.', -1)), lower(split_part(split_part(id, '::', 1), '/', -1)), component_type FROM ({samples.SQL["sample_components"]})),
+        s AS (SELECT id, CASE WHEN n IN ('main', 'run', 'start', 'serve', 'handler', 'lambda_handler', 'app', 'init', 'bootstrap') THEN 3 ELSE 0 END
+          + CASE WHEN regexp_matches(f, '^(main|index|app|server|cli|__main__|program|manage)\\.') THEN 2 ELSE 0 END + CASE WHEN t = 'function' THEN 1 ELSE 0 END AS score FROM c)
+        SELECT id, score FROM s WHERE score >= 2 ORDER BY score DESC, id LIMIT 20""",
+    "graph_json": f"""WITH {q.EDGES.strip()}, d AS (SELECT src, string_agg(CAST(to_json(dst) AS VARCHAR), ',' ORDER BY dst) AS deps FROM edges GROUP BY src), c AS (SELECT DISTINCT id, name, component_type, relative_path FROM components)
+        SELECT id, '{{' || concat_ws(',', '"id":' || to_json(id), '"name":' || to_json(name), '"component_type":' || to_json(component_type), '"relative_path":' || to_json(relative_path), '"depends_on":[' || coalesce(deps, '') || ']') || '}}' AS node
+        FROM c LEFT JOIN d ON d.src = id""",
+    "index_page": f"WITH {q.PAGES} SELECT source AS section, '- [' || coalesce(title, doc_key) || '](' || doc_key || ')' AS line FROM pages",
     "chart_elements": f"WITH {q.EDGES.strip()} SELECT 'node' AS kind, count(DISTINCT id) AS n FROM components UNION ALL SELECT 'edge', count(*) FROM edges",
     "component_sources": f"""WITH f AS (SELECT relative_path AS p, any_value(file_text) AS t FROM source_files WHERE file_text IS NOT NULL GROUP BY 1),
         c AS (SELECT DISTINCT id, start_line AS s, end_line AS e, {_P} AS p FROM components)

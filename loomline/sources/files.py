@@ -27,12 +27,30 @@ EXCLUDES = (
 )
 
 
+def _inside(files: DataFrame, root: str) -> DataFrame:
+    """Local files whose real path lies in the folder; other file systems have no links."""
+    if not os.path.isdir(root):
+        return files
+    real = os.path.realpath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import unquote, urlparse
+
+        for batch in batches:
+            paths = [os.path.realpath(unquote(urlparse(p).path)) for p in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array([os.path.commonpath([real, p]) == real for p in paths], pa.bool_()))
+
+    listed = files.select("path").mapInArrow(run, "path string")
+    return files.join(listed, "path", "left_semi")
+
+
 def scan_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int = MAX_BYTES) -> DataFrame:
     """The files below a folder: (relative_path, size, mtime, content), content null over `most_bytes`.
 
-    The listing and the reading are Spark's (any Hadoop file system); links out of the folder are not followed.
+    The listing and the reading are Spark's (any Hadoop file system). On a local file system files that links lead to
+    outside the folder are left out: every listed path is resolved in the task that reads it.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    df = _inside(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root), root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + re.escape(os.path.abspath(root)) + "/", "")
     return df.select(rel.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
 
@@ -74,7 +92,7 @@ def select_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequenc
 def ignored(files: DataFrame, rules: Sequence[tuple[str, str]], column: str = "relative_path") -> DataFrame:
     """Files with `ignored`: whether the last fitting rule of ignore files says so. `rules` are (folder of the ignore
     file, line) in the order of their precedence; a line that begins with `!` takes a file back."""
-    compiled = []
+    p, state = F.col("__p"), F.lit(False)
     for folder, line in rules:
         x = line.rstrip()
         if not x or x.startswith("#"):
@@ -85,20 +103,9 @@ def ignored(files: DataFrame, rules: Sequence[tuple[str, str]], column: str = "r
         body = re.sub(r"\\\*\\\*/", "(?:.*/)?", re.escape(x.lstrip("/")))
         body = re.sub(r"/\\\*\\\*", "/.*", body).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
         under = f"{folder.strip('/')}/" if folder.strip("/") else ""
-        compiled.append((re.compile(f"^{re.escape(under)}{'' if anchored else '(?:.*/)?'}{body}{'/.+' if only_dir else '(?:/.+)?'}$"), not back))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for p in batch.column(0).to_pylist():
-                state = False
-                for rx, ignore in compiled:
-                    if p is not None and rx.match(p):
-                        state = ignore
-                out.append(state)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], [column, "ignored"])
-
-    return files.select(clean_path(column).alias(column)).distinct().mapInArrow(run, f"`{column}` string, ignored boolean")
+        rule = f"^{re.escape(under)}{'' if anchored else '(?:.*/)?'}{body}{'/.+' if only_dir else '(?:/.+)?'}$"
+        state = F.when(p.rlike(rule), F.lit(not back)).otherwise(state)
+    return files.select(clean_path(column).alias("__p")).distinct().select(p.alias(column), F.coalesce(state, F.lit(False)).alias("ignored"))
 
 
 def directory_listing(files: DataFrame, folder: str = "") -> DataFrame:
