@@ -41,37 +41,64 @@ SHORT_DOCSTRING = re.compile(r"^\s*[rRuU]?(?:\"([^\"\\\n]*)\"|'([^'\\\n]*)')\s*$
 
 @dataclass
 class Function:
-    """A function with 1-based first and last line (signature to end), its code and its raw comment."""
+    """A function with 1-based first and last line (signature to end), its code and its raw comments: the one above
+    its signature and, in Python, the docstring below."""
 
     name: str
     start: int
     end: int
     code: str
-    comment: str
+    above: str
+    below: str = ""
+
+    @property
+    def comment(self) -> str:
+        return self.below or self.above
 
 
 def _indent(line: str) -> int:
     return len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
 
 
-def _signature_end(lines: list[str], k: int) -> int:
-    """The line on which the parentheses of the signature that begins on line k close."""
+STRINGS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#.*$|//.*$")
+
+
+def _signature_end(lines: list[str], k: int, kind: str) -> int:
+    """The line on which the parentheses of the signature that begins on line k close; k where they do not before the
+    next signature."""
     depth, seen = 0, False
-    for j in range(k, min(len(lines), k + 200)):
-        plain = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#.*$|//.*$", "", lines[j])
-        for c in plain:
-            if c == "(":
-                depth, seen = depth + 1, True
-            elif c == ")":
-                depth -= 1
+    for j in range(k, len(lines)):
+        if j > k and SIGNATURES[kind].match(lines[j]):
+            return k
+        plain = STRINGS.sub("", lines[j])
+        opens, closes = plain.count("("), plain.count(")")
+        depth, seen = depth + opens - closes, seen or bool(opens)
         if seen and depth <= 0:
             return j
     return k
 
 
-def _body_end(lines: list[str], k: int, kind: str) -> int:
+PY_STRING = re.compile(r"""#[^\n]*|\"{3}(?:\\.|[^\\])*?(?:\"{3}|\Z)|'{3}(?:\\.|[^\\])*?(?:'{3}|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?""", re.DOTALL)
+
+
+def _quoted_lines(lines: list[str]) -> set[int]:
+    """The lines that begin within a string of several lines (Python)."""
+    text = "\n".join(lines)
+    if '"""' not in text and "'''" not in text:
+        return set()
+    out: set[int] = set()
+    at = line = 0
+    for m in PY_STRING.finditer(text):
+        if (n := m[0].count("\n")):
+            line += text.count("\n", at, m.start())
+            out.update(range(line + 1, line + n + 1))
+            line, at = line + n, m.end()
+    return out
+
+
+def _body_end(lines: list[str], k: int, kind: str, quoted: set[int]) -> int:
     """The last line of the function whose signature begins on line k, by a stack of indentation or `end` words."""
-    own, top = _indent(lines[k]), _signature_end(lines, k)
+    own, top = _indent(lines[k]), _signature_end(lines, k, kind)
     if kind in ("rb", "lua"):
         depth = 0
         for j in range(k, len(lines)):
@@ -80,17 +107,11 @@ def _body_end(lines: list[str], k: int, kind: str) -> int:
             if depth <= 0:
                 return j
         return len(lines) - 1
-    last, quote = top, None
+    last = top
     for j in range(top + 1, len(lines)):
         line = lines[j]
         if kind == "py":
-            inside = quote is not None
-            for m in re.finditer(r'"""|\'\'\'', line):
-                if quote is None:
-                    quote = m.group()
-                elif quote == m.group():
-                    quote = None
-            if inside:
+            if j in quoted:
                 last = j
                 continue
             if not line.strip():
@@ -111,8 +132,8 @@ def _body_end(lines: list[str], k: int, kind: str) -> int:
 def _comment_above(lines: list[str], k: int, distance: int) -> str:
     """The raw comment whose last line stands at most `distance` lines above line k, decorators not counted."""
     j = k - 1
-    while j >= 0 and (DECORATOR.match(lines[j]) or (lines[j].strip().endswith(")") and _continues_decorator(lines, j))):
-        j -= 1
+    while j >= 0 and (top := _decorator_start(lines, j)) is not None:
+        j = top - 1
     gap = 0
     while j >= 0 and not lines[j].strip() and gap < distance:
         j, gap = j - 1, gap + 1
@@ -134,18 +155,23 @@ def _comment_above(lines: list[str], k: int, distance: int) -> str:
     return "\n".join(lines[b : j + 1])
 
 
-def _continues_decorator(lines: list[str], j: int) -> bool:
-    for b in range(j, max(-1, j - 12), -1):
+def _decorator_start(lines: list[str], j: int) -> int | None:
+    """The line on which the decorator begins that ends on line j, if one does."""
+    if DECORATOR.match(lines[j]):
+        return j
+    if not lines[j].strip().endswith(")"):
+        return None
+    for b in range(j, -1, -1):
         if DECORATOR.match(lines[b]):
-            return True
+            return b
         if not lines[b].strip() or lines[b].strip().endswith((";", "{", "}", ":")):
-            return False
-    return False
+            return None
+    return None
 
 
 def _docstring_below(lines: list[str], k: int) -> str:
     """The docstring that is the first statement of the Python function whose signature begins on line k."""
-    j = _signature_end(lines, k)
+    j = _signature_end(lines, k, "py")
     tail = lines[j].rsplit(":", 1)[-1] if ":" in lines[j] else ""
     if DOCSTRING.match(tail) or SHORT_DOCSTRING.match(tail):
         return tail.strip()
@@ -174,50 +200,52 @@ def find_functions(text: str | None, extension: str, distance: int = LINE_DISTAN
     if not text or kind is None:
         return
     lines = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    quote = None
+    quoted = _quoted_lines(lines) if kind == "py" else set()
     for k, line in enumerate(lines):
-        if kind == "py":  # definitions quoted in strings are no definitions
-            inside = quote is not None
-            for m in re.finditer(r'"""|\'\'\'', line):
-                quote = m.group() if quote is None else None if quote == m.group() else quote
-            if inside:
-                continue
+        if k in quoted:  # definitions quoted in strings are no definitions
+            continue
         m = SIGNATURES[kind].match(line)
         if not m:
             continue
         groups = m.groupdict()
         name = groups.get("name") or groups.get("name2") or groups.get("name3") or ""
-        end = _body_end(lines, k, kind)
-        comment = _docstring_below(lines, k) if kind == "py" else ""
-        comment = comment or _comment_above(lines, k, distance)
-        yield Function(name, k + 1, end + 1, "\n".join(lines[k : end + 1]), comment)
+        end = _body_end(lines, k, kind, quoted)
+        below = _docstring_below(lines, k) if kind == "py" else ""
+        yield Function(name, k + 1, end + 1, "\n".join(lines[k : end + 1]), _comment_above(lines, k, distance), below)
 
 
-def component_comment(source: str | None, extension: str) -> tuple[str, str]:
-    """Of one function's source (it may begin with its comment): the comment above it and its docstring."""
+def component_function(source: str | None, extension: str, name: str | None = None) -> Function | None:
+    """The function that a component's source holds, which may begin with its comment: the first of the component's
+    name, else the first of all, else the first line with a bracket, where no pattern knows the signature."""
     kind = EXTENSIONS.get(extension.lower().lstrip("."))
     if not source or kind is None:
-        return "", ""
+        return None
+    own, first = (name or "").rsplit(".", 1)[-1], None
+    for f in find_functions(source, extension):
+        if f.name == own:
+            return f
+        first = first or f
+    if first is not None:
+        return first
     lines = source.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
     for k, line in enumerate(lines):
         x = line.strip()
-        if SIGNATURES[kind].match(line):
-            return _comment_above(lines, k, LINE_DISTANCE), _docstring_below(lines, k) if kind == "py" else ""
         if not x or x.startswith(("//", "#", "/*", "*", "@", "--")) or x.endswith("*/"):
             continue
-        if "(" in x and k and not lines[k - 1].strip().startswith("/*"):
-            # a signature of a kind the patterns do not know
-            return _comment_above(lines, k, LINE_DISTANCE), ""
-    return "", ""
+        if "(" in x:
+            return Function("", k + 1, len(lines), "\n".join(lines[k:]), _comment_above(lines, k, LINE_DISTANCE))
+    return None
 
 
 def documented_functions(components: DataFrame) -> DataFrame:
     """Functions and methods with documentation that says something: (id, code, description, found_in).
 
-    The kind is `component_type`, or `node_type` where that is blank, in any letter case. Documentation is the
-    docstring column or, where that says nothing, the comment directly above the signature or the docstring in
-    `source_code` (`found_in` is docstring, above or below). See `description` for what says nothing. Null
-    columns count as empty; repeated rows of an id give one row; `has_docstring` is not used.
+    The kind is `component_type`, or `node_type` where that is blank, in any letter case. Of each component's source
+    the function is found by its signature, its body delimited (`code`) and its comments attached; documentation is
+    the first that says something of the docstring column, the comment above the signature and the docstring below
+    (`found_in` is docstring, above or below). See `description` for what says nothing. Null columns count as
+    empty, `code` is the source as it is where it holds no function; repeated rows of an id give one row;
+    `has_docstring` is not used.
     """
     kind = F.lower(F.trim(F.when(F.col("component_type").rlike(r"\S"), F.col("component_type")).otherwise(F.col("node_type"))))
     rows = components.where(kind.isin("function", "method")).select(
@@ -230,14 +258,12 @@ def documented_functions(components: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 known = [r["class_name"], *(r["parameters"] or [])]
                 ext = (r["path"] or "").split("::")[0].strip().rsplit(".", 1)[-1]
-                said, where = description(r["docstring"], r["name"], known), "docstring"
-                if not said:
-                    above, below = component_comment(r["source_code"], ext)
-                    said, where = description(above, r["name"], known), "above"
-                    if not said:
-                        said, where = description(below, r["name"], known), "below"
-                if said:
-                    out.append((r["id"], r["source_code"], said, where))
+                f = component_function(r["source_code"], ext, r["name"])
+                comments = (("docstring", r["docstring"]), ("above", f.above if f else ""), ("below", f.below if f else ""))
+                for where, raw in comments:
+                    if said := description(raw, r["name"], known):
+                        out.append((r["id"], f.code if f else r["source_code"], said, where))
+                        break
             yield pa.RecordBatch.from_pydict(
                 {n: pa.array([x[i] for x in out], pa.string()) for i, n in enumerate(["id", "code", "description", "found_in"])}
             )
@@ -250,9 +276,10 @@ def function_pairs(files: DataFrame) -> DataFrame:
     (relative_path, name, start_line, end_line, code, description).
 
     Signatures are found by patterns, bodies delimited by indentation (or `end` words), comments attached by line
-    distance. Files with a null text or an unknown extension give no rows; repeated rows of a file count once.
+    distance. Files with a null path or text or an unknown extension give no rows; repeated rows of a file count once,
+    of different texts of one path the greatest.
     """
-    rows = files.where(F.col("file_text").isNotNull()).select("relative_path", "file_text").dropDuplicates(["relative_path"])
+    rows = files.where("file_text is not null and relative_path is not null").groupBy("relative_path").agg(F.max("file_text").alias("file_text"))
     names = ["relative_path", "name", "start_line", "end_line", "code", "description"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

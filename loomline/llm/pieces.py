@@ -35,11 +35,10 @@ def last_blank_line(lines: list[str], begin: int, end: int) -> int | None:
 
 
 def deepest_valley(depths: list[float]) -> Callable[[list[str], int, int], int | None]:
-    """A boundary rule: the line whose gap to the next has the deepest cohesion valley in the later half."""
+    """A boundary rule: the line of the window whose gap to the next has the deepest cohesion valley; of equal ones the last."""
 
     def choose(lines: list[str], begin: int, end: int) -> int | None:
-        low = begin + (end - begin) // 2
-        best = max(range(low, end + 1), key=lambda k: (depths[k], k), default=None)
+        best = max(range(begin, end + 1), key=lambda k: (depths[k], k), default=None)
         return best if best is not None and depths[best] > 0 else None
 
     return choose
@@ -89,7 +88,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, boundary:
     `overlap` lines of the one before; lines over the limit are cut by themselves.
 
     `boundary` says where a full piece ends: `blank` at its last blank line, `cohesion` at the deepest valley of
-    lexical cohesion in its later half, `full` where it is full (also the fallback of the others).
+    lexical cohesion among its new lines, `full` where it is full (also the fallback of the others).
     """
     lines = text.split("\n")
     n = len(lines)

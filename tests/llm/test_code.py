@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from loomline.llm.derivatives import Grammar
 from loomline.llm.descriptions import description
-from loomline.llm.functions import component_comment, documented_functions, find_functions, function_pairs
+from loomline.llm.functions import component_function, documented_functions, find_functions, function_pairs
 from loomline.llm.handwritten import FEATURES, forest_quality, not_handwritten, notices, path_evidence, shape
 from loomline.llm.parsing import broken_rates, syntax_errors
 from loomline.llm.syntax import first_error
@@ -153,7 +153,13 @@ def test_find_functions():
     rb = "# Adds both numbers up.\ndef add(a)\n  if a\n    1\n  end\nend\nx\n"
     assert [(f.name, f.start, f.end) for f in find_functions(rb, "rb")] == [("add", 2, 6)]
     assert list(find_functions(None, "py")) == list(find_functions("x", "zz")) == []
-    assert component_comment("// Waits for it.\nfunc (s *T) Run(a int) error {\n}", "go")[0] == "// Waits for it."
+    f = component_function("// Waits for it.\nfunc (s *T) Run(a int) error {\n\treturn nil\n}\nvar x = 1", "go", "T.Run")
+    assert f.above == "// Waits for it." and f.code.endswith("return nil\n}") and component_function(None, "go") is None
+    assert component_function("/* Odd. */\noperator+ (a) {\n}", "js").above == "/* Odd. */"
+    # signatures and decorators of any length
+    long = "# It sorts them all.\n@dec(\n" + "    1,\n" * 400 + ")\ndef f(\n" + "".join(f"    a{k},\n" for k in range(900)) + "):\n    return 1\nx = 2\n"
+    (f,) = find_functions(long, "py")
+    assert f.end == 2 + 400 + 1 + 1 + 900 + 1 + 1 and "sorts" in f.above
 
 
 def test_documented_functions(spark, rows):
@@ -165,7 +171,7 @@ def test_documented_functions(spark, rows):
     ], s)
     assert rows(documented_functions(df), "id", "found_in") == [("a.js::h", "above"), ("a.py::f", "docstring"), ("a.py::g", "below")]
     assert documented_functions(df.where("false")).count() == 0
-    files = spark.createDataFrame([("a.py", PY), ("b.js", JS), ("b.js", JS), ("c.py", None), ("d.md", "x")], "relative_path string, file_text string")
+    files = spark.createDataFrame([("a.py", PY), ("b.js", JS), ("b.js", JS), ("c.py", None), ("d.md", "x"), (None, PY)], "relative_path string, file_text string")
     assert rows(function_pairs(files), "relative_path", "name") == [("a.py", "f"), ("b.js", "f"), ("b.js", "m")]
 
 
@@ -216,3 +222,18 @@ def test_forest_needs_two_labels(spark):
     data = [(f"r/src/h{i}.py", hand + f"# {i}\n") for i in range(40)] + [(f"r/gen/g{i}.py", hand) for i in range(9)]
     got = {r["relative_path"]: (r["reason"], r["probability"]) for r in not_handwritten(spark.createDataFrame(data, "relative_path string, file_text string")).collect()}
     assert got == {f"r/gen/g{i}.py": ("path", 0.0) for i in range(9)}
+
+
+def test_pairs_of_python_agree_with_the_parser():
+    """Signatures, bodies and docstrings of the standard library's files against `ast`."""
+    import pathlib
+
+    n = same = 0
+    for path in sorted(pathlib.Path(ast.__file__).parent.glob("*.py"))[:60]:
+        text = path.read_text("utf-8", "replace")
+        found = {f.start: f for f in find_functions(text, "py")}
+        for node in ast.walk(ast.parse(text)):
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+                f, n = found.get(node.lineno), n + 1
+                same += f is not None and f.name == node.name and f.end == node.end_lineno and bool(f.below) == bool(ast.get_docstring(node))
+    assert n > 2000 and same >= 0.99 * n

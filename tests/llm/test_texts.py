@@ -147,3 +147,24 @@ def test_strict_prefixes_by_brute_force(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("h", F.xxhash64("v"))
     got = {r["v"] for r in df.join(truncation.strict_prefixes(df), "h").collect()}
     assert got == {v for v in values if any(o != v and o.startswith(v) for o in values)}
+
+
+def test_cohesion_finds_the_borders_of_topics():
+    """Texts of several topics on one vocabulary each: how many borders the deepest valleys hit within two lines, against cuts where a piece is full."""
+    rng = random.Random(2)
+
+    def hits(boundary):
+        found = n = 0
+        r = random.Random(5)
+        for _ in range(60):
+            topics = [[f"t{t}w{k}" for k in range(12)] for t in range(4)]
+            lines, borders = [], []
+            for t in topics:
+                lines += [" ".join(r.choice(t) for _ in range(6)) for _ in range(r.randrange(16, 26))]
+                borders.append(len(lines) - 1)
+            cuts = [p.last for p in split_text("\n".join(lines), 1000, 0, boundary)]
+            n += len(borders) - 1
+            found += sum(any(abs(c - b) <= 2 for c in cuts) for b in borders[:-1])
+        return found / n
+
+    assert rng and hits("cohesion") >= 0.9 and hits("full") <= 0.5
