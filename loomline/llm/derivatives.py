@@ -273,7 +273,8 @@ class Grammar:
         return out
 
     def trim(self) -> None:
-        """Forgets all nodes that arose from texts, if they are too many."""
+        """Forgets all nodes that arose from texts, if they are too many. A node in use stays valid: it holds its parts;
+        equal nodes may exist twice afterwards, which costs sharing only."""
         if len(self.table) > MOST_NODES:
             self.table = dict(self.kept)
             for node in [*self.kept.values(), *self.rules.values()]:
@@ -289,6 +290,8 @@ class Grammar:
         state = self.start
         derive, empty = self.derive, self.empty
         for k, t in enumerate(tokens):
+            if not k & 1023:
+                self.trim()  # the state and what it leads to stay, as it holds them
             nxt = state.d.get(t)
             if nxt is None:
                 nxt = derive(state, t)

@@ -179,7 +179,7 @@ def lex_java(text: str) -> Tokens:
             if kind == "op":
                 kinds.append(w)
             elif kind == "id":
-                kinds.append(w if w in words else "ID" if w != "_" else "ID")
+                kinds.append(w if w in words else "ID")
             elif kind == "num":
                 nxt = text[m.end() : m.end() + 1]
                 kinds.append("ERR" if nxt.isalnum() or nxt == "_" else "NUM")
@@ -298,6 +298,10 @@ def _fstring(text: str, pos: int, quote: str) -> int:
     return -1
 
 
+#: Words that may follow a number without a space.
+_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|or|not)\b")
+
+
 def lex_python(text: str) -> Tokens:
     """Python 3 with NEWLINE, INDENT and DEDENT tokens."""
     words = {*PY_RESERVED, *PY_CONTEXT}
@@ -370,7 +374,7 @@ def lex_python(text: str) -> Tokens:
             put(w if w in words else "ID")
         elif kind == "num":
             nxt = text[m.end() : m.end() + 1]
-            bad = re.fullmatch(r"0[\d_]*[1-9][\d_]*", w) or ((nxt.isalnum() or nxt == "_") and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[m.end() :]))
+            bad = re.fullmatch(r"0[\d_]*[1-9][\d_]*", w) or ((nxt.isalnum() or nxt == "_") and not _AFTER_NUMBER.match(text, m.end()))
             put("ERR" if bad else "NUM")
         elif kind == "op":
             if w in "([{":

@@ -303,7 +303,8 @@ RESTRICTED = frozenset(["return", "break", "continue", "throw", "yield"])
 @lru_cache(maxsize=8)
 def grammar(language: str) -> Grammar:
     """The grammar of a language, with all derivatives this worker has taken so far."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    # frames of Python calling Python lie on the heap, so nesting of this depth costs memory, no stack
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
     if language == "python":
         return Grammar(PYTHON, "File")
     if language == "java":
@@ -344,7 +345,6 @@ def first_error(text: str | None, language: str) -> tuple[str, int, str] | None:
     body = text[1:] if text[0] == "\ufeff" else text
     shift = len(text) - len(body)
     g = grammar(language)
-    g.trim()
     if language == "python":
         kinds, at, _ = lexers.lex_python(body)
         bad = g.recognise(kinds)

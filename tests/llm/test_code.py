@@ -97,6 +97,15 @@ def test_library_sources_are_valid():
     assert [p.name for p in some if first_error(p.read_text("utf-8", "replace"), "python") is not None] == []
 
 
+def test_forgetting_within_a_file(monkeypatch):
+    from loomline.llm import derivatives
+
+    monkeypatch.setattr(derivatives, "MOST_NODES", 10)
+    g = Grammar("E = T { ( '+' | '-' ) T } ; T = F { '*' F } ; F = ID | '(' E ')' ;", "E")
+    long = ["(", "ID", "*", "(", "ID", ")", "-", "ID", ")", "+"] * 3000 + ["ID"]
+    assert g.recognise(long) is None and g.recognise([*long, ")"]) == len(long) and len(g.table) < 2000
+
+
 def test_grammar_notation():
     g = Grammar("E = T { ( '+' | '-' ) T } ; T = F { '*' F } ; F = ID | '(' E ')' ;", "E")
     assert g.recognise(["ID", "+", "(", "ID", ")"]) is None and g.recognise(["ID", "*"]) == 2 and g.recognise(["ID", ")"]) == 1
