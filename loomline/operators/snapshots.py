@@ -33,9 +33,15 @@ def valid_runs(runs: DataFrame) -> DataFrame:
 
 
 def comparable_hash(h: Column | str) -> Column:
-    """A hash for comparison: the first 16 digits in lower case; null where none is given."""
+    """A hash for comparison: in lower case without white space; null where none is given."""
     c = F.lower(F.regexp_replace(F.col(h) if isinstance(h, str) else h, r"\s", ""))
-    return F.when(c != "", F.substring(c, 1, 16))
+    return F.when(c != "", c)
+
+
+def hashes_differ(a: Column, b: Column, short: int = 16) -> Column:
+    """Whether two comparable hashes differ; where one gives its first `short` digits only, these are compared."""
+    cut = (F.length(a) <= short) | (F.length(b) <= short)
+    return F.when(cut, F.substring(a, 1, short) != F.substring(b, 1, short)).otherwise(a != b)
 
 
 def snapshot_changes(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     )
     adjacent = F.col("before") == F.col("idx") - 1
     here = F.when((F.col("idx") > 1) & ~F.coalesce(adjacent, F.lit(False)), "added").when(
-        adjacent & (F.col("h") != F.col("h_before")), "changed"
+        adjacent & hashes_differ(F.col("h"), F.col("h_before")), "changed"
     )
     gone = F.when(
         (F.col("idx") < F.col("last_idx")) & F.coalesce(F.col("after") > F.col("idx") + 1, F.lit(True)), "removed"

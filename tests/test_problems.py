@@ -74,6 +74,9 @@ def test_snapshots(spark, rows):
     got = rows(snapshot_changes(spark.createDataFrame(snaps, SNAP), spark.createDataFrame(runs + runs[:1], RUNS)))
     assert got == [("r", 3, "p/b::B", "changed"), ("r", 4, "p/a::A", "removed"), ("s", 2, "q::Q", "removed")]
     assert rows(snapshot_changes(spark.createDataFrame([], SNAP), spark.createDataFrame(runs, RUNS))) == []
+    # full hashes are compared whole, a short one with the beginning of a full one
+    full = [(1, "r", "a::A", h + "0" * 48, 1, 2, 1), (4, "r", "a::A", h + "1" * 48, 1, 2, 2), (5, "r", "a::A", h, 1, 2, 3)]
+    assert rows(snapshot_changes(spark.createDataFrame(full, SNAP), spark.createDataFrame(runs[:5], RUNS))) == [("r", 3, "a::A", "changed")]
 
 
 def test_snapshots_by_brute_force(spark, rows):
