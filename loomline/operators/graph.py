@@ -344,8 +344,11 @@ def _settle(edges: DataFrame, colour: DataFrame) -> DataFrame:
 
 def condensation(edges: DataFrame, scc: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """The acyclic graph of the components: edges between different (component or single) nodes, named by their least id."""
-    scc = components_scc(edges, small) if scc is None else scc
+    ensure_checkpoint_dir(edges.sparkSession)
     e = clean(edges, loops=False)
+    if scc is None:
+        e = e.checkpoint()
+        scc = components_scc(e, small).checkpoint()
     a = salted_join(e, scc.select(F.col("id").alias("src"), F.col("scc").alias("ca")), ["src"], "left")
     b = salted_join(a, scc.select(F.col("id").alias("dst"), F.col("scc").alias("cb")), ["dst"], "left")
     return b.select(F.coalesce("ca", "src").alias("src"), F.coalesce("cb", "dst").alias("dst")).where("src <> dst").distinct()
@@ -359,9 +362,9 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, small:
     of its longest way in what is left.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    scc = components_scc(edges, small).checkpoint()
-    left = condensation(edges, scc).checkpoint()
-    e = clean(edges)
+    e = clean(edges).checkpoint()
+    scc = components_scc(e, small).checkpoint()
+    left = condensation(e, scc).checkpoint()
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
     ids = (ids if nodes is None else ids.unionByName(nodes.select("id").where("id is not null"))).distinct().join(scc, "id", "left").select("id", F.coalesce("scc", "id").alias("g")).checkpoint()
     every = ids.select("g").distinct().withColumn("level", F.lit(0))

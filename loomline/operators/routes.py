@@ -50,7 +50,7 @@ def _by_template(clients: DataFrame, servers: DataFrame) -> DataFrame:
     right = servers.withColumn("__m2", F.upper("server_method")).withColumn("__p", F.array_join(segments("server_path"), "/"))
     open_ = F.transform(segments("server_path"), lambda x: x == "{}")
     masks = servers.select(F.size(segments("server_path")).alias("__len"), open_.alias("__o")).distinct()
-    tried = salted_join(left, masks, ["__len"], "inner")
+    tried = left.join(masks, "__len")  # a few rows a length: how templates of that length look
     filled = F.array_join(F.zip_with("__s", "__o", lambda x, o: F.when(o, "{}").otherwise(x)), "/")
     tried = tried.withColumn("__p", filled).drop("__s", "__len", "__o").distinct()
     found = salted_join(tried, right, ["__p"], "inner")
@@ -124,9 +124,12 @@ def unmatched_classes(routes: DataFrame) -> DataFrame:
         "route_key", F.col("repo_name").alias(f"{prefix}_repo"), F.col("method").alias(f"{prefix}_method"), F.col("path").alias(f"{prefix}_path")
     )
     servers = side("server", "server")
-    fuzzy = _by_template(_unserved(side("client", "client"), servers).withColumnRenamed("route_key", "own"), servers)
+    # of a key there are at most as many classes as repositories, methods and spellings, so none is hot
+    unserved = ends.where("c1 is not null and s1 is null").select("route_key")
+    open_ = side("client", "client").join(unserved, "route_key", "left_semi").unionByName(side("client", "client").where("route_key is null"))
+    fuzzy = _by_template(open_.withColumnRenamed("route_key", "own"), servers)
     keys = exact.unionByName(fuzzy.select(F.explode(F.array("own", "route_key")).alias("route_key"))).distinct()
-    return salted_join(classes, keys, ["route_key"], "left_anti").select("protocol", "role", "route_key", "method", "path", "repo_name", "n")
+    return classes.join(keys, "route_key", "left_anti").select("protocol", "role", "route_key", "method", "path", "repo_name", "n")
 
 
 def unmatched_routes(routes: DataFrame) -> DataFrame:

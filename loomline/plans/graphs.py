@@ -10,6 +10,7 @@ from loomline.functions.scalar import clean_language
 from loomline.operators import graph as g
 from loomline.operators import resolve
 from loomline.plans import sqlbits as q
+from loomline.session import ensure_checkpoint_dir
 from loomline.sources.tables import table
 
 
@@ -39,6 +40,13 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
     return g.high_impact(_edges(spark, d), 1, 3).select("id")
 
 
+def _reached(spark: SparkSession, d: str, **how) -> DataFrame:
+    """What the three most used components reach, over edges that are made once."""
+    ensure_checkpoint_dir(spark)
+    e = _edges(spark, d).checkpoint()
+    return g.impact(e, g.high_impact(e, 1, 3).select("id"), **how)
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """G1: distinct dependencies between known components."""
     return _edges(spark, d)
@@ -66,28 +74,28 @@ def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_reverse(spark: SparkSession, d: str) -> DataFrame:
     """What depends on the three most used components, with the depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d))
+    return _reached(spark, d)
 
 
 def impact_forward(spark: SparkSession, d: str) -> DataFrame:
     """What the three most used components depend on."""
-    return g.impact(_edges(spark, d), _starts(spark, d), direction="depends_on")
+    return _reached(spark, d, direction="depends_on")
 
 
 def impact_both(spark: SparkSession, d: str) -> DataFrame:
     """Both directions, the smaller depth."""
-    return g.impact(_edges(spark, d), _starts(spark, d), direction="both")
+    return _reached(spark, d, direction="both")
 
 
 def impact_paths(spark: SparkSession, d: str) -> DataFrame:
     """Reached components with one shortest path."""
-    r = g.impact(_edges(spark, d), _starts(spark, d), paths=True)
+    r = _reached(spark, d, paths=True)
     return r.select("id", "depth", F.array_join("path", " > ").alias("path"))
 
 
 def impact_by_module(spark: SparkSession, d: str) -> DataFrame:
     """Reached components per repository."""
-    return g.impact_by_module(g.impact(_edges(spark, d), _starts(spark, d)), _index(spark, d))
+    return g.impact_by_module(_reached(spark, d), _index(spark, d))
 
 
 def module_graph(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import scalar as S
 from loomline.functions.ids import clean_path, id_path
-from loomline.operators import changes, graph, lifecycle, links, resolve, retrieval, sinks, summaries
+from loomline.operators import changes, graph, lifecycle, links, resolve, retrieval, routes, sinks, summaries
 from loomline.plans import samples
 from loomline.plans import sqlbits as q
 from loomline.plans.graphs import _modules
@@ -194,10 +194,46 @@ def hits_added(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.add_hits(lifecycle.retrieval_stats(first), second).select("file_path", "hit_count")
 
 
+def url_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The paths of URLs, of bare hosts and of paths."""
+    f, at = _files(spark, d).select("relative_path").distinct(), F.lit("https://host.example:8080")
+    shapes = F.array(F.concat(at, F.lit("/"), F.col("relative_path"), F.lit("?a=1#b")), F.concat(at, F.lit("?"), F.col("relative_path")), F.concat(F.lit("/"), F.col("relative_path")))
+    return f.select(F.explode(shapes).alias("url")).select("url", S.url_to_path("url").alias("path"))
+
+
+def called_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """X11: called symbols without what surrounds their names."""
+    c = table(spark, d, "calls").where("callee is not null").select("callee").distinct()
+    shapes = F.array(F.concat(F.lit("  new "), F.col("callee"), F.lit("<K, V>(a, (b))")), F.concat(F.lit("*"), F.col("callee"), F.lit(" ")), F.concat(F.lit("&&"), F.col("callee"), F.lit("()")))
+    return c.select("callee", F.explode(shapes).alias("s")).select("callee", S.normalize_symbol("s").alias("symbol"))
+
+
+def service_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of services by their folders."""
+    folder = F.regexp_extract("relative_path", r"^(.*)/[^/]*$", 1)
+    return _files(spark, d).select(folder.alias("folder")).distinct().select("folder", S.service_name("folder").alias("name"))
+
+
+def diagram_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The diagrams of pages, two of which stand at the end of each."""
+    t = F.concat("text", F.lit("\n```mermaid\ngraph TD\n"), "doc_key", F.lit("\n```\n\n  ```mermaid\npie\n  ```\n"))
+    return _pages(spark, d).select("doc_key", F.array_join(S.mermaid_blocks(t), "|").alias("blocks"))
+
+
+def ontology_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The synonym groups of an ontology."""
+    return files.ontology(spark, "synonyms:\n  cache: [buffer, store]\n  queue:\n    - channel\n    - dead letter\n  lone: single\n")
+
+
+def route_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The routes of the sample files in the order of their table."""
+    return routes.route_table(code.routes(samples.endpoint_files(spark))).select("repo_name", "role", "component_id", "route_key")
+
+
 QUERIES = {f.__name__: f for f in (
     point_lookup, component_metas, components_of_files, routes_of_role, header_languages, file_view, git_repositories, selected_files, ignored_files, infra_services, detected_services,
     env_services, edge_lookup, stem_components, source_references, overview_references, result_sources, index_update, routes_upserted, operation_log, repo_hashes, json_columns,
-    code_blocks, stale_dates, sinks_and_roots, hits_added,
+    code_blocks, stale_dates, sinks_and_roots, hits_added, url_paths, called_symbols, service_names, diagram_blocks, ontology_terms, route_listing,
 )}
 
 _E = f"WITH {q.EDGES.strip()}"
@@ -246,5 +282,12 @@ SQL = {
     "json_columns": "SELECT DISTINCT id, coalesce(len(depends_on), 0) AS n, coalesce(array_to_string(depends_on, ','), '') AS listed FROM components",
     "stale_dates": f"WITH {q.PAGES} SELECT doc_key, CAST(CAST(updated_at AS DATE) + 90 AS VARCHAR) AS stale_after FROM pages",
     "sinks_and_roots": f"{_E} SELECT DISTINCT id, 'sink' AS kind FROM components WHERE id NOT IN (SELECT src FROM edges) UNION ALL SELECT DISTINCT id, 'root' FROM components WHERE id NOT IN (SELECT dst FROM edges)",
+    "url_paths": """WITH f AS (SELECT DISTINCT relative_path AS r FROM source_files) SELECT 'https://host.example:8080/' || r || '?a=1#b' AS url, '/' || r AS path FROM f
+        UNION ALL SELECT 'https://host.example:8080?' || r, '/' FROM f UNION ALL SELECT '/' || r, '/' || r FROM f""",
+    "called_symbols": "WITH c AS (SELECT DISTINCT callee FROM calls WHERE callee IS NOT NULL) SELECT callee, trim(callee) AS symbol FROM c, range(3)",
+    "service_names": "SELECT DISTINCT regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS folder, split_part(relative_path, '/', -2) AS name FROM source_files",
+    "diagram_blocks": f"""WITH {q.PAGES} SELECT doc_key, array_to_string(list_concat(regexp_extract_all(text, '(?ms)^[ \\t]*```mermaid[ \\t]*\\r?\\n(.*?)^[ \\t]*```', 1), ['graph TD' || chr(10) || doc_key || chr(10), 'pie' || chr(10)]), '|') AS blocks FROM pages""",
+    "ontology_terms": "SELECT * FROM (VALUES ('cache', 'cache'), ('cache', 'buffer'), ('cache', 'store'), ('queue', 'queue'), ('queue', 'channel'), ('queue', 'dead letter'), ('lone', 'lone'), ('lone', 'single')) t(group_id, member)",
+    "route_listing": f"SELECT 'r' AS repo_name, role, component_id, route_key FROM ({samples.SQL['sample_routes']})",
     "hits_added": "SELECT CAST(user_id AS VARCHAR) AS file_path, count(*) AS hit_count FROM events GROUP BY 1",
 }
