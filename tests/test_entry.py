@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = entry.SMOKE
-CHEAP = ["bm25_topk", "corpus_stats", "query_expansion", "link_graph", "module_graph", "impact_reverse", "route_unmatched", "component_changes", "suffix_matches", "file_summary", "issue_upsert", "sessions_2h", "p2_found", "p3_found", "titles", "slugs"]
+CHEAP = ["bm25_topk", "corpus_stats", "query_expansion", "link_graph", "module_graph", "impact_reverse", "route_unmatched", "component_changes", "suffix_matches", "file_summary", "issue_upsert", "sessions_2h", "p2_found", "p3_found", "titles", "slugs", "sample_components", "sample_calls", "sample_routes", "lint_issues", "calls_resolved", "dependency_order", "pagerank", "search_results", "route_template", "link_expansion", "external_callees"]
 
 
 def test_names():
