@@ -121,16 +121,11 @@ def service_labels(files: DataFrame, services: DataFrame, fallback: str = "_root
     return files.select("file").distinct().join(hit, "file", "left").select("file", F.coalesce("service", F.lit(fallback)).alias("service"))
 
 
-def symbol_map(components: DataFrame) -> DataFrame:
-    """Class-like names and their files: (name, files), files sorted."""
-    rows = components.where(F.lower(F.trim("component_type")).isin("class", "interface", "struct", "enum", "record"))
-    return rows.select("name", clean_path("relative_path").alias("f")).distinct().groupBy("name").agg(F.array_sort(F.collect_set("f")).alias("files"))
-
-
 def symbol_files(components: DataFrame) -> DataFrame:
-    """Class-like names and the first of their files: (name, file); no list of files is held."""
+    """Class-like names, the first of their files and how many there are: (name, file, n_files); no list of files is held."""
     rows = components.where(F.lower(F.trim("component_type")).isin("class", "interface", "struct", "enum", "record") & F.col("name").isNotNull())
-    return rows.groupBy("name").agg(F.min(clean_path("relative_path")).alias("file"))
+    rows = rows.select("name", clean_path("relative_path").alias("file")).distinct()
+    return rows.groupBy("name").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n_files"))
 
 
 def symbol_links(pages: DataFrame, symbols: DataFrame) -> DataFrame:

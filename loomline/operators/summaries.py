@@ -78,10 +78,10 @@ def tree_totals(modules: DataFrame) -> DataFrame:
 
 
 def leaf_listing(leaves: DataFrame, components: DataFrame) -> DataFrame:
-    """Leaf components grouped by file with an estimate of their tokens (four characters each): (file, ids, tokens)."""
+    """Leaf components grouped by file with an estimate of their tokens (four characters each): (file, n, tokens)."""
     rows = components.dropDuplicates(["id"]).join(leaves.select("id").distinct(), "id", "left_semi")
     return rows.groupBy(clean_path("relative_path").alias("file")).agg(
-        F.array_sort(F.collect_list("id")).alias("ids"), F.sum(F.ceil(F.length(F.coalesce("source_code", F.lit(""))) / 4)).alias("tokens")
+        F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.length(F.coalesce("source_code", F.lit(""))) / 4)).alias("tokens")
     )
 
 
@@ -132,9 +132,9 @@ def unsupported_claims(pages: DataFrame, share: float = 0.3, key: str = "doc_key
 
 
 def isolated_by_file(isolated: DataFrame, components: DataFrame, most: int = 20) -> DataFrame:
-    """Isolated components per file, the `most` fullest files: (file, n, ids)."""
+    """Isolated components per file, the `most` fullest files: (file, n)."""
     rows = isolated.join(components.dropDuplicates(["id"]).select("id", clean_path("relative_path").alias("file")), "id")
-    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).orderBy(F.col("n").desc(), "file").limit(most)
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "file").limit(most)
 
 
 def entry_points(components: DataFrame, most: int = 20) -> DataFrame:

@@ -1,32 +1,8 @@
-"""All queries of the core and their SQL, by name; the package as an archive for executors."""
+"""All queries of the core and their SQL, by name."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
 from loomline.plans import crossservice, graphs, lookups, problems, retrieval, samples, upkeep
 
 QUERIES = {**lookups.QUERIES, **upkeep.QUERIES, **graphs.QUERIES, **crossservice.QUERIES, **retrieval.QUERIES, **problems.QUERIES, **samples.QUERIES}
 SQL = {**lookups.SQL, **upkeep.SQL, **graphs.SQL, **crossservice.SQL, **retrieval.SQL, **problems.SQL, **samples.SQL}
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python path on every executor, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="loomline-")
-    archive = os.path.join(folder, f"{root.name}.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(archive)
-    _shipped.add(sc.applicationId)

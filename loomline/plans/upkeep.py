@@ -197,7 +197,7 @@ def leaf_listing(spark: SparkSession, d: str) -> DataFrame:
     """What is documented, per file, with an estimate of tokens."""
     c = _components(spark, d)
     rows = summaries.leaf_listing(graph.doc_candidates(c, graph.edges_of(c)), c)
-    return rows.select("file", F.size("ids").alias("n"), "tokens")
+    return rows.select("file", "n", "tokens")
 
 
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
@@ -208,8 +208,8 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_map(spark: SparkSession, d: str) -> DataFrame:
-    """Class names and their files."""
-    return resolve.symbol_map(_components(spark, d)).select("name", F.array_join("files", ",").alias("files"))
+    """Class names, the first of their files and how many there are."""
+    return resolve.symbol_files(_components(spark, d))
 
 
 def symbol_links(spark: SparkSession, d: str) -> DataFrame:
@@ -525,7 +525,7 @@ SQL = {
           WHEN regexp_full_match(n, '[A-Z0-9]+(?:_[A-Z0-9]+)*') THEN 'UPPER_CASE' ELSE 'other' END AS style, count(*) AS n FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""",
     "tree_totals": f"WITH {_MODS} SELECT count(DISTINCT module) AS n_modules, count(component_id) AS n_components FROM mods",
     "complex_modules": f"WITH {_MODS}, cf AS (SELECT DISTINCT id, {_P} AS p FROM components) SELECT module, count(DISTINCT p) AS n_files FROM mods JOIN cf ON cf.id = component_id GROUP BY module HAVING count(DISTINCT p) > 1",
-    "symbol_map": f"SELECT name, string_agg(f, ',' ORDER BY f) AS files FROM (SELECT DISTINCT name, {_P} AS f FROM components WHERE lower(trim(component_type)) IN ('class', 'interface', 'struct', 'enum', 'record')) GROUP BY name",
+    "symbol_map": f"SELECT name, min(f) AS file, count(*) AS n_files FROM (SELECT DISTINCT name, {_P} AS f FROM components WHERE lower(trim(component_type)) IN ('class', 'interface', 'struct', 'enum', 'record')) GROUP BY name",
     "symbol_links": f"""WITH {q.PAGES}, n AS (SELECT split_part(name, '.', -1) AS symbol, min({_P}) AS file FROM components GROUP BY 1)
         SELECT DISTINCT doc_key, symbol, file FROM (SELECT doc_key, unnest(regexp_extract_all(text, '`([A-Za-z_][\\w.]*)(?:\\(\\))?`', 1)) AS symbol FROM pages) JOIN n USING (symbol)""",
     "routing_classes": f"""WITH c AS (SELECT DISTINCT id, lower(name) AS n, '/' || lower({_P}) || '/' AS p, left(coalesce(source_code, ''), 2000) AS h FROM components UNION ALL SELECT p_name, lower(split_part(p_name, ' ', 1)) || CASE p_size % 4 WHEN 0 THEN 'dto' WHEN 1 THEN 'client' WHEN 2 THEN 'service' ELSE '' END, '/src/' || lower(split_part(p_type, ' ', 1)) || '/', CASE WHEN p_size % 5 = 0 THEN '@Bean' ELSE '' END FROM part)

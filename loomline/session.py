@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 #: Settings that hold on a laptop and on a cluster alike. Partition counts are left to
@@ -16,8 +20,29 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # checkpoints go with the tables that made them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Adds the package to the session's Python path on every executor, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="loomline-") as folder:  # the driver's; Spark takes its own copy
+        archive = os.path.join(folder, f"{root.name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        kept = os.path.join(SparkFiles.getRootDirectory(), f"{root.name}-{sc.applicationId}.zip")
+        shutil.copyfile(archive, kept)
+    sc.addPyFile(kept)
+    _shipped.add(sc.applicationId)
+
 
 def get_spark(app: str = "loomline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the shared settings; `conf` keys use `__` for dots and win over the defaults."""
@@ -28,6 +53,7 @@ def get_spark(app: str = "loomline", master: str | None = None, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

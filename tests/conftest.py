@@ -8,11 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from loomline.plans import registry
     from loomline.session import get_spark
 
     s = get_spark("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
-    registry.ship(s)
     yield s
     s.stop()
 
