@@ -25,10 +25,10 @@ def canonicalize_path(path: Column | str) -> Column:
     """A URL path with each parameter placeholder as `{}`, without query, fragment, leading placeholder segment and
     trailing slash. Null and empty give `/`."""
     bare = F.regexp_replace(F.split(col(path), "[?#]", 2)[0], PLACEHOLDER, "{}")
-    # a first segment that is a placeholder stands for a host or a base path
-    rest = F.when(bare == "/{}", "/").when(bare.startswith("/{}/"), F.substring(bare, 4, 1_000_000)).when(bare.startswith("/{}"), F.concat(F.lit("/"), F.substring(bare, 4, 1_000_000))).otherwise(bare)
-    short = F.rtrim(rest, F.lit("/"))
-    return F.when(F.coalesce(col(path), F.lit("")) == "", "/").when((short == "") & (rest != ""), "/").otherwise(short)
+    # a first segment that is a placeholder stands for a host or a base path; each step is used once, so that the
+    # expression stays small where it is nested
+    rest = F.regexp_replace(bare, r"\A/\{\}/?", "/")
+    return F.coalesce(F.nullif(F.regexp_replace(rest, r"/+\z", ""), F.lit("")), F.lit("/"))
 
 
 def route_key(method: Column | str, path: Column | str) -> Column:
