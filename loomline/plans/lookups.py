@@ -155,7 +155,7 @@ def routes_upserted(spark: SparkSession, d: str) -> DataFrame:
 def operation_log(spark: SparkSession, d: str) -> DataFrame:
     """The log, newest day first (orders play the operations)."""
     e = table(spark, d, "orders").select(F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("operation"), F.col("o_orderkey").cast("string").alias("detail"))
-    return sinks.operation_log(e).groupBy("day").agg(F.count(F.lit(1)).alias("n")).select(F.col("day").cast("string").alias("day"), "n")
+    return sinks.operation_log(e).select(F.col("day").cast("string").alias("day"), "operation", "detail")
 
 
 def repo_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -277,7 +277,7 @@ SQL = {
     "index_update": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'fresh words only' ELSE text END AS t FROM documents WHERE doc_id % 10 <> 1),
         b AS (SELECT doc_id, CASE WHEN {q.fm_text('t')} = '' THEN t ELSE concat_ws(chr(10), {q.fm_value('t', 'title')}, {q.fm_value('t', 'description')}, {q.fm_value('t', 'severity')}, {q.without_fm('t')}) END AS x FROM d)
         SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({q.tokens('x')}) AS token FROM b) GROUP BY token""",
-    "operation_log": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n FROM orders GROUP BY 1",
+    "operation_log": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS operation, CAST(o_orderkey AS VARCHAR) AS detail FROM orders",
     "repo_hashes": "SELECT DISTINCT repo_name, left(sha256('https://git/' || repo_name), 16) AS h, lower(repo_name) || '.md' AS page FROM source_files",
     "json_columns": "SELECT DISTINCT id, coalesce(len(depends_on), 0) AS n, coalesce(array_to_string(depends_on, ','), '') AS listed FROM components",
     "stale_dates": f"WITH {q.PAGES} SELECT doc_key, CAST(CAST(updated_at AS DATE) + 90 AS VARCHAR) AS stale_after FROM pages",

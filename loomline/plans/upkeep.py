@@ -67,8 +67,10 @@ def file_changes(spark: SparkSession, d: str) -> DataFrame:
     old = _files(spark, d).select(F.col("relative_path").alias("file_path"), "mtime", "size", "content_hash", "file_id").dropDuplicates(["file_path"])
     i = F.col("file_id")
     new = old.where(i % 9 != 0).select(
-        F.when(i % 8 == 0, F.concat("file_path", F.lit(".moved"))).otherwise(F.col("file_path")).alias("file_path"), "mtime", "size",
-        F.when(i % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(i % 8 == 0, F.concat("file_path", F.lit(".moved"))).otherwise(F.col("file_path")).alias("file_path"),
+        (F.col("mtime") + F.when(i % 4 == 1, 0.5).when(i % 4 == 2, 1.5).otherwise(0.0)).alias("mtime"),
+        F.when(i % 11 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.when(i % 5 == 0, F.concat("content_hash", F.lit("x"))).when(i % 3 != 0, F.col("content_hash")).alias("content_hash"),
     )
     return changes.file_changes(old.drop("file_id"), new)
 
@@ -259,9 +261,9 @@ def graph_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chart_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Elements of the network chart, counted by kind."""
+    """Elements of the network chart."""
     c = _components(spark, d)
-    return sinks.chart_elements(c, graph.edges_of(c)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.chart_elements(c, graph.edges_of(c))
 
 
 def index_page(spark: SparkSession, d: str) -> DataFrame:
@@ -485,10 +487,11 @@ SQL = {
     "component_upsert": f"{_ST} SELECT id, content_hash FROM new UNION ALL SELECT id, content_hash FROM old WHERE id NOT IN (SELECT id FROM new)",
     "symbols_inserted": f"{_ST} SELECT id, content_hash FROM old UNION ALL SELECT id, content_hash FROM new WHERE id NOT IN (SELECT id FROM old)",
     "unchanged_components": f"{_ST} SELECT id FROM old EXCEPT SELECT id FROM new",
-    "file_changes": """WITH o AS (SELECT relative_path AS p, any_value(content_hash) AS h, any_value(size) AS s, any_value(file_id) AS i FROM source_files GROUP BY 1),
-        n AS (SELECT CASE WHEN i % 8 = 0 THEN p || '.moved' ELSE p END AS p, CASE WHEN i % 5 = 0 THEN h || 'x' ELSE h END AS h FROM o WHERE i % 9 <> 0)
-        SELECT coalesce(o.p, n.p) AS file_path, CASE WHEN o.p IS NULL THEN 'new' WHEN n.p IS NULL THEN 'vanished' ELSE 'changed' END AS change
-        FROM o FULL JOIN n ON o.p = n.p WHERE o.p IS NULL OR n.p IS NULL OR o.h <> n.h""",
+    "file_changes": """WITH o AS (SELECT relative_path AS p, any_value(content_hash) AS h, any_value(size) AS s, any_value(file_id) AS i, any_value(mtime) AS m FROM source_files GROUP BY 1),
+        n AS (SELECT CASE WHEN i % 8 = 0 THEN p || '.moved' ELSE p END AS p, m + CASE i % 4 WHEN 1 THEN 0.5 WHEN 2 THEN 1.5 ELSE 0.0 END AS m, CASE WHEN i % 11 = 0 THEN s + 1 ELSE s END AS s,
+          CASE WHEN i % 5 = 0 THEN h || 'x' WHEN i % 3 <> 0 THEN h END AS h FROM o WHERE i % 9 <> 0)
+        SELECT coalesce(o.p, n.p) AS file_path, CASE WHEN o.p IS NULL THEN 'new' WHEN n.p IS NULL THEN 'vanished' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.p = n.p
+        WHERE o.p IS NULL OR n.p IS NULL OR o.s IS DISTINCT FROM n.s OR CASE WHEN o.h IS NOT NULL AND n.h IS NOT NULL THEN o.h <> n.h ELSE coalesce(abs(o.m - n.m) > 1, false) END""",
     "listed_changes": "SELECT DISTINCT substr(relative_path, length('indigo-ledger/') + 1) AS file FROM source_files WHERE starts_with(relative_path, 'indigo-ledger/')",
     "modified_since": "SELECT DISTINCT relative_path AS file_path FROM source_files WHERE mtime > 1740000000",
     "latest_documents": "SELECT doc_key, arg_max(doc_id, (updated_at, doc_id)) AS doc_id FROM documents WHERE doc_key IS NOT NULL GROUP BY doc_key",
@@ -600,7 +603,9 @@ SQL = {
         SELECT id, '{{' || concat_ws(',', '"id":' || to_json(id), '"name":' || to_json(name), '"component_type":' || to_json(component_type), '"relative_path":' || to_json(relative_path), '"depends_on":[' || coalesce(deps, '') || ']') || '}}' AS node
         FROM c LEFT JOIN d ON d.src = id""",
     "index_page": f"WITH {q.PAGES} SELECT source AS section, '- [' || coalesce(title, doc_key) || '](' || doc_key || ')' AS line FROM pages",
-    "chart_elements": f"WITH {q.EDGES.strip()} SELECT 'node' AS kind, count(DISTINCT id) AS n FROM components UNION ALL SELECT 'edge', count(*) FROM edges",
+    "chart_elements": f"""WITH {q.EDGES.strip()}, c AS (SELECT DISTINCT id, name, component_type FROM components)
+        SELECT 'node' AS kind, '{{"data":{{' || concat_ws(',', '"id":' || to_json(id), '"label":' || to_json(name), '"type":' || to_json(component_type)) || '}}}}' AS element FROM c
+        UNION ALL SELECT 'edge', '{{"data":{{' || concat_ws(',', '"id":' || to_json(src || '->' || dst), '"source":' || to_json(src), '"target":' || to_json(dst)) || '}}}}' FROM edges""",
     "component_sources": f"""WITH f AS (SELECT relative_path AS p, any_value(file_text) AS t FROM source_files WHERE file_text IS NOT NULL GROUP BY 1),
         c AS (SELECT DISTINCT id, start_line AS s, end_line AS e, {_P} AS p FROM components)
         SELECT id, md5(CASE WHEN s IS NULL OR s < 1 THEN t ELSE array_to_string(list_slice(string_split(t, chr(10)), s, coalesce(e, s)), chr(10)) END) AS source_md5 FROM c JOIN f USING (p)""",
