@@ -21,8 +21,10 @@ from loomline.llm.endings import CLOSED, OPEN, UNSURE, ending_of, strip_marks
 from loomline.operators.skew import salted_join, spread
 from loomline.session import ensure_checkpoint_dir
 
-#: Lengths of the hashed prefixes: powers of STEP. A value of n characters is looked up by the longest that is at most n.
-STEP = 4
+#: Lengths of the hashed prefixes: SHORT, times STEP, and so on. A text of n characters is looked up by the longest that is
+#: at most n. Shorter texts, which would share their prefix with a large part of the corpus, are looked up among
+#: the first HEAD characters of all texts instead.
+SHORT, STEP, HEAD = 16, 4, 64
 #: Ids of texts are broadcast up to this number; beyond it they are joined.
 MOST_BROADCAST = 1_000_000
 WORD = re.compile(r"\w+")
@@ -39,8 +41,8 @@ def text_stem(body: str) -> str:
 
 
 def prefix_hashes(value: str) -> list[int]:
-    """Hashes of the prefixes of 1, STEP, STEP**2, ... characters, as far as the value goes."""
-    out, n = [], 1
+    """Hashes of the prefixes of SHORT, SHORT * STEP, ... characters, as far as the value goes."""
+    out, n = [], SHORT
     while n <= len(value):
         out.append(_hash(value[:n]))
         n *= STEP
@@ -57,14 +59,14 @@ def word_forms(stem: str) -> tuple[set[str], str | None]:
 
 
 def text_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """What one reading of the texts tells of each that is not blank: (id, source, ending, h, last, prefixes, words).
+    """What one reading of the texts tells of each that is not blank: (id, source, ending, h, last, head, prefixes, words).
 
-    `h` is the hash of the text without marks of a cut and ellipsis, `last` the word it ends with, `prefixes` the hashes
-    of its prefixes. `words` are the distinct words of a batch of texts, in the row of its first text.
+    `h` is the hash of the text without marks of a cut and ellipsis, `last` the word it ends with, `head` its first
+    characters, `prefixes` the hashes of its prefixes. `words` are the distinct words of a batch of texts, in the row of its first text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "source", "ending", "h", "last", "prefixes", "words"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+    names = ["id", "source", "ending", "h", "last", "head", "prefixes", "words"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,14 +76,14 @@ def text_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stem = text_stem(body)
                 whole, last = word_forms(stem)
                 every |= whole
-                rows.append([ending_of(body, marked), _hash(stem), last, prefix_hashes(stem), None])
+                rows.append([ending_of(body, marked), _hash(stem), last, stem[:HEAD], prefix_hashes(stem), None])
             if rows:
-                rows[0][4] = sorted(every)
+                rows[0][5] = sorted(every)
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names)
 
     rows = docs.where(F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_col)
-    return spread(rows).mapInArrow(run, f"id {kind}, source string, ending string, h bigint, last string, prefixes array<bigint>, words array<string>")
+    return spread(rows).mapInArrow(run, f"id {kind}, source string, ending string, h bigint, last string, head string, prefixes array<bigint>, words array<string>")
 
 
 def sharing_prefixes(facts: DataFrame) -> DataFrame:
@@ -155,7 +157,11 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
 
 def longer_copies(docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts that are strict prefixes of longer ones: (h, same_line, glued). Only texts that share a hashed prefix
-    are read again and exchanged."""
+    are read again and exchanged whole; texts of under SHORT characters meet the beginnings of all texts."""
+    short = facts.where(F.length("head") < SHORT).select("h").distinct()
+    # the hash of a beginning counts only for short texts, which are their own beginning
+    heads = facts.groupBy(F.col("head").alias("v")).agg(F.min(F.when(F.length("head") < SHORT, F.col("h"))).alias("h"))
+    begun = strict_prefixes(heads.withColumn("h", F.coalesce("h", F.lit(0)))).join(short, "h", "left_semi")
     some = sharing_prefixes(facts).checkpoint()
     few = some.count() <= MOST_BROADCAST
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(some) if few else some, "id", "left_semi")
@@ -165,7 +171,8 @@ def longer_copies(docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", tex
             stems = [text_stem(strip_marks(t)[0]) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(map(_hash, stems), pa.int64())], ["v", "h"])
 
-    return strict_prefixes(held.select("t").mapInArrow(run, "v string, h bigint"))
+    whole = held.select("t").mapInArrow(run, "v string, h bigint").where(F.length("v") >= SHORT)
+    return strict_prefixes(whole).unionByName(begun.select("h", "same_line", "glued"))
 
 
 def cut_words(facts: DataFrame) -> DataFrame:

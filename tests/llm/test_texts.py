@@ -122,7 +122,7 @@ def test_marks():
     assert strip_marks("a - b") == ("a - b", False) and strip_marks("list [x]") == ("list [x]", False) and strip_marks("x]\x85\x1f") == ("x]", False)
     assert strip_marks("a" + " " * 50_000 + "b" + "-" * 50_000 + " [cut]")[1]
     assert truncation.text_stem("abc…") == truncation.text_stem("abc ...") == "abc" and truncation.text_stem("a b.") == "a b."
-    assert truncation.prefix_hashes("abcd") == [truncation._hash("a"), truncation._hash("abcd")] and truncation.prefix_hashes("") == []
+    assert truncation.prefix_hashes("abcd" * 20) == [truncation._hash("abcd" * 4), truncation._hash("abcd" * 16)] and truncation.prefix_hashes("abcd") == []
     assert truncation.word_forms("ab, cd ab") == ({"ab", "cd"}, "ab") and truncation.word_forms("ab.") == ({"ab"}, None) and truncation.word_forms("") == (set(), None)
 
 
@@ -141,6 +141,16 @@ def test_truncated_texts(spark, rows):
     assert truncation.truncated_texts(df.where("false")).count() == 0
 
 
+def test_longer_copies_by_brute_force(spark, rows):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ab c\n") for _ in range(rng.randrange(1, 300))).strip() or "x" for _ in range(40)]
+    texts = list({t[: rng.randrange(1, len(t) + 1)].rstrip() for t in base for _ in range(6)} | set(base))
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    facts = truncation.text_facts(docs).checkpoint()
+    got = {r["h"] for r in truncation.longer_copies(docs, facts).collect()}
+    assert got == {truncation._hash(t) for t in texts if t and any(o != t and o.startswith(t) for o in texts)} and len(got) > 50
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab\n", min_size=1, max_size=6), min_size=1, max_size=30))
 def test_strict_prefixes_by_brute_force(spark, values):
