@@ -14,7 +14,7 @@ from loomline.plans.graphs import _modules
 from loomline.sources import code, configs, files
 from loomline.sources.tables import table
 
-COMPOSE = "services:\n  web:\n    build: ./web\n    ports: ['8080:80', '9000']\n    depends_on: [db]\n    environment: {API_URL: 'http://api:1', MODE: x}\n  api:\n    image: api\n  db:\n    image: pg\n"
+COMPOSE = "services:\n  web-{repo}:\n    build: ./web\n    ports: ['80{n}:80', '9000']\n    depends_on: [db]\n    environment: {{API_URL: 'http://api:1', MODE: x}}\n  api:\n    image: {repo}/api:{n}\n    depends_on:\n      db: {{condition: x}}\n      web-{repo}: {{}}\n  db:\n    image: pg\n    ports:\n      - target: 54{n}\n"
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +84,10 @@ def ignored_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def infra_services(spark: SparkSession, d: str) -> DataFrame:
-    """Services of a compose file for each repository."""
-    repos = _files(spark, d).select(F.concat("repo_name", F.lit("/docker-compose.yml")).alias("relative_path"), F.lit(COMPOSE).alias("file_text"), "repo_name").distinct()
+    """Services of a compose file for each repository, with its name and ports."""
+    text = F.lit(COMPOSE.replace("{{", "{").replace("}}", "}"))
+    text = F.replace(F.replace(text, F.lit("{repo}"), F.col("repo_name")), F.lit("{n}"), F.length("repo_name").cast("string"))
+    repos = _files(spark, d).select("repo_name").distinct().select(F.concat("repo_name", F.lit("/docker-compose.yml")).alias("relative_path"), text.alias("file_text"), "repo_name")
     s = configs.compose_services(repos)
     return s.select("name", "source_file", "image", F.concat_ws(",", F.col("ports").cast("array<string>")).alias("ports"), F.concat_ws(",", "depends_on").alias("depends_on"))
 
@@ -264,8 +266,8 @@ SQL = {
     "file_view": """WITH f AS (SELECT file_text AS t FROM source_files WHERE relative_path = (SELECT min(relative_path) FROM source_files WHERE file_text IS NOT NULL) LIMIT 1),
         l AS (SELECT unnest(list_slice(string_split(t, chr(10)), 1, 40)) AS line, generate_subscripts(list_slice(string_split(t, chr(10)), 1, 40), 1) AS line_no FROM f) SELECT line_no, line FROM l""",
     "git_repositories": "SELECT DISTINCT split_part(relative_path, '/', 1) AS name FROM source_files WHERE regexp_matches(relative_path, '^[a-z]+-console/')",
-    "infra_services": """SELECT s.name, r.repo_name || '/docker-compose.yml' AS source_file, s.image, s.ports, s.depends_on FROM (SELECT DISTINCT repo_name FROM source_files) r,
-        (VALUES ('web', NULL, '8080,9000', 'db'), ('api', 'api', '', ''), ('db', 'pg', '', '')) s(name, image, ports, depends_on)""",
+    "infra_services": """WITH r AS (SELECT DISTINCT repo_name AS r, length(repo_name) AS n, repo_name || '/docker-compose.yml' AS source_file FROM source_files)
+        SELECT 'web-' || r AS name, source_file, NULL AS image, '80' || n || ',9000' AS ports, 'db' AS depends_on FROM r UNION ALL SELECT 'api', source_file, r || '/api:' || n, '', 'db,web-' || r FROM r UNION ALL SELECT 'db', source_file, 'pg', '54' || n, '' FROM r""",
     "env_services": """SELECT DISTINCT '.env' AS source_file, upper(replace(repo_name, '-', '_')) || '_SERVICE_URL' AS key, repo_name AS service, repo_name AS host FROM source_files""",
     "edge_lookup": f"{_E}, o AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM o) UNION ALL SELECT src, dst FROM edges WHERE dst IN (SELECT id FROM o)",
     "stem_components": "SELECT DISTINCT replace(repo_name, '-', '_') AS stem, id AS component_id FROM components",
