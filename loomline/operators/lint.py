@@ -208,6 +208,8 @@ def lint(w: Wiki, checks: Sequence[str] | None = None, floor: str = "info") -> D
     w = replace(w, pages=_parsed(w).checkpoint())
     if w.edges is not None:
         w = replace(w, edges=w.edges.checkpoint())
+    if w.modules is not None:
+        w = replace(w, modules=w.modules.select("module", "component_id").checkpoint())
     chosen = [c for c in (checks or CHECKS) if all(getattr(w, t) is not None for t in CHECKS[c][1])]
     parts = {c: CHECKS[c][0](w) for c in chosen}
     if "broken_links" in parts and "stale_refs" in parts:
