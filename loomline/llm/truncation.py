@@ -155,32 +155,44 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
     return found.where("first is null").select("h", "same_line", "glued").unionByName(edges)
 
 
-def longer_copies(docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts that are strict prefixes of longer ones: (h, same_line, glued). Only texts that share a hashed prefix
-    are read again and exchanged whole; texts of under SHORT characters meet the beginnings of all texts."""
-    short = facts.where(F.length("head") < SHORT).select("h").distinct()
-    # the hash of a beginning counts only for short texts, which are their own beginning
-    heads = facts.groupBy(F.col("head").alias("v")).agg(F.min(F.when(F.length("head") < SHORT, F.col("h"))).alias("h"))
-    begun = strict_prefixes(heads.withColumn("h", F.coalesce("h", F.lit(0)))).join(short, "h", "left_semi")
+def _beginnings(facts: DataFrame) -> DataFrame:
+    """(v, h) of the first characters of all texts, marked; the hash counts only for short texts, which are their own beginning."""
+    heads = facts.groupBy("head").agg(F.min(F.when(F.length("head") < SHORT, F.col("h"))).alias("h"))
+    return heads.where("head <> ''").select(F.concat(F.lit("b"), F.col("head")).alias("v"), F.coalesce("h", F.lit(0)).alias("h"))
+
+
+def _whole_texts(docs: DataFrame, facts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(v, h) of the texts that share a hashed prefix, marked; only these are read again and exchanged whole."""
     some = sharing_prefixes(facts).checkpoint()
     few = some.count() <= MOST_BROADCAST
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(some) if few else some, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stems = [text_stem(strip_marks(t)[0]) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(map(_hash, stems), pa.int64())], ["v", "h"])
+            stems = [x for t in batch.column(0).to_pylist() if len(x := text_stem(strip_marks(t)[0])) >= SHORT]
+            yield pa.RecordBatch.from_arrays([pa.array(["t" + x for x in stems], pa.string()), pa.array(map(_hash, stems), pa.int64())], ["v", "h"])
+
+    return held.select("t").mapInArrow(run, "v string, h bigint")
 
-    whole = held.select("t").mapInArrow(run, "v string, h bigint").where(F.length("v") >= SHORT)
-    return strict_prefixes(whole).unionByName(begun.select("h", "same_line", "glued"))
 
+def _word_ends(facts: DataFrame) -> DataFrame:
+    """(v, h, whole) of all words, marked: whether a text holds the word whole, or texts only end with it."""
+    held = facts.select(F.explode("words").alias("w"), F.lit(True).alias("whole"))
+    asked = facts.where(F.col("last").isNotNull() & (F.col("ending") != CLOSED)).select(F.col("last").alias("w"), F.lit(False).alias("whole"))
+    every = held.unionByName(asked).groupBy(F.concat(F.lit("w"), F.col("w")).alias("v")).agg(F.max("whole").alias("whole"))
+    return every.select("v", F.xxhash64("v").alias("h"), "whole")
 
-def cut_words(facts: DataFrame) -> DataFrame:
-    """The words that texts end with, which no text holds whole but one holds in a longer form: (last)."""
-    held = facts.select(F.explode("words").alias("v"), F.lit(True).alias("whole"))
-    asked = facts.where(F.col("last").isNotNull() & (F.col("ending") != CLOSED)).select(F.col("last").alias("v"), F.lit(False).alias("whole"))
-    every = held.unionByName(asked).groupBy("v").agg(F.max("whole").alias("whole")).withColumn("h", F.xxhash64("v")).checkpoint()
-    return every.where("not whole").join(strict_prefixes(every), "h", "left_semi").select(F.col("v").alias("last"))
+
+def prefix_evidence(docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What is a strict prefix of something longer, (h, same_line, glued), by the hash of a text if it is one, and the words that texts end with, which no
+    text holds whole but one holds in a longer form, (last).
+
+    Beginnings, whole texts and words carry a mark of their kind in front and are sorted together, once.
+    """
+    words = _word_ends(facts).checkpoint()
+    found = strict_prefixes(_beginnings(facts).unionByName(_whole_texts(docs, facts, id_col, text_col)).unionByName(words.select("v", "h")))
+    cut = words.where("not whole").join(found.select("h"), "h", "left_semi").select(F.substring("v", 2, 2**31 - 1).alias("last"))
+    return found, cut
 
 
 def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -196,8 +208,8 @@ def truncated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ensure_checkpoint_dir(docs.sparkSession)
     facts = text_facts(docs, id_col, text_col, source_col).checkpoint()
     ends = facts.select("id", "source", "ending", "h", "last")
-    words = cut_words(facts).withColumn("within_word", F.lit(True))
-    copies = longer_copies(docs, facts, id_col, text_col).withColumn("has_longer_copy", F.lit(True))
+    copies, words = prefix_evidence(docs, facts, id_col, text_col)
+    copies, words = copies.withColumn("has_longer_copy", F.lit(True)), words.withColumn("within_word", F.lit(True))
     judged = salted_join(salted_join(ends, copies, ["h"], "left", spread=["id"]), words, ["last"], "left", spread=["id"])
     no = F.lit(False)
     within = F.coalesce("within_word", no) & (F.col("ending") != CLOSED)
